@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framelake.llm import exact_dedup, mixing, packing, simhash
+from framelake.llm import exact_dedup, mixing, packing, simhash, substring_dedup
 from framelake.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.drop_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -27,6 +33,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
@@ -34,6 +41,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT r, doc_id, p, array_to_string(w[p + 1 : p + 13], ' ') AS content
+  FROM (SELECT *, unnest(range(0, len(w) - 12)) AS p FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT content, min(doc_id) AS first FROM windows GROUP BY content HAVING count(*) > 1),
+covered AS (
+  SELECT DISTINCT r, unnest(range(p, p + 13)) AS p
+  FROM windows JOIN firsts USING (content) WHERE windows.doc_id > firsts.first),
+cut AS (SELECT r, list(p) AS gone FROM covered GROUP BY r),
+kept AS (
+  SELECT d.doc_id, d.w, coalesce(len(c.gone), 0) AS n_removed,
+         CASE WHEN c.gone IS NULL THEN d.w ELSE [d.w[i + 1] FOR i IN range(0, len(d.w)) IF NOT list_contains(c.gone, i)] END AS k
+  FROM d LEFT JOIN cut c USING (r))
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(array_to_string(k, ' ')) AS kept_sha256 FROM kept
+""",
     "op2_packing": packing.sql(),
     "op3_mixing": mixing.SQL,
     "op7_exact_dedup": """

@@ -20,7 +20,7 @@ import numpy as np
 import xxhash
 
 #: Rounds of naming, and words in a symbol at most.
-ROUNDS, LONGEST = 3, 8
+ROUNDS, LONGEST = 2, 8
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: Odd multipliers of the mixing function, and the base of the sequence hash with its inverse modulo 2^64.
 _M1, _M2, _PAIR = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
