@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,16 +20,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once under spark.checkpoint.dir and go on from the written rows.
+def set_checkpoint_folder(spark: SparkSession) -> None:
+    """Use spark.checkpoint.dir, the cluster's shared folder.
 
-    The folder is the cluster's shared one. Only where the session names none
-    (tests on one machine) is a folder made here.
+    Only where the session names none (tests on one machine) is a folder made here.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """A new folder name inside the checkpoint folder."""
+    set_checkpoint_folder(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4()}"
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Write ``df`` once under spark.checkpoint.dir and go on from the written rows."""
+    set_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

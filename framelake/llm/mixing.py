@@ -107,7 +107,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     """
     names = docs.columns
     text, source = options.get("text_col", "text"), options.get("source_col", "source")
-    mixed = mix_sources(docs, id_col, **options).groupBy("doc_id", "source", "size").agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"), F.count("*").alias("rows"))
+    mixed = materialise(
+        mix_sources(docs, id_col, **options)
+        .groupBy("doc_id", "source", "size")
+        .agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"), F.count("*").alias("rows"))
+    )
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(text).alias("text"),
@@ -115,11 +119,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     a, b = whole.alias("a"), mixed.alias("b")
     same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
     met = a.join(b, same).select("a.row", "a.text", F.col("a.doc_id").alias("doc_id"), F.col("a.source").alias("source"), F.col("a.size").alias("size"), "b.copies", "b.rows")
-    single = met.filter("rows = 1").select("row", F.element_at("copies", 1).alias("n"))
-    tied = met.filter("rows > 1")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("text").asc_nulls_last()))
-    tied = tied.withColumn("nth", nth).select("row", F.element_at("copies", F.col("nth")).alias("n"))
-    out = single.unionByName(tied)
+    out = met.filter("rows = 1").select("row", F.element_at("copies", 1).alias("n"))
+    if mixed.filter("rows > 1").limit(1).count():
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("text").asc_nulls_last()))
+        tied = met.filter("rows > 1").withColumn("nth", nth)
+        out = out.unionByName(tied.select("row", F.element_at("copies", F.col("nth")).alias("n")))
     return out.filter("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 

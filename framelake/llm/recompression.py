@@ -61,22 +61,24 @@ _powers = _Powers()
 
 @dataclass
 class Words:
-    """Words of consecutive documents. Document i has the words edge[i] to edge[i + 1]."""
+    """Words of consecutive documents, with their bytes' places. Document i has the words edge[i] to edge[i + 1]."""
 
     name: np.ndarray
     edge: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
 
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.edge) - 1), np.diff(self.edge))
 
 
-def read_words(data: bytes, bounds: np.ndarray) -> Words:
-    """Name of each word of the documents data[bounds[i]:bounds[i + 1]]."""
+def read_words(data: bytes, bounds: np.ndarray, separators: np.ndarray = _SPACE) -> Words:
+    """Name of each word of the documents data[bounds[i]:bounds[i + 1]]; ``separators`` flags the bytes between words."""
     size = int(bounds[-1])
     text = np.zeros(size + 16, dtype=np.uint8)
     text[:size] = np.frombuffer(data, dtype=np.uint8, count=size)
-    inner = ~_SPACE[text[:size]]
+    inner = ~separators[text[:size]]
     before, after = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
     before[1:], after[:-1] = inner[:-1], inner[1:]
     cut = bounds[(bounds > 0) & (bounds < size)]
@@ -94,7 +96,7 @@ def read_words(data: bytes, bounds: np.ndarray) -> Words:
         more = more[length[more] > at]
     for i in np.nonzero(length > _LONG_WORD)[0]:
         name[i] = xxhash.xxh64_intdigest(text[start[i] : start[i] + length[i]].tobytes())
-    return Words(name, np.searchsorted(start, bounds))
+    return Words(name, np.searchsorted(start, bounds), start, length)
 
 
 def sequence_hashes(words: Words) -> np.ndarray:
