@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framelake.llm import ann, exact_dedup, language_id, mixing, packing, quality, simhash, substring_dedup
+from framelake.llm import ann, exact_dedup, html_extraction, language_id, mixing, packing, quality, simhash, substring_dedup, url_filter
 from framelake.llm.common import table
 
 
@@ -28,6 +28,14 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_url_filter": op5_url_filter,
+    "op6_html_extraction": op6_html_extraction,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_quality": op9_quality,
@@ -76,6 +86,7 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n
 """,
     "op2_packing": packing.sql(),
     "op3_mixing": mixing.SQL,
+    "op5_url_filter": url_filter.sql(),
     "op7_exact_dedup": """
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS chars, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256,
