@@ -34,6 +34,8 @@ _RING = len(_WIDTHS)
 KEYS = [(i, (i + step) % _RING) for step in (1, 2) for i in range(_RING)]
 #: Shingles whose bits are counted together, and members of a key that are compared at once.
 _BLOCK_SHINGLES, _BLOCK_ROWS, _SPLIT_ROWS = 1 << 18, 512, 4096
+#: Members of a key up to which its few pairs are all compared at once.
+_SMALL = 8
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -141,15 +143,15 @@ def _links(distance: int):
         out = []
         cuts = np.concatenate([[0], np.nonzero((np.diff(keys) != 0) | (np.diff(starts) != 0))[0] + 1, [len(keys)]])
         sizes = np.diff(cuts)
-        for first, n in zip(cuts[:-1][sizes > 64], sizes[sizes > 64], strict=True):
+        for first, n in zip(cuts[:-1][sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
             start, other = KEYS[starts[first]]
             free = ~np.uint64(_SEGMENTS[start] | _SEGMENTS[other])
             bits = [1 << i for i in range(64) if int(free) >> i & 1]
             out += _forest(values[first : first + n], start, distance, [sum(bits[i::4]) for i in range(4)])
         group = np.repeat(np.arange(len(sizes)), sizes)
-        small = sizes[group] <= 64
+        small = sizes[group] <= _SMALL
         group, value, table = group[small], values[small], starts[small]
-        for step in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        for step in range(1, int(sizes[sizes <= _SMALL].max(initial=1))):
             near = np.nonzero(group[step:] == group[:-step])[0]
             if not len(near):
                 break
@@ -229,4 +231,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nothing names them.
     """
     gone = near_duplicates(docs, id_col, text_col, **options).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`") == F.col("_gone"), "left_anti")
+    return docs.alias("_d").join(gone.alias("_g"), F.col(f"_d.`{id_col}`") == F.col("_g._gone"), "left_anti")
