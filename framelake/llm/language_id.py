@@ -22,7 +22,7 @@ from framelake.llm.recompression import mix, read_words
 from framelake.llm.sampling import bounded_texts
 
 #: Training sample and model at most: documents, characters, words, n-grams of each length; letters in an n-gram.
-FIT_ROWS, FIT_CHARS, WORDS, NGRAMS, NGRAM = 8_000, 32_000_000, 200_000, 100_000, 5
+FIT_ROWS, FIT_CHARS, WORDS, NGRAMS, NGRAM = 4_000, 12_000_000, 200_000, 100_000, 5
 #: Words whose evidence counts in full when a probability is given, and bytes of text in a chunk.
 _EVIDENCE, _CHUNK_BYTES = 20, 4 << 20
 UNKNOWN = "und"

@@ -12,7 +12,7 @@ documents left out of training makes it a probability.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ FIT_ROWS, FIT_CHARS, WORDS = 6_000, 24_000_000, 30_000
 DIM, NONZERO, NEIGHBOURS, HIDDEN = 32, 4, 2, 32
 #: A score of this much predicts label 1.
 THRESHOLD = 0.3
-_CHUNK_BYTES = 2 << 20
+_CHUNK_BYTES = 512 << 10
 _SPREAD = 0x9E3779B97F4A7C15
 
 #: Kinds of bytes in a word's form, one bit each.
@@ -183,15 +183,18 @@ class QualityModel:
         """Probability of label 1 of each text; null counts as empty. Without both labels in training, their share."""
         if self.net is None:
             return np.full(len(texts), self.prior)
-        x = self.features([(t or "").encode("utf-8", "surrogatepass") for t in texts])
-        return _sigmoid(self._logits((x - self.centre) / self.scale) / self.temperature)
+        scores = [np.zeros(0)]
+        for chunk in _chunked((t or "").encode("utf-8", "surrogatepass") for t in texts):
+            x = (self._features(chunk) - self.centre) / self.scale
+            scores.append(_sigmoid(self._logits(x) / self.temperature))
+        return np.concatenate(scores)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _chunked(data: list[bytes]) -> Iterator[list[bytes]]:
+def _chunked(data: Iterable[bytes]) -> Iterator[list[bytes]]:
     own, size = [], 0
     for text in data:
         own.append(text)

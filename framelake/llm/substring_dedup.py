@@ -39,7 +39,7 @@ WIDTH = 13
 _FOUND, _MEET, _TEXT = 0, 1, 2
 _ROW = "target int, kind int, n long, docs binary, items binary"
 #: Bytes of text in a chunk, and keys or windows kept before they are sent on.
-_CHUNK_BYTES, _KEEP = 8 << 20, 3_000_000
+_CHUNK_BYTES, _KEEP = 3 << 20, 1_500_000
 #: Bytes of a key that travel. Keys only choose candidates, windows travel whole.
 _KEY_BYTES, _WINDOW_BYTES = 5, 8
 
