@@ -77,3 +77,36 @@ def moments(rows: DataFrame, vector: str) -> DataFrame:
 def trimmed_top(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= n)
+
+
+def blended(logits: Column, values: Column) -> Column:
+    """Candidates' values, weighted by the softmax of their logits."""
+    return dot(softmax(logits), values)
+
+
+def deviation(values: Column) -> Column:
+    """Sample deviation of an array, null for fewer than two values."""
+    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+    n = F.size(values).cast("double")
+    return F.aggregate(
+        values, zero,
+        lambda a, v: F.struct((a["s"] + v.cast("double")).alias("s"), (a["q"] + v.cast("double") * v.cast("double")).alias("q")),
+        lambda a: F.when(n > 1, F.sqrt(F.greatest(F.try_divide(a["q"] - a["s"] * a["s"] / n, n - 1), F.lit(0.0)))),
+    )
+
+
+def rescaled_guidance(guided: Column, text: Column, share: float) -> Column:
+    """``guided`` with the deviation of ``text``, mixed with itself by ``share``."""
+    ratio = F.try_divide(deviation(text), deviation(guided))
+    # The ratio is an array of one, so that it is taken once and not for each component.
+    return F.flatten(F.transform(F.array(ratio), lambda r: F.transform(guided, lambda v: share * v * r + (1 - share) * v)))
+
+
+def batch_normalised(rows: DataFrame, vector: str, gain: float, bias: float, eps: float = 1e-5) -> DataFrame:
+    """All columns but ``vector``, and i, v: each component as one scale and shift, from E[x^2] - E[x]^2 over all rows."""
+    parts = rows.select(*[c for c in rows.columns if c != vector], F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    sums = parts.groupBy("i").agg(F.avg("v").alias("m"), F.avg(F.col("v") * F.col("v")).alias("m2"))
+    scale = gain / F.sqrt(F.col("m2") - F.col("m") * F.col("m") + eps)
+    fused = sums.select("i", scale.alias("_s"), (bias - F.col("m") * scale).alias("_t"))
+    # A row per component: as long as a vector.
+    return parts.join(F.broadcast(fused), "i").withColumn("v", F.col("v") * F.col("_s") + F.col("_t")).drop("_s", "_t")

@@ -133,3 +133,33 @@ def splat(points: DataFrame, w: int, h: int, radius: int = 1, nearest: int = 4,
         F.sum(F.col("visible") * F.col("value")).alias("composite"),
         F.coalesce(F.try_divide(F.sum(F.col("alpha") * F.col("z")), F.sum("alpha")), F.lit(0.0)).alias("depth"),
     )
+
+
+def identity_unproject(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
+    """Camera coordinates under the identity projection."""
+    return x * z, y * z, z
+
+
+def stage_intrinsics(cameras: DataFrame, start_x: Column, start_y: Column, stages: int = 4) -> DataFrame:
+    """stage, fx, fy, cx, cy besides the other columns: the crop's start leaves the centre, then every stage halves all four."""
+    others = [c for c in cameras.columns if c not in ("fx", "fy", "cx", "cy")]
+    each = cameras.withColumn("stage", F.explode(F.sequence(F.lit(0), F.lit(stages - 1)))).withColumn("_f", F.pow(F.lit(0.5), F.col("stage")))
+    return each.select(*others, "stage", (F.col("fx") * F.col("_f")).alias("fx"), (F.col("fy") * F.col("_f")).alias("fy"), ((F.col("cx") - start_x) * F.col("_f")).alias("cx"), ((F.col("cy") - start_y) * F.col("_f")).alias("cy"))
+
+
+def mean_intrinsics(cameras: DataFrame, keys: list[str]) -> DataFrame:
+    """One camera per sample: the mean of its views'."""
+    return cameras.groupBy(*keys).agg(*[F.avg(c).alias(c) for c in ("fx", "fy", "cx", "cy")])
+
+
+def depth_hypotheses(least: Column, most: Column, jitter: Column, bins: int = 48) -> Column:
+    """Array of depths, one in each of ``bins`` equal parts of the inverse range; ``jitter`` in [0, 1) is the place inside a part."""
+    far, near = 1 / most, 1 / least
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: 1 / (far + (k + jitter) / float(bins) * (near - far)))
+
+
+def perturbed_hypotheses(depth: Column, least: Column, most: Column, share: float, samples: int) -> Column:
+    """Array of depths around one: steps of ``share`` of the inverse range, from -samples / 2 on, kept inside it."""
+    far, near = 1 / most, 1 / least
+    steps = F.sequence(F.lit(-(samples // 2)), F.lit(-(samples // 2) + samples - 1))
+    return F.transform(steps, lambda k: 1 / F.least(F.greatest(1 / depth + (near - far) * share * k, far), near))

@@ -181,3 +181,28 @@ def best_so_far(rows: DataFrame, value: str, best: str, key: str = "video") -> D
     """Add best: the running ``max`` or ``min``."""
     order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("best", (F.max if best == "max" else F.min)(value).over(order))
+
+
+def dyadic_differences(rows: DataFrame, strides: tuple[int, ...] = (1, 2, 4), key: str = "video", value: str = "value") -> DataFrame:
+    """key, stride, idx, step: difference to the frame before, among every stride-th frame."""
+    each = rows.withColumn("stride", F.explode(F.array(*[F.lit(s) for s in strides]))).filter(F.col("idx") % F.col("stride") == 0)
+    order = Window.partitionBy(key, "stride").orderBy("idx")
+    return each.select(key, "stride", "idx", (F.col(value) - F.lag(value).over(order)).alias("step")).filter("step IS NOT NULL")
+
+
+def running_mean(rows: DataFrame, key: str = "video", value: str = "value") -> DataFrame:
+    """Add mean: over the key's frames so far."""
+    order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("mean", F.avg(value).over(order))
+
+
+def next_frames(rows: DataFrame, keys: list[str], item: str, order: str = "frame") -> DataFrame:
+    """keys, order, item, next_item for each frame that has one after it."""
+    follows = Window.partitionBy(*keys).orderBy(order)
+    return rows.select(*keys, order, item, F.lead(item).over(follows).alias(f"next_{item}")).filter(F.col(f"next_{item}").isNotNull())
+
+
+def sampled_views(rows: DataFrame, keys: list[str], item: str, n: int, seed: str = "views") -> DataFrame:
+    """``n`` views of each sample without replacement, the same ones in every run."""
+    draw = F.md5(F.concat(F.lit(seed + ":"), F.col(item).cast("string")).cast("binary"))
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(draw, item))).filter(F.col("_r") <= n).drop("_r")

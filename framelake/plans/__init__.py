@@ -1 +1,3 @@
 """Views that read the test tables as rasters and streams, and the queries over them."""
+
+from framelake.plans import image_queries, queries  # noqa: F401  both fill the registry

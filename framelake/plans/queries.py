@@ -5,9 +5,7 @@ Derived doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framelake import functions as fn
@@ -18,47 +16,13 @@ from framelake.operators import geometry as geo
 from framelake.operators import resize as rs
 from framelake.operators import temporal as tp
 from framelake.plans import views as v
+from framelake.plans.registry import FOCAL, MAX_DISPARITY, MOVE, ORACLES, PIXEL, QUERIES, nudged, nudged_sql, query, r6, r6s
 from framelake.plans.views import DENSE, FR, GRID, H, MAN, PG, PX, W
 from framelake.sources import manifest as mf
 from framelake.sources.listing import with_names
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-FOCAL, MOVE, MAX_DISPARITY = 50.0, (0.5, 0.0, 0.25), 16.0
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def r6(c, name: str):
-    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name)
-
-
-#: Added before rounding where values have few binary digits and would lie on the edge between two decimals.
-NUDGE = 1.7e-9
-
+__all__ = ["ORACLES", "QUERIES"]
 
-def nudged(c, name: str, digits: int = 6):
-    return F.round((F.col(c) if isinstance(c, str) else c) + NUDGE * 10 ** (6 - digits), digits).alias(name)
-
-
-def nudged_sql(c: str, name: str, digits: int = 6) -> str:
-    return f"round({c} + {NUDGE * 10 ** (6 - digits)!r}::DOUBLE, {digits}) AS {name}"
-
-
-def r6s(*names: str):
-    return [r6(n, n) for n in names]
-
-
-PIXEL = ["video", "frame", "y", "x"]
 _NORM = f"""{PX}, q AS (SELECT video, frame, quantile_cont(depth, 0.01) AS lo, quantile_cont(depth, 0.99) AS hi FROM px GROUP BY 1, 2),
 nm AS (SELECT px.*, least(greatest((depth - lo) / greatest(hi - lo, 1e-6), 0.0), 1.0) AS near FROM px JOIN q USING (video, frame)),
 dp AS (SELECT *, near * {MAX_DISPARITY} AS disparity FROM nm),
@@ -66,7 +30,7 @@ mv AS (SELECT *, CAST(round_even(x - disparity, 0) AS INTEGER) AS xt, CAST(y * {
 
 
 def disparity_pixels(spark, sf) -> DataFrame:
-    return fr.near_and_disparity(fr.quantile_normalise(v.pixels(spark, sf)).withColumnRenamed("norm", "norm"), "inverse", MAX_DISPARITY)
+    return fr.near_and_disparity(fr.quantile_normalise(v.pixels(spark, sf)), "inverse", MAX_DISPARITY)
 
 
 def dense_pixels(spark, sf) -> DataFrame:
@@ -733,14 +697,12 @@ def r09(spark, sf):
     return rs.pyramid(dense_pixels(spark, sf))
 
 
-@query("t01_stream_ema")
+@query("t01_stream_ema", _EMA.replace("SELECT video, idx, round", "SELECT CAST(video AS BIGINT) AS video, CAST(idx AS BIGINT) AS idx, round") + " QUALIFY row_number() OVER (PARTITION BY video ORDER BY idx DESC) = 1")
 def t01(spark, sf):
     """Final smoothed value of each video, by the stream."""
-    import tempfile
+    from framelake.plans.streams import smoothed_events, stream_folder
 
-    from framelake.plans.streams import smoothed_events
-
-    return smoothed_events(spark, sf, spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-"))
+    return smoothed_events(spark, sf, stream_folder(spark)).select("video", "idx", nudged("smoothed", "smoothed"))
 
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -749,11 +711,9 @@ _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
 def _windowed(kind, sql):
     @query(f"t08_stream_{kind}", sql)
     def run(spark, sf):
-        import tempfile
-
-        from framelake.plans.streams import windowed_events
+        from framelake.plans.streams import stream_folder, windowed_events
 
-        out = windowed_events(spark, sf, spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-"), kind)
+        out = windowed_events(spark, sf, stream_folder(spark), kind)
         return out.select(*[c for c in ("video",) if c in out.columns], F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 

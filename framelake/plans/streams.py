@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.plans.views import frame_stream, table
-from framelake.streaming import event_windows, run_once, smooth_stream
+from framelake.streaming import attended_stream, event_windows, run_once, smooth_stream
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a folder of this machine only where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
 
 
 def replayed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
@@ -25,11 +33,20 @@ def smoothed_events(spark: SparkSession, sf: str, folder: str, a: float = 0.75)
     folder = f"{folder}/{uuid.uuid4()}"
     rows = frame_stream(spark, sf).select(F.col("video").cast("long").alias("video"), F.col("idx").cast("long").alias("idx"), F.col("value").cast("double").alias("value"))
     stream = replayed(spark, rows.repartition("video").sortWithinPartitions("video", "idx"), folder)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     run_once(smooth_stream(stream, a), f"{folder}/out", f"{folder}/state")
-    last = Window.partitionBy("video").orderBy(F.desc("idx"))
-    out = spark.read.parquet(f"{folder}/out").withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r")
-    return out.select("video", "idx", F.round("smoothed", 6).alias("smoothed"))
+    last = F.max(F.struct("idx", "smoothed")).alias("last")
+    return spark.read.parquet(f"{folder}/out").groupBy("video").agg(last).select("video", "last.idx", "last.smoothed")
+
+
+def attended_events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """video, idx, attended: the frames that each frame of the stream attends to."""
+    folder = f"{folder}/{uuid.uuid4()}"
+    rows = frame_stream(spark, sf).select(F.col("video").cast("long").alias("video"), F.col("idx").cast("long").alias("idx"))
+    stream = replayed(spark, rows.repartition("video").sortWithinPartitions("video", "idx"), folder)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    run_once(attended_stream(stream), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out")
 
 
 def windowed_events(spark: SparkSession, sf: str, folder: str, kind: str) -> DataFrame:

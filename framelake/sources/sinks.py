@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -12,8 +12,13 @@ def write_ply(points: DataFrame, path: str) -> None:
     kinds = [("double", c) for c in "xyz"] + [("uchar", c) for c in ("red", "green", "blue")]
     header = ["ply", "format ascii 1.0", f"element vertex {n}", *[f"property {k} {c}" for k, c in kinds], "end_header"]
     points.sparkSession.createDataFrame([(i, line) for i, line in enumerate(header)], "i int, value string").coalesce(1).orderBy("i").select("value").write.mode("overwrite").text(f"{path}/header")
+    ply_lines(points).write.mode("overwrite").text(f"{path}/vertices")
+
+
+def ply_lines(points: DataFrame) -> DataFrame:
+    """value: a vertex line of each point (x, y, z, r, g, b)."""
     channel = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * 255).cast("string")
-    points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"], *[channel(c) for c in "rgb"]).alias("value")).write.mode("overwrite").text(f"{path}/vertices")
+    return points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"], *[channel(c) for c in "rgb"]).alias("value"))
 
 
 def append_results(metrics: DataFrame, path: str) -> None:
@@ -24,9 +29,9 @@ def append_results(metrics: DataFrame, path: str) -> None:
 
 def clip_normalised(frames: DataFrame, value: str = "depth") -> DataFrame:
     """Add level, 0 to 255: value between the least and greatest of its whole clip; what a video encoder takes."""
-    clip = Window.partitionBy("video")
-    low, high = F.min(value).over(clip), F.max(value).over(clip)
-    return frames.withColumn("level", F.floor(F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0)) * 255).cast("int"))
+    bounds = frames.groupBy("video").agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    scaled = F.coalesce(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    return frames.join(bounds, "video").withColumn("level", F.floor(scaled * 255).cast("int")).drop("_lo", "_hi")
 
 
 def write_frames(frames: DataFrame, path: str, key: str = "video", order: str = "frame") -> None:

@@ -104,7 +104,7 @@ def test_depth_model(spark):
 def test_stream_equals_batch(spark, tmp_path):
     got = {r.video: r.smoothed for r in smoothed_events(spark, SF, str(tmp_path)).collect()}
     batch = plans.QUERIES["w01_ema"](spark, SF).toPandas().sort_values("idx").groupby("video").last()
-    assert got == batch.smoothed.round(6).to_dict()
+    assert got.keys() == batch.smoothed.to_dict().keys() and all(abs(got[k] - x) < 1e-6 for k, x in batch.smoothed.to_dict().items())
 
 
 def test_attended_frames_of_a_stream(spark, tmp_path):
