@@ -5,11 +5,11 @@ repeated groups, and a host's distinct trees are aligned one after another:
 elements that match are merged, those that only one side has become optional,
 and text stands as a slot. The result is the host's wrapper, a regular
 expression without unions. Trees are reduced to their distinct forms before
-they meet, then merged in shards, then by host, so a hot host's pages never come
-together. Sums over a host's slots tell which slots hold the same text on every
-page (template) and, where pages mark no article, which element holds the bulk
-of running text (the article's slot). Every page is then cut by its host's
-wrapper.
+they meet, then merged a few at a time in rounds, so neither a hot host's pages
+nor its trees ever come together. Sums over the slots of a host's wrapper tell
+which hold the same text on every page (template) and, where pages mark no
+article, which element holds the bulk of running text (the article's slot).
+Every page is then cut by its host's wrapper.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialise
+from framelake.llm.common import join_group_facts, materialise
 from framelake.llm.urls import url_host
 
 # Names of HTML elements and of page parts.
@@ -44,16 +44,25 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?
 _NAME = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
-#: Pages that must agree before a slot's text is template, shards of a host's distinct trees, hosts whose wrappers go out by broadcast at most.
-TEMPLATE_PAGES, SHARDS, BROADCAST_HOSTS = 3, 64, 50_000
+#: Elements below this depth count as their ancestor there; their text does not suffer.
+MAX_DEPTH = 100
+#: Pages that must agree before a slot's text is template, trees that are merged at once, bytes of wrappers that go out by broadcast at most.
+TEMPLATE_PAGES, FAN_IN, BROADCAST_BYTES = 3, 64, 32 << 20
 
 
 class _Node:
-    __slots__ = ("article", "children", "drop", "path", "sig", "tag")
-
-    def __init__(self, tag: str, sig: str, path: str, drop: bool, article: bool) -> None:
-        self.tag, self.sig, self.path, self.drop, self.article = tag, sig, path, drop, article
+    __slots__ = ("article", "children", "depth", "drop", "path", "sig", "tag")
+
+    def __init__(self, tag: str, sig: str, parent: _Node | None, drop: bool, article: bool) -> None:
+        self.tag, self.sig, self.drop, self.article = tag, sig, drop, article
+        self.depth = parent.depth + 1 if parent else 0
+        if self.depth > MAX_DEPTH:
+            self.path, self.children = parent.path, parent.children
+            return
+        self.path = f"{parent.path}/{sig}" if parent else ""
         self.children: list = []
+        if parent:
+            parent.children.append(self)
 
 
 def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
@@ -79,13 +88,14 @@ def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
                 drop = True
         if tag not in ("html", "body", "article", "main") and not NOT_TEXT_NAMES.isdisjoint(names):
             drop = True
-    return _Node(tag, sig, f"{parent.path}/{sig}", drop, article)
+    return _Node(tag, sig, parent, drop, article)
 
 
 def read_page(html: str | None) -> tuple[_Node, list[tuple[_Node, str, float]]]:
-    """The page's tree, and its text blocks in order: element, text, share of it in links."""
-    root = _Node("", "", "", False, False)
+    """The page's tree, MAX_DEPTH levels deep, and its text blocks in order: element, text, share of it in links."""
+    root = _Node("", "", None, False, False)
     stack, blocks, text, linked, link = [root], [], [], 0, 0
+    opened: Counter = Counter()
     html = html or ""
 
     def flush() -> None:
@@ -116,9 +126,10 @@ def read_page(html: str | None) -> tuple[_Node, list[tuple[_Node, str, float]]]:
         if m[1] or m[4]:
             if tag in BLOCKS:
                 flush()
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == tag:
-                        del stack[i:]
+                while opened[tag]:
+                    last = stack.pop()
+                    opened[last.tag] -= 1
+                    if last.tag == tag:
                         break
             elif tag == "a":
                 link = 0
@@ -131,14 +142,14 @@ def read_page(html: str | None) -> tuple[_Node, list[tuple[_Node, str, float]]]:
         elif tag in BLOCKS:
             flush()
             if stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                stack.pop()
+                opened[stack.pop().tag] -= 1
                 if tag == "li" and stack[-1].tag == "li":
-                    stack.pop()
+                    opened[stack.pop().tag] -= 1
             attributes = m[3] if m[2] else m[6]
             node = _opened(tag, attributes or "", stack[-1])
-            stack[-1].children.append(node)
             if not (attributes or "").endswith("/"):
                 stack.append(node)
+                opened[tag] += 1
         elif tag == "a":
             link = 1
     if at < size:
@@ -247,34 +258,63 @@ def hash_text(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
 
 
+def slot_paths(wrapper: list, path: str = "") -> list[str]:
+    """Paths of a wrapper's text slots, each once; a repeated group adds no step to a path."""
+    out: dict[str, None] = {}
+    for sig, _, children in wrapper:
+        if sig == "#":
+            out[path] = None
+        else:
+            out |= dict.fromkeys(slot_paths(children, path if sig == "()" else f"{path}/{sig}"))
+    return list(out)
+
+
 def _merged(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     wrapper: list | None = None
     for tree in sorted(rows["tree"]):
         own = json.loads(tree)
         wrapper = own if wrapper is None else align(wrapper, own)
-    return pd.DataFrame({"host": [key[0]], "tree": [json.dumps(wrapper, separators=(",", ":"))]})
+    return pd.DataFrame({"host": [key[0]], "node": [key[1]], "tree": [json.dumps(wrapper, separators=(",", ":"))]})
+
+
+def merge_trees(trees: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
+    """host, tree: one wrapper per host, from its distinct trees.
+
+    A tree takes a place by its hash, and every round merges the trees of
+    ``fan_in`` neighbouring places; there are as many rounds as the host with
+    most trees needs, so that about ``fan_in`` meet in a group.
+    """
+    widest = trees.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+    rounds = 1
+    while fan_in**rounds < widest:
+        rounds += 1
+    level = trees.select("host", F.pmod(F.xxhash64("tree"), F.lit(fan_in**rounds)).alias("node"), "tree")
+    for _ in range(rounds):
+        level = level.withColumn("node", F.floor(F.col("node") / fan_in)).groupBy("host", "node").applyInPandas(_merged, "host string, node long, tree string")
+    return level.select("host", "tree")
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """One row per host: host, pattern, article_path, template_paths.
+    """One row per host: host, pages, pattern, article_path, template_paths.
 
-    pattern is the host's wrapper. article_path is the element with the most
-    running text on pages that mark no article, null if there is none;
-    template_paths are slots outside articles whose text is the same on every
-    page, seen at least ``template_pages`` times. A null url has the empty host.
+    pattern is the host's wrapper; the paths are among its slots. article_path
+    is the element with the most running text on pages that mark no article,
+    null if there is none; template_paths are slots outside articles whose text
+    is the same on every page, seen at least ``template_pages`` times. A null
+    url has the empty host.
     """
     seen = materialise(
         pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(
             _folded, "host string, tree string, path string, marked boolean, inside boolean, pages long, chars long, linked double, least long, most long"
         )
     )
-    trees = seen.filter("tree IS NOT NULL").select("host", "tree").distinct()
-    shards = trees.withColumn("shard", F.pmod(F.xxhash64("tree"), F.lit(SHARDS)))
-    merged = shards.groupBy("host", "shard").applyInPandas(_merged, "host string, tree string").groupBy("host").applyInPandas(_merged, "host string, tree string")
-    written = merged.select("host", F.udf(lambda t: pattern(json.loads(t)), "string")("tree").alias("pattern"))
+    trees = materialise(seen.filter("tree IS NOT NULL").groupBy("host", "tree").agg(F.sum("pages").alias("pages")))
+    read = F.udf(lambda t: (pattern(w := json.loads(t)), slot_paths(w)), "pattern string, slots array<string>")
+    written = materialise(merge_trees(trees).select("host", read("tree").alias("w")).select("host", "w.pattern", "w.slots"))
     slots = seen.filter("path IS NOT NULL").groupBy("host", "path", "marked", "inside").agg(
         F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")
     )
+    slots = slots.join(written.select("host", F.explode("slots").alias("path")), ["host", "path"], "left_semi")
     fixed = F.col("least") == F.col("most")
     template = slots.filter(~F.col("inside")).groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most")).filter((F.col("pages") >= template_pages) & fixed)
     holders = (
@@ -284,7 +324,8 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         .filter("running > 0")
         .groupBy("host").agg(F.max(F.struct("running", "holder"))["holder"].alias("article_path"))
     )
-    return written.join(holders, "host", "left").join(template.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template_paths")), "host", "left")
+    counts = trees.groupBy("host").agg(F.sum("pages").alias("pages"))
+    return counts.join(written.select("host", "pattern"), "host").join(holders, "host", "left").join(template.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template_paths")), "host", "left")
 
 
 def main_text(html: str | None, article_path: str | None, template_paths: list[str] | None) -> str:
@@ -305,18 +346,20 @@ def main_text(html: str | None, article_path: str | None, template_paths: list[s
     return " ".join(b[1] for b in inside)
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
     A null or empty html, and one without an article, has the empty text. Broken
     and cut-off markup is read as far as it goes. An empty table gives no rows.
     Further columns of ``pages`` are not read. Wrappers go to the pages by
-    broadcast while they are few, else they meet by host.
+    broadcast up to ``broadcast_bytes`` in all; beyond, those of large hosts, of
+    which there are few, still do, and all others meet by host.
     """
-    wrappers = materialise(infer_wrappers(pages, url_col, html_col).select("host", "article_path", "template_paths"))
-    few = wrappers.count() <= BROADCAST_HOSTS
+    wrappers = materialise(infer_wrappers(pages, url_col, html_col).select("host", "pages", "article_path", "template_paths"))
+    taken = F.length("host") + F.length(F.coalesce("article_path", F.lit(""))) + F.length(F.array_join(F.coalesce("template_paths", F.array().cast("array<string>")), " ")) + 64
+    size, total = wrappers.agg(F.coalesce(F.sum(taken), F.lit(0)), F.coalesce(F.sum("pages"), F.lit(0))).first()
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
-    joined = rows.join(F.broadcast(wrappers) if few else wrappers, "host", "left")
+    joined = rows.join(F.broadcast(wrappers), "host", "left") if size <= broadcast_bytes else join_group_facts(rows, wrappers, "host", "pages", total)
 
     def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for html, path, template in batches:

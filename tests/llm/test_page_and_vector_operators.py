@@ -1,5 +1,6 @@
 """Operators over pages and embeddings, and the pipeline."""
 
+import json
 from collections import Counter
 
 import duckdb
@@ -56,6 +57,7 @@ PAGES = [
     ("<body><header>Site</header><div id=sidebar>s</div><div class=post><p>Body text that is long enough.</p><p>More.</p></div><div class=cookie-notice>We use</div></body>", "Body text that is long enough. More."),
     (None, ""), ("", ""), ("plain &copy text", "plain © text"), ("<article>cut off &am", "cut off &am"), ("<article>tag <p", "tag"),
     ("<nav>only menu</nav>", ""), ("<article>" + "word " * 50000 + "</article>", ("word " * 50000).strip()),
+    ("<article>" + "<div>" * 30000 + "deep" + "</p>" * 30000 + "</div>" * 30000 + "<p>end</article>", "deep end"),
 ]
 
 
@@ -79,6 +81,18 @@ def test_wrappers_are_union_free(spark):
     assert row.pattern.startswith("body[div.a[p[#]+] ") and "div.b[#]?" in row.pattern and "|" not in row.pattern
 
 
+def test_trees_merge_alike_in_any_number_of_rounds(spark):
+    bodies = ["".join(f"<div class=c{chr(97 + b)}><p>x</p></div>" for b in range(6) if i >> b & 1) for i in range(1, 60)]
+    pages = spark.createDataFrame([(i, f"http://h.test/{i}", f"<body>{b}</body>") for i, b in enumerate(bodies)] + [(99, "http://other.test/", "<p>y")], "page_id long, url string, html string")
+    trees = spark.createDataFrame([("h", json.dumps(html_extraction.page_wrapper(html_extraction.read_page(f"<body>{b}</body>")[0]))) for b in bodies], "host string, tree string")
+    few, many = (html_extraction.merge_trees(trees, n).collect() for n in (4, 64))
+    want = {f"/body/div.c{c}/p" for c in "abcdef"}
+    for rows in (few, many):
+        assert len(rows) == 1 and set(html_extraction.slot_paths(json.loads(rows[0].tree))) == want
+    all_rows = {r.page_id: r.text for r in html_extraction.extract_main_text(pages).collect()}
+    assert all_rows == {r.page_id: r.text for r in html_extraction.extract_main_text(pages, broadcast_bytes=0).collect()} and len(all_rows) == 60
+
+
 def test_pages_of_the_test_data(spark):
     import html as h
     import re
