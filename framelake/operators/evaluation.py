@@ -6,8 +6,6 @@ valid pixels; a scene has the mean over frames, a dataset the mean over scenes.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,14 +105,27 @@ def robust_bounds(px: DataFrame, value: str = "v", mask: str = "mask", keys: tup
     return px.join(middle, list(keys)).groupBy(*keys, "middle").agg(F.greatest(F.coalesce(F.try_divide(off, known), F.lit(0.0)), F.lit(1e-6)).alias("spread"))
 
 
-def trimmed_mae(px: DataFrame, trim: float = 0.2, keys: tuple[str, ...] = SCENE) -> DataFrame:
-    """Sum of the smallest int(n (1 - trim)) absolute errors over all n."""
-    order = Window.partitionBy(*keys).orderBy("residual")
-    ranked = px.select(*keys, F.abs(F.col("pred") - F.col("gt")).alias("residual"))
-    counts = ranked.groupBy(*keys).agg(F.count("*").alias("n"))
-    ranked = ranked.withColumn("rank", F.row_number().over(order)).join(counts, list(keys))
-    kept = F.sum(F.when(F.col("rank") <= F.floor(F.col("n") * (1 - trim)), F.col("residual")).otherwise(0.0))
-    return ranked.groupBy(*keys).agg((kept / F.max("n")).alias("loss"))
+def trimmed_mae(px: DataFrame, trim: float = 0.2, keys: tuple[str, ...] = SCENE, per_octave: int = 64) -> DataFrame:
+    """Sum of the smallest int(n (1 - trim)) absolute errors over all n.
+
+    Counts and sums per bucket of the residuals' logarithm tell in which bucket
+    the cut falls; only that bucket's residuals are ranked, equal ones as one row.
+    """
+    bucket = F.coalesce(F.floor(F.log2("residual") * per_octave), F.lit(-(1 << 20))).cast("int")  # 0 has no logarithm and comes first
+    placed = px.select(*keys, F.abs(F.col("pred") - F.col("gt")).alias("residual")).filter("residual IS NOT NULL").withColumn("_b", bucket)
+    key = Window.partitionBy(*keys)
+    sums = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.sum("residual").alias("_s"))
+    sums = sums.withColumn("_upto", F.sum("_c").over(key.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("_c").over(key))
+    below = F.col("_upto") < F.floor(F.col("n") * (1 - trim))
+    cut = sums.groupBy(*keys, "n").agg(
+        F.coalesce(F.sum(F.when(below, F.col("_s"))), F.lit(0.0)).alias("part"),
+        F.min(F.when(~below, F.struct("_b", (F.col("_upto") - F.col("_c")).alias("before")))).alias("_cut"),
+    ).select(*keys, "n", "part", "_cut._b", (F.floor(F.col("n") * (1 - trim)) - F.col("_cut.before")).alias("_left"))
+    values = placed.join(cut, [*keys, "_b"]).groupBy(*keys, "n", "part", "_left", "residual").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(key.orderBy("residual").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = F.least(F.col("_c"), F.greatest(F.col("_left") - before, F.lit(0)))
+    inside = values.withColumn("_t", taken).groupBy(*keys, "n", "part").agg(F.sum(F.col("residual") * F.col("_t")).alias("inside"))
+    return inside.select(*keys, ((F.col("part") + F.col("inside")) / F.col("n")).alias("loss"))
 
 
 def batch_and_image_means(images: DataFrame, loss: str = "loss", weight: str = "n", keys: tuple[str, ...] = ("dataset",)) -> DataFrame:
@@ -124,29 +135,25 @@ def batch_and_image_means(images: DataFrame, loss: str = "loss", weight: str = "
 
 def gradient_loss(px: DataFrame, value: str = "diff", strides: tuple[int, ...] = (1, 2, 4, 8), keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
     """Absolute differences between neighbours on grids of each stride, over the grid's pixels, summed over strides."""
-    parts = []
-    for s in strides:
-        grid = px.filter((F.col("y") % s == 0) & (F.col("x") % s == 0))
-        steps = []
-        for along, across in (("x", "y"), ("y", "x")):
-            order = Window.partitionBy(*keys, across).orderBy(along)
-            near = F.col(along) - F.lag(along).over(order) == s
-            steps.append(F.when(near, F.abs(F.col(value) - F.lag(value).over(order))).otherwise(0.0))
-        grid = grid.withColumn("_gx", steps[0]).withColumn("_gy", steps[1])
-        parts.append(grid.groupBy(*keys).agg((F.sum(F.col("_gx") + F.col("_gy")) / F.count("*")).alias("part")))
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("part").alias("loss"))
+    grid = px.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in strides]))).filter((F.col("y") % F.col("_s") == 0) & (F.col("x") % F.col("_s") == 0))
+    for along, across in (("x", "y"), ("y", "x")):
+        order = Window.partitionBy(*keys, "_s", across).orderBy(along)
+        near = F.col(along) - F.lag(along).over(order) == F.col("_s")
+        grid = grid.withColumn(f"_g{along}", F.when(near, F.abs(F.col(value) - F.lag(value).over(order))).otherwise(0.0))
+    parts = grid.groupBy(*keys, "_s").agg((F.sum(F.col("_gx") + F.col("_gy")) / F.count("*")).alias("part"))
+    return parts.groupBy(*keys).agg(F.sum("part").alias("loss"))
 
 
 def temporal_gradient_loss(rows: DataFrame, strides: tuple[int, ...] = (1, 2, 4), decay: float = 0.5, share: float = 0.05, keys: tuple[str, ...] = ("video",)) -> DataFrame:
     """Differences of pred and target steps between strided frames, where the target moves by less than ``share`` of its range."""
     bounds = rows.groupBy(*keys).agg((F.max("target") - F.min("target")).alias("range"))
-    parts = []
-    for i, s in enumerate(strides):
-        order = Window.partitionBy(*keys).orderBy("idx")
-        moved = rows.filter(F.col("idx") % s == 0).select(*keys, (F.col("pred") - F.lag("pred").over(order)).alias("dp"), (F.col("target") - F.lag("target").over(order)).alias("dt"))
-        still = moved.join(bounds, list(keys)).filter(F.abs("dt") < share * F.col("range"))
-        parts.append(still.groupBy(*keys).agg((F.avg(F.abs(F.col("dp") - F.col("dt"))) * decay**i).alias("part")))
-    return reduce(DataFrame.unionByName, parts).groupBy(*keys).agg(F.sum("part").alias("loss"))
+    levels = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(decay**i).alias("w")) for i, s in enumerate(strides)])
+    each = rows.withColumn("_l", F.explode(levels)).filter(F.col("idx") % F.col("_l.s") == 0)
+    order = Window.partitionBy(*keys, "_l.s").orderBy("idx")
+    moved = each.select(*keys, "_l", (F.col("pred") - F.lag("pred").over(order)).alias("dp"), (F.col("target") - F.lag("target").over(order)).alias("dt"))
+    still = moved.join(bounds, list(keys)).filter(F.abs("dt") < share * F.col("range"))
+    parts = still.groupBy(*keys, "_l").agg(F.avg(F.abs(F.col("dp") - F.col("dt"))).alias("part"))
+    return parts.groupBy(*keys).agg(F.sum(F.col("part") * F.col("_l.w")).alias("loss"))
 
 
 def smooth_l1(a: Column, b: Column) -> Column:

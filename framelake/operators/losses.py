@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from framelake.operators import evaluation as ev
@@ -16,10 +16,19 @@ def silog_loss(px: DataFrame, balance: float = 0.5, keys: tuple[str, ...] = ev.S
     return px.groupBy(*keys).agg(F.avg(d * d).alias("e2"), F.avg(d).alias("e1")).select(*keys, F.sqrt(F.col("e2") - balance * F.col("e1") * F.col("e1")).alias("loss"))
 
 
-def robustly_normalised(px: DataFrame, value: str, mask: str = "mask", keys: tuple[str, ...] = CLIP_FRAME) -> DataFrame:
-    """``value`` less the frame's middle, over its spread."""
-    bounds = ev.robust_bounds(px, value, mask, keys)
-    return px.join(bounds, list(keys)).withColumn(value, (F.col(value) - F.col("middle")) / F.col("spread")).drop("middle", "spread")
+def robustly_normalised(px: DataFrame, values: tuple[str, ...], mask: str = "mask", keys: tuple[str, ...] = CLIP_FRAME) -> DataFrame:
+    """Each of ``values`` less the frame's middle, over its spread, as robust_bounds has them.
+
+    A frame's pixels meet once, in windows of one partitioning.
+    """
+    frame = Window.partitionBy(*keys)
+    for value in values:
+        entered = px.withColumn("_e", F.when(F.col(mask), F.col(value)).otherwise(0.0))
+        middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY _e) OVER (PARTITION BY {', '.join(keys)})")
+        off = entered.withColumn("_m", middle).withColumn("_d", F.when(F.col(mask), F.abs(F.col(value) - F.col("_m"))))
+        spread = F.greatest(F.coalesce(F.avg("_d").over(frame), F.lit(0.0)), F.lit(1e-6))
+        px = off.withColumn(value, (F.col(value) - F.col("_m")) / spread).drop("_e", "_m", "_d")
+    return px
 
 
 def trimmed_procrustes(px: DataFrame, alpha: float = 0.5, trim: float = 0.2, keys: tuple[str, ...] = CLIP_FRAME) -> DataFrame:
@@ -27,7 +36,7 @@ def trimmed_procrustes(px: DataFrame, alpha: float = 0.5, trim: float = 0.2, key
 
     All pixels count; a column mask tells which of them set the middle and spread.
     """
-    both = robustly_normalised(robustly_normalised(px, "pred", keys=keys), "target", keys=keys)
+    both = robustly_normalised(px, ("pred", "target"), keys=keys)
     data = ev.trimmed_mae(both.withColumnRenamed("target", "gt"), trim, keys).withColumnRenamed("loss", "data")
     if alpha == 0:
         return data.withColumnRenamed("data", "loss")

@@ -55,6 +55,16 @@ def test_trimmed_mae(spark):
     assert ev.trimmed_mae(rows).first().loss == 2.0
 
 
+@pytest.mark.parametrize("trim", [0.0, 0.2, 0.55, 1.0])
+def test_trimmed_mae_against_numpy(spark, trim):
+    rng = np.random.default_rng(9)
+    values = {"even": rng.random(500), "ties": rng.integers(0, 3, 300).astype(float), "skewed": np.append(rng.random(200) * 1e-6, 1e6), "zero": np.zeros(40), "one": np.ones(1)}
+    rows = spark.createDataFrame([(k, 0, float(x), 0.0) for k, v in values.items() for x in v] + [("even", 0, None, 1.0)], "dataset string, scene int, pred double, gt double")
+    got = {r.dataset: r.loss for r in ev.trimmed_mae(rows, trim, per_octave=2).collect()}
+    for k, v in values.items():
+        assert math.isclose(got[k], np.sort(v)[: int(np.floor(len(v) * (1 - trim)))].sum() / len(v), abs_tol=1e-12)
+
+
 def test_gradient_loss(spark):
     image = np.random.default_rng(3).random((8, 8))
     rows = spark.createDataFrame([("v", 0, y, x, float(image[y, x])) for y in range(8) for x in range(8)], "video string, frame int, y int, x int, diff double")
