@@ -687,7 +687,18 @@ def r05(spark, sf):
     return rs.area(dense_pixels(spark, sf), 4).select(*PIXEL, nudged("depth", "depth", 4))
 
 
-@query("r06_bicubic")
+def _bicubic_sql(h, w, nh, nw):
+    """Four taps an axis, edges repeated, weights of each target summing to one."""
+    def axis(name, s, n):
+        at = f"((range + 0.5) * {s} / {n}.0::DOUBLE - 0.5)"
+        return f"""{name}0 AS (SELECT range AS t, least(greatest(CAST(floor({at}) AS INTEGER) + o, 0), {s - 1}) AS src, abs({at} - (floor({at}) + o)) AS d FROM range({n}), (SELECT unnest([-1, 0, 1, 2]) AS o)),
+{name} AS (SELECT t, src, f / sum(f) OVER (PARTITION BY t) AS f FROM (SELECT t, src, CASE WHEN d <= 1 THEN 1.25::DOUBLE * d * d * d - 2.25::DOUBLE * d * d + 1 WHEN d < 2 THEN -0.75::DOUBLE * d * d * d + 3.75::DOUBLE * d * d - 6 * d + 3 ELSE 0 END AS f FROM {name}0))"""
+
+    return f"""WITH {PX}, {DENSE}, {axis('ya', h, nh)}, {axis('xa', w, nw)}
+SELECT d.video, d.frame, CAST(ya.t AS INTEGER) AS y, CAST(xa.t AS INTEGER) AS x, {nudged_sql('sum(d.depth * ya.f * xa.f)', 'depth', 3)} FROM dense d JOIN ya ON ya.src = d.y JOIN xa ON xa.src = d.x GROUP BY 1, 2, 3, 4"""
+
+
+@query("r06_bicubic", _bicubic_sql(H, W, 24, 48))
 def r06(spark, sf):
     return rs.resample(dense_pixels(spark, sf), H, W, 24, 48).select(*PIXEL, nudged("depth", "depth", 3))
 

@@ -12,6 +12,7 @@ from framelake.operators import geometry as geo
 from framelake.operators import images as im
 from framelake.operators import losses as ls
 from framelake.operators import temporal as tp
+from framelake.operators.conversion import to_stereo
 
 
 def raster(spark, rows, names, frame=0):
@@ -193,3 +194,15 @@ def test_gate_and_black(spark):
     assert px.filter(im.is_black(-F.col("c"))).count() == 1
     holes = fr.with_holes(px.filter("x = 0"), 1, 2, ("depth",))
     assert grid_of(im.mask_levels(holes), "level", 1, 2).tolist() == [[0, 255]]
+
+
+def test_to_stereo(spark):
+    px = raster(spark, [[[0, 0, 1, 0]], [[0.2, 0.4, 0.6, 1.0]], [[0.0] * 4], [[0.0] * 4]], ["depth", "r", "g", "b"])
+    sbs = grid_of(to_stereo(px, 1, 4, max_disparity=2.0, low=0.0, high=1.0), "r", 1, 8)[0]
+    # The near third pixel covers the first; its own place is a hole and takes its box's mean.
+    assert sbs.tolist() == [51, 102, 153, 255, 153, 102, 170, 255]
+    wide = to_stereo(px, 1, 4, max_disparity=2.0, low=0.0, high=1.0, dilate=1, levels=None)
+    assert grid_of(wide, "r", 1, 8)[0, 5] == pytest.approx(0.8)
+    assert to_stereo(px, 1, 4, "anaglyph", max_disparity=0.0).count() == 4 and to_stereo(px.limit(0), 1, 4).count() == 0
+    with pytest.raises(ValueError, match="unknown layout"):
+        to_stereo(px, 1, 4, "diagonal")
