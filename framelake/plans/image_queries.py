@@ -120,9 +120,9 @@ def u04(spark, sf):
     return v.pixels(spark, sf).groupBy("video", "frame").agg(F.count(F.when(a | b, 1)).alias("either"), F.count(F.when(a & b, 1)).alias("both"))
 
 
-@query("s09_ground_truth", f"WITH {PX}, {DENSE} SELECT video, frame, y, x, round(nullif(depth / 256.0::DOUBLE, 0), 6) AS gt FROM dense")
+@query("s09_ground_truth", f"WITH {PX}, {DENSE} SELECT video, frame, y, x, {nudged_sql('nullif(depth / 256.0::DOUBLE, 0)', 'gt')} FROM dense")
 def s09(spark, sf):
-    return q.dense_pixels(spark, sf).select(*PIXEL, r6(ev.ground_truth(F.col("depth"), 256.0), "gt"))
+    return q.dense_pixels(spark, sf).select(*PIXEL, nudged(ev.ground_truth(F.col("depth"), 256.0), "gt"))
 
 
 @query("k03_clip_levels", f"WITH {PX} SELECT video, frame, y, x, CAST(floor((depth - lo) / (hi - lo) * 255) AS INTEGER) AS level FROM px JOIN (SELECT video, min(depth) AS lo, max(depth) AS hi FROM px GROUP BY 1) USING (video)")

@@ -438,13 +438,13 @@ def _temporal_sql() -> str:
         f"SELECT video, avg(abs(dp - dt)) * {0.5**i} AS part FROM (SELECT m.video, dp, dt, rng FROM (SELECT video, value * 0.9 + idx - lag(value * 0.9 + idx) OVER w AS dp, value - lag(value) OVER w AS dt FROM fr WHERE idx % {s} = 0 WINDOW w AS (PARTITION BY video ORDER BY idx)) m JOIN b ON b.video = m.video WHERE abs(dt) < 0.05 * rng) GROUP BY 1"
         for i, s in enumerate((1, 2, 4))
     ]
-    return f"WITH {FR}, b AS (SELECT video, max(value) - min(value) AS rng FROM fr GROUP BY 1), p AS ({' UNION ALL '.join(parts)}) SELECT video, round(sum(part), 6) AS loss FROM p GROUP BY 1"
+    return f"WITH {FR}, b AS (SELECT video, max(value) - min(value) AS rng FROM fr GROUP BY 1), p AS ({' UNION ALL '.join(parts)}) SELECT video, {nudged_sql('sum(part)', 'loss')} FROM p GROUP BY 1"
 
 
 @query("a27_temporal_gradient", _temporal_sql())
 def a27(spark, sf):
     rows = v.frame_stream(spark, sf).select("video", "idx", (F.col("value") * 0.9 + F.col("idx")).alias("pred"), F.col("value").alias("target"))
-    return ev.temporal_gradient_loss(rows).select("video", r6("loss", "loss"))
+    return ev.temporal_gradient_loss(rows).select("video", nudged("loss", "loss"))
 
 
 _MAE = f"{_NORM}, {_RIGHT}, mae AS (SELECT video, frame, sum(abs(px.r - rp.r) + abs(px.g - rp.g) + abs(px.b - rp.b)) / (3 * count(*)) AS mae FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2)"
