@@ -19,6 +19,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -222,31 +223,33 @@ def pattern(wrapper: list) -> str:
     return " ".join(("(" + pattern(c) + ")" if s == "()" else s + ("[" + pattern(c) + "]" if c else "")) + q for s, q, c in wrapper)
 
 
-def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task: pages of each (host, tree), and of each (host, slot) its pages, characters, and least and greatest text hash."""
+def _folded(batches: Iterator[pd.DataFrame], enough: int = TEMPLATE_PAGES) -> Iterator[pd.DataFrame]:
+    """Per task: pages of each (host, tree), and of each (host, slot) its characters, least and greatest text hash, and the least ``enough`` hashes of contents of pages that have it."""
     trees: Counter = Counter()
     slots: dict[tuple, list] = {}
 
     def rows() -> pd.DataFrame:
-        out = [(h, t, None, False, False, n, 0, 0.0, 0, 0) for (h, t), n in trees.items()]
+        out = [(h, t, None, False, False, n, 0, 0.0, 0, 0, []) for (h, t), n in trees.items()]
         out += [(h, None, p, a, i, *x) for (h, p, a, i), x in slots.items()]
         trees.clear()
         slots.clear()
-        return pd.DataFrame(out, columns=["host", "tree", "path", "marked", "inside", "pages", "chars", "linked", "least", "most"])
+        return pd.DataFrame(out, columns=["host", "tree", "path", "marked", "inside", "pages", "chars", "linked", "least", "most", "contents"])
 
     for batch in batches:
         for host, html in zip(batch["host"], batch["html"], strict=True):
             root, blocks = read_page(html)
             trees[host, json.dumps(page_wrapper(root), separators=(",", ":"))] += 1
             marked = any(b[0].article and not b[0].drop for b in blocks)
-            for node, text, linked in blocks:
-                if not node.drop:
-                    h = hash_text(text)
-                    x = slots.setdefault((host, node.path, marked, node.article), [0, 0, 0.0, h, h])
-                    x[0] += 1
-                    x[1] += len(text)
-                    x[2] += linked * len(text)
-                    x[3], x[4] = min(x[3], h), max(x[4], h)
+            kept = [(node, text, linked, hash_text(text)) for node, text, linked in blocks if not node.drop]
+            content = hash_text("\n".join(f"{node.path} {h}" for node, _, _, h in kept))
+            for node, text, linked, h in kept:
+                x = slots.setdefault((host, node.path, marked, node.article), [0, 0, 0.0, h, h, []])
+                x[0] += 1
+                x[1] += len(text)
+                x[2] += linked * len(text)
+                x[3], x[4] = min(x[3], h), max(x[4], h)
+                if content not in x[5] and (len(x[5]) < enough or content < x[5][-1]):
+                    x[5] = sorted([*x[5], content])[:enough]
             if len(trees) + len(slots) > 50_000:
                 yield rows()
     yield rows()
@@ -300,25 +303,32 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     pattern is the host's wrapper; the paths are among its slots. article_path
     is the element with the most running text on pages that mark no article,
     null if there is none; template_paths are slots outside articles whose text
-    is the same on every page, seen at least ``template_pages`` times. A null
-    url has the empty host.
+    is the same on every page, seen on at least ``template_pages`` pages of
+    different content: copies of a page count once, so that other slots of these
+    pages differ. A null url has the empty host.
     """
     seen = materialise(
         pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(
-            _folded, "host string, tree string, path string, marked boolean, inside boolean, pages long, chars long, linked double, least long, most long"
+            partial(_folded, enough=template_pages), "host string, tree string, path string, marked boolean, inside boolean, pages long, chars long, linked double, least long, most long, contents array<long>"
         )
     )
     trees = materialise(seen.filter("tree IS NOT NULL").groupBy("host", "tree").agg(F.sum("pages").alias("pages")))
     read = F.udf(lambda t: (pattern(w := json.loads(t)), slot_paths(w)), "pattern string, slots array<string>")
     written = materialise(merge_trees(trees).select("host", read("tree").alias("w")).select("host", "w.pattern", "w.slots"))
-    slots = seen.filter("path IS NOT NULL").groupBy("host", "path", "marked", "inside").agg(
-        F.sum("pages").alias("pages"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")
+    found = seen.filter("path IS NOT NULL")
+    # Of each task at most template_pages contents of a slot: enough to tell whether there are so many.
+    contents = found.select("host", "path", "inside", F.explode("contents").alias("content")).distinct()
+    slots = found.groupBy("host", "path", "marked", "inside").agg(
+        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")
     )
     slots = slots.join(written.select("host", F.explode("slots").alias("path")), ["host", "path"], "left_semi")
     fixed = F.col("least") == F.col("most")
-    template = slots.filter(~F.col("inside")).groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most")).filter((F.col("pages") >= template_pages) & fixed)
+    alike = slots.groupBy("host", "path", "inside").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter(fixed)
+    often = contents.groupBy("host", "path", "inside").agg(F.count("*").alias("contents")).filter(F.col("contents") >= template_pages)
+    template = materialise(alike.join(often, ["host", "path", "inside"]).filter(~F.col("inside")).select("host", "path"))
     holders = (
-        slots.filter(~F.col("marked") & ~((F.col("pages") >= template_pages) & fixed))
+        slots.filter(~F.col("marked"))
+        .join(template, ["host", "path"], "left_anti")
         .groupBy("host", F.regexp_replace("path", "/[^/]*$", "").alias("holder"))
         .agg(F.sum(F.col("chars") - 2 * F.col("linked")).alias("running"))
         .filter("running > 0")
