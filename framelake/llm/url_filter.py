@@ -30,8 +30,10 @@ RULES = (
     Rule("block", "example.com", "/de/"),
     Rule("allow", "org", "/fr/"),
 )
-#: Share that a link hands on, and rounds; what is left after them is under 0.85^16 = 7 % of the seeds' mass.
+#: Share that a link hands on, and rounds of the SQL; what is left after them is under 0.85^16 = 7 % of the seeds' mass.
 DAMPING, ROUNDS = 0.85, 16
+#: Mass that is left when even equal trust and distrust are taken as they are.
+TOLERANCE = 1e-12
 _EVERY = 4
 #: Host of an absolute link, for Java's and RE2's regular expressions alike.
 LINK_PATTERN = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -48,19 +50,31 @@ def judged_by_rules(host, path, rules: tuple[Rule, ...] = RULES):
     return rule, verdict
 
 
-def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """kind, host, mass: PageRank of each kind from its seeds (kind, host, seed) along edges (kind, src, dst, share).
 
     The mass of hosts without links is not handed on. Every few rounds the
-    masses are written to the checkpoint folder.
+    masses are written to the checkpoint folder. Rounds end when no further host
+    is reached and none that has both kinds can still change which is greater:
+    a host's mass is at most damping^rounds from its limit, so the difference of
+    two at most twice that. Where they are nearer than that, rounds go on until
+    damping^rounds is under ``tolerance``.
     """
     ranks = seeds.select("kind", "host", F.col("seed").alias("mass"))
-    for r in range(rounds):
-        handed = ranks.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
-        ranks = handed.unionByName(seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
-        if (r + 1) % _EVERY == 0:
-            ranks = materialise(ranks)
-    return ranks
+    reached, rounds = -1, 0
+    while True:
+        for _ in range(_EVERY):
+            handed = ranks.withColumnRenamed("host", "src").join(edges, ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.lit(damping) * F.col("mass") * F.col("share")).alias("mass"))
+            ranks = handed.unionByName(seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("mass"))).groupBy("kind", "host").agg(F.sum("mass").alias("mass"))
+        ranks = materialise(ranks)
+        rounds += _EVERY
+        before, reached = reached, ranks.count()
+        left = damping**rounds
+        if reached == before:
+            gap = F.abs(F.sum(F.when(F.col("kind") == "trust", F.col("mass")).otherwise(-F.col("mass"))))
+            both = ranks.groupBy("host").agg(gap.alias("gap"), F.count("*").alias("kinds")).filter("kinds = 2")
+            if left < tolerance or both.filter(F.col("gap") <= 2 * left).limit(1).count() == 0:
+                return ranks
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules: tuple[Rule, ...] = RULES) -> DataFrame:
