@@ -523,6 +523,11 @@ def a34(spark, sf):
     return ft.gram(vectors(spark, sf), "label", "v", 8).select("label", "i", "j", r6("g", "g"))
 
 
+@query("a34_gram_channels", f"WITH {_VEC}, p AS (SELECT vec_id, label, unnest(v) AS c, unnest(range(64)) AS i FROM e) SELECT a.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.c * b.c), 6) AS g FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3")
+def a34c(spark, sf):
+    return ft.gram(vectors(spark, sf), "label", "v", 64).select("label", "i", "j", r6("g", "g"))
+
+
 _SOFT = f"{_VEC}, h AS (SELECT vec_id, unnest(v[1:16]) AS c, unnest(range(16)) AS i FROM e), s AS (SELECT vec_id, i, exp(c - max(c) OVER w) AS e FROM h WINDOW w AS (PARTITION BY vec_id)), pr AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM s)"
 
 
@@ -549,6 +554,15 @@ def a43(spark, sf):
     return ft.attention(rows, keys, "label", "vec_id", "v", "value", 64).select("label", "vec_id", r6("out", "out"))
 
 
+@query("a43_attention_positions", f"""WITH {_VEC}, t AS (SELECT vec_id, unnest(range(8)) AS pos, v FROM e), h AS (SELECT vec_id, pos, v[8 * pos + 1 : 8 * pos + 8] AS v FROM t),
+s AS (SELECT q.vec_id, q.pos, list_inner_product(q.v, k.v) / sqrt(8.0) AS s, k.v[1] AS val FROM h q JOIN h k ON k.vec_id = q.vec_id), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY vec_id, pos)) AS e FROM s)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(sum(e * val) / sum(e), 6) AS out FROM x GROUP BY 1, 2""")
+def a43p(spark, sf):
+    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("v", i * 8 + 1, 8))
+    rows = vectors(spark, sf).select("vec_id", F.posexplode(parts).alias("pos", "v")).withColumn("value", F.get("v", F.lit(0)))
+    return ft.attention(rows, rows, "vec_id", "pos", "v", "value", 8).select("vec_id", "pos", r6("out", "out"))
+
+
 @query("a44_batch_moments", f"WITH {_VEC}, p AS (SELECT unnest(v) AS c, unnest(range(64)) AS i FROM e) SELECT CAST(i AS INTEGER) AS i, round(avg(c), 6) AS mean, round(var_pop(c), 6) AS var_biased, round(var_samp(c), 6) AS var_unbiased FROM p GROUP BY 1")
 def a44(spark, sf):
     return ft.moments(vectors(spark, sf), "v").select("i", *r6s("mean", "var_biased", "var_unbiased"))
