@@ -95,8 +95,15 @@ def swap_suffix(path: Column, new: str = ".npy") -> Column:
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key: the text before the first number, the number, the rest."""
-    return F.struct(F.regexp_extract(path, r"^(\D*)", 1).alias("head"), F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(path, r"(\d+)", 1), F.lit("")), F.lit("9999999999999999")), F.lit(-1)).alias("number"), path.alias("whole"))
+    """Sort key: the path's texts and numbers in turn, numbers by their value, then the path itself."""
+    def part(p: Column) -> Column:
+        digits = F.regexp_replace(F.regexp_extract(p, r"(\d*)$", 1), "^0+", "")
+        numbered = F.regexp_extract(p, r"(\d*)$", 1) != ""
+        # A number without leading zeros is the greater the longer it is; a text at the end has none and comes first.
+        return F.struct(F.regexp_extract(p, r"^(\D*)", 1).alias("text"), F.when(numbered, F.length(digits)).otherwise(-1).alias("digits"), digits.alias("number"))
+
+    parts = F.filter(F.regexp_extract_all(path, F.lit(r"\D*\d*"), F.lit(0)), lambda p: p != "")
+    return F.struct(F.transform(parts, part).alias("parts"), path.alias("whole"))
 
 
 def last_digits_key(path: Column, digits: int = 4) -> Column:

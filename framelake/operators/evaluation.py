@@ -41,14 +41,16 @@ def align(px: DataFrame, keys: tuple[str, ...] = SCENE, most: float = MAX_DEPTH)
     return px.join(fit_disparity(px, keys), list(keys)).withColumn("pred", F.least(F.greatest(1 / aligned, F.lit(1e-3)), F.lit(most)))
 
 
-def scale_shift(px: DataFrame, keys: tuple[str, ...] = SCENE, pred: str = "p", target: str = "t") -> DataFrame:
-    """keys and the coefficients of the three closed forms.
+def scale_shift(px: DataFrame, keys: tuple[str, ...] = SCENE, pred: str = "p", target: str = "t", mask: str | None = None) -> DataFrame:
+    """keys and the coefficients of the three closed forms, over the pixels whose column ``mask`` is true (all, if None).
 
     infer: (1, 0) if the determinant is 0. loss: 1e-6 in the denominator, (0, 0) if
     the determinant is 0. only: scale alone, with 1e-6.
     """
     p, t = F.col(pred), F.col(target)
-    sums = px.groupBy(*keys).agg(F.sum(p * p).alias("pp"), F.sum(p).alias("sp"), F.count("*").cast("double").alias("n"), F.sum(p * t).alias("pt"), F.sum(t).alias("st"))
+    known = F.lit(True) if mask is None else F.col(mask)
+    total = lambda c, name: F.sum(F.when(known, c).otherwise(0.0)).alias(name)
+    sums = px.groupBy(*keys).agg(total(p * p, "pp"), total(p, "sp"), total(F.lit(1.0), "n"), total(p * t, "pt"), total(t, "st"))
     det = F.col("pp") * F.col("n") - F.col("sp") * F.col("sp")
     scale, shift = F.col("n") * F.col("pt") - F.col("sp") * F.col("st"), -F.col("sp") * F.col("pt") + F.col("pp") * F.col("st")
     none = det == 0
@@ -97,12 +99,12 @@ def mean_over(rows: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = (
 
 
 def robust_bounds(px: DataFrame, value: str = "v", mask: str = "mask", keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
-    """keys, middle (lower median, masked-out pixels entering as 0), spread (masked mean absolute deviation, 1e-6 at least)."""
+    """keys, middle (lower median, masked-out pixels entering as 0), spread (masked mean absolute deviation, 1e-6 at least; 1 if all is masked out)."""
     entered = px.withColumn("_e", F.when(F.col(mask), F.col(value)).otherwise(0.0))
     middle = entered.groupBy(*keys).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _e)").alias("middle"))
     off = F.sum(F.when(F.col(mask), F.abs(F.col(value) - F.col("middle"))))
     known = F.count(F.when(F.col(mask), 1))
-    return px.join(middle, list(keys)).groupBy(*keys, "middle").agg(F.greatest(F.coalesce(F.try_divide(off, known), F.lit(0.0)), F.lit(1e-6)).alias("spread"))
+    return px.join(middle, list(keys)).groupBy(*keys, "middle").agg(F.when(known == 0, 1.0).otherwise(F.greatest(F.try_divide(off, known), F.lit(1e-6))).alias("spread"))
 
 
 def trimmed_mae(px: DataFrame, trim: float = 0.2, keys: tuple[str, ...] = SCENE, per_octave: int = 64) -> DataFrame:
@@ -111,6 +113,8 @@ def trimmed_mae(px: DataFrame, trim: float = 0.2, keys: tuple[str, ...] = SCENE,
     Counts and sums per bucket of the residuals' logarithm tell in which bucket
     the cut falls; only that bucket's residuals are ranked, equal ones as one row.
     """
+    if trim == 0:
+        return px.groupBy(*keys).agg(F.avg(F.abs(F.col("pred") - F.col("gt"))).alias("loss")).filter("loss IS NOT NULL")
     bucket = F.coalesce(F.floor(F.log2("residual") * per_octave), F.lit(-(1 << 20))).cast("int")  # 0 has no logarithm and comes first
     placed = px.select(*keys, F.abs(F.col("pred") - F.col("gt")).alias("residual")).filter("residual IS NOT NULL").withColumn("_b", bucket)
     key = Window.partitionBy(*keys)
@@ -133,27 +137,65 @@ def batch_and_image_means(images: DataFrame, loss: str = "loss", weight: str = "
     return images.groupBy(*keys).agg(F.try_divide(F.sum(loss), F.sum(weight)).alias("batch"), F.avg(F.coalesce(F.try_divide(F.col(loss), F.col(weight)), F.lit(0.0))).alias("image"))
 
 
-def gradient_loss(px: DataFrame, value: str = "diff", strides: tuple[int, ...] = (1, 2, 4, 8), keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
-    """Absolute differences between neighbours on grids of each stride, over the grid's pixels, summed over strides."""
-    grid = px.withColumn("_s", F.explode(F.array(*[F.lit(s) for s in strides]))).filter((F.col("y") % F.col("_s") == 0) & (F.col("x") % F.col("_s") == 0))
+def gradient_parts(px: DataFrame, value: str = "diff", strides: tuple[int, ...] = (1, 2, 4, 8), image: tuple[str, ...] = ("video", "frame"), mask: str | None = None, frame_h: int | None = None) -> DataFrame:
+    """image, stride, loss, n: summed absolute differences between neighbours on the grid of each stride, and its known pixels.
+
+    A difference counts if both pixels are there and their column ``mask`` is
+    true (all are, if None). Where an image is several frames of ``frame_h`` rows
+    one below the other, none counts across frames.
+    """
+    known = F.lit(True) if mask is None else F.col(mask)
+    grid = px.withColumn("stride", F.explode(F.array(*[F.lit(s) for s in strides]))).filter((F.col("y") % F.col("stride") == 0) & (F.col("x") % F.col("stride") == 0))
     for along, across in (("x", "y"), ("y", "x")):
-        order = Window.partitionBy(*keys, "_s", across).orderBy(along)
-        near = F.col(along) - F.lag(along).over(order) == F.col("_s")
-        grid = grid.withColumn(f"_g{along}", F.when(near, F.abs(F.col(value) - F.lag(value).over(order))).otherwise(0.0))
-    parts = grid.groupBy(*keys, "_s").agg((F.sum(F.col("_gx") + F.col("_gy")) / F.count("*")).alias("part"))
-    return parts.groupBy(*keys).agg(F.sum("part").alias("loss"))
-
-
-def temporal_gradient_loss(rows: DataFrame, strides: tuple[int, ...] = (1, 2, 4), decay: float = 0.5, share: float = 0.05, keys: tuple[str, ...] = ("video",)) -> DataFrame:
-    """Differences of pred and target steps between strided frames, where the target moves by less than ``share`` of its range."""
-    bounds = rows.groupBy(*keys).agg((F.max("target") - F.min("target")).alias("range"))
-    levels = F.array(*[F.struct(F.lit(s).alias("s"), F.lit(decay**i).alias("w")) for i, s in enumerate(strides)])
-    each = rows.withColumn("_l", F.explode(levels)).filter(F.col("idx") % F.col("_l.s") == 0)
-    order = Window.partitionBy(*keys, "_l.s").orderBy("idx")
-    moved = each.select(*keys, "_l", (F.col("pred") - F.lag("pred").over(order)).alias("dp"), (F.col("target") - F.lag("target").over(order)).alias("dt"))
-    still = moved.join(bounds, list(keys)).filter(F.abs("dt") < share * F.col("range"))
-    parts = still.groupBy(*keys, "_l").agg(F.avg(F.abs(F.col("dp") - F.col("dt"))).alias("part"))
-    return parts.groupBy(*keys).agg(F.sum(F.col("part") * F.col("_l.w")).alias("loss"))
+        order = Window.partitionBy(*image, "stride", across).orderBy(along)
+        before = F.lag(along).over(order)
+        counts = (F.col(along) - before == F.col("stride")) & known & F.lag(known).over(order)
+        if frame_h and along == "y":
+            counts &= F.floor(F.col("y") / frame_h) == F.floor(before / frame_h)
+        grid = grid.withColumn(f"_g{along}", F.when(counts, F.abs(F.col(value) - F.lag(value).over(order))).otherwise(0.0))
+    return grid.groupBy(*image, "stride").agg(F.sum(F.col("_gx") + F.col("_gy")).alias("loss"), F.count(F.when(known, 1)).alias("n"))
+
+
+def gradient_loss(
+    px: DataFrame, value: str = "diff", strides: tuple[int, ...] = (1, 2, 4, 8), keys: tuple[str, ...] = ("video", "frame"),
+    image: tuple[str, ...] = ("video", "frame"), mask: str | None = None, frame_h: int | None = None, reduction: str = "batch",
+) -> DataFrame:
+    """keys, loss: gradient_parts of the images of each key, reduced per stride and summed over strides.
+
+    ``batch``: sum of losses over sum of known pixels, 0 without any. ``image``:
+    mean over images of each one's ratio, 0 for one without known pixels.
+    """
+    parts = gradient_parts(px, value, strides, image, mask, frame_h)
+    ratio = F.try_divide(F.col("loss"), F.col("n"))
+    reduced = F.try_divide(F.sum("loss"), F.sum("n")) if reduction == "batch" else F.avg(F.coalesce(ratio, F.lit(0.0)))
+    return parts.groupBy(*keys, "stride").agg(F.coalesce(reduced, F.lit(0.0)).alias("part")).groupBy(*keys).agg(F.sum("part").alias("loss"))
+
+
+def temporal_gradient_loss(
+    px: DataFrame, scales: int = 4, decay: float = 0.5, share: float = 0.05, trim: float = 0.2, mask: str | None = None, keys: tuple[str, ...] = ("video",), order: str = "frame",
+) -> DataFrame:
+    """keys, loss: errors of pred's steps against target's, pixel by pixel, between frames 1, 2, 4 ... apart.
+
+    Frames count from a key's first one; a stride takes part if the key has more
+    frames than it. A step counts if both its pixels are known and the target
+    moves by less than ``share`` of the range of the later frame's known target.
+    Of a stride's errors the greatest ``trim`` are left out, and their sum is over
+    all; strides are weighted by ``decay`` to the power of their place, and the
+    sum is over their number.
+    """
+    known = F.lit(True) if mask is None else F.col(mask)
+    frames = px.groupBy(*keys, order).agg(((F.max(F.when(known, F.col("target"))) - F.min(F.when(known, F.col("target")))) * share).alias("_most"))
+    spans = px.groupBy(*keys).agg(F.min(order).alias("_from"), (F.max(order) - F.min(order) + 1).alias("_frames"))
+    levels = F.array(*[F.lit(2**i) for i in range(scales)])
+    spans = spans.withColumn("_strides", F.filter(levels, lambda s: s < F.col("_frames"))).filter(F.size("_strides") > 0)
+    each = px.filter(known).join(spans, list(keys)).withColumn("_i", F.col(order) - F.col("_from")).withColumn("stride", F.explode("_strides")).filter(F.col("_i") % F.col("stride") == 0)
+    same = Window.partitionBy(*keys, "stride", "y", "x").orderBy("_i")
+    step = lambda c: F.col(c) - F.lag(c).over(same)
+    moved = each.select(*keys, order, "stride", (step("_i") == F.col("stride")).alias("_next"), step("pred").alias("pred"), step("target").alias("gt")).filter("_next")
+    still = moved.join(frames, [*keys, order]).filter(F.abs("gt") < F.col("_most"))
+    parts = trimmed_mae(still, trim, (*keys, "stride")).select(*keys, (F.col("loss") * F.pow(F.lit(float(decay)), F.log2("stride"))).alias("part"))
+    sums = parts.groupBy(*keys).agg(F.sum("part").alias("part"))
+    return spans.join(sums, list(keys), "left").select(*keys, (F.coalesce("part", F.lit(0.0)) / F.size("_strides")).alias("loss"))
 
 
 def smooth_l1(a: Column, b: Column) -> Column:

@@ -154,16 +154,15 @@ def box_inpaint(grid: DataFrame, kernel: int = 7, channels: tuple[str, ...] = ("
 
 
 def sequential_fill(image: np.ndarray, hole: np.ndarray, kernel: int = 7) -> np.ndarray:
-    """Raster-order fill in place: each hole off row and column 0 takes the truncated mean of what its box knows so far."""
+    """Raster-order fill in place: each hole takes the truncated mean of what its box knows so far, row 0 and column 0 left out."""
     image, hole, half = image.astype(np.int64).copy(), hole.copy(), kernel // 2
     changed = True
     while changed:
         changed = False
         for y, x in np.argwhere(hole):
-            top, left = y - half, x - half
-            box = np.s_[max(0, top) : y + half + 1, max(0, left) : x + half + 1]
+            box = np.s_[max(1, y - half) : y + half + 1, max(1, x - half) : x + half + 1]
             known = ~hole[box]
-            if y > 0 and x > 0 and known.any():
+            if known.any():
                 image[y, x] = image[box][known].sum(axis=0) // known.sum()
                 hole[y, x] = False
                 changed = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.operators import evaluation as ev
@@ -17,57 +17,40 @@ def silog_loss(px: DataFrame, balance: float = 0.5, keys: tuple[str, ...] = ev.S
 
 
 def robustly_normalised(px: DataFrame, values: tuple[str, ...], mask: str = "mask", keys: tuple[str, ...] = CLIP_FRAME) -> DataFrame:
-    """Each of ``values`` less the frame's middle, over its spread, as robust_bounds has them.
-
-    A frame's pixels meet once, in windows of one partitioning.
-    """
-    frame = Window.partitionBy(*keys)
+    """Each of ``values`` less the frame's middle, over its spread, as robust_bounds has them."""
     for value in values:
-        entered = px.withColumn("_e", F.when(F.col(mask), F.col(value)).otherwise(0.0))
-        middle = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY _e) OVER (PARTITION BY {', '.join(keys)})")
-        off = entered.withColumn("_m", middle).withColumn("_d", F.when(F.col(mask), F.abs(F.col(value) - F.col("_m"))))
-        spread = F.greatest(F.coalesce(F.avg("_d").over(frame), F.lit(0.0)), F.lit(1e-6))
-        px = off.withColumn(value, (F.col(value) - F.col("_m")) / spread).drop("_e", "_m", "_d")
+        bounds = ev.robust_bounds(px, value, mask, keys)
+        px = px.join(bounds, list(keys)).withColumn(value, (F.col(value) - F.col("middle")) / F.col("spread")).drop("middle", "spread")
     return px
 
 
-def trimmed_procrustes(px: DataFrame, alpha: float = 0.5, trim: float = 0.2, keys: tuple[str, ...] = CLIP_FRAME) -> DataFrame:
-    """keys, loss of pred and target, both robustly normalised: trimmed mean error and ``alpha`` times the gradient loss of their difference.
+def trimmed_procrustes(px: DataFrame, alpha: float = 0.5, trim: float = 0.2, keys: tuple[str, ...] = CLIP_FRAME, image: tuple[str, ...] = CLIP_FRAME, normalise: bool = True, frame_h: int | None = None) -> DataFrame:
+    """keys, loss of pred and target, both robustly normalised by image: trimmed mean error and ``alpha`` times the gradient loss of their difference.
 
-    All pixels count; a column mask tells which of them set the middle and spread.
+    Only pixels whose column mask is true count, pooled over the images of a key;
+    a key without any has loss 0.
     """
-    both = robustly_normalised(px, ("pred", "target"), keys=keys)
-    data = ev.trimmed_mae(both.withColumnRenamed("target", "gt"), trim, keys).withColumnRenamed("loss", "data")
-    if alpha == 0:
-        return data.withColumnRenamed("data", "loss")
-    smooth = ev.gradient_loss(both.withColumn("diff", F.col("pred") - F.col("target")), "diff", keys=keys).withColumnRenamed("loss", "smooth")
-    return data.join(smooth, list(keys)).select(*keys, (F.col("data") + alpha * F.col("smooth")).alias("loss"))
-
-
-def stable_loss(px: DataFrame, share: float = 0.05) -> DataFrame:
-    """video, loss: mean error of the steps from frame to frame, at pixels whose target moves by less than ``share`` of the frame's range.
-
-    Pixels meet those of the next frame by an equality of keys.
-    """
-    bounds = px.groupBy(*CLIP_FRAME).agg(((F.max("target") - F.min("target")) * share).alias("most"))
-    now = px.select(*CLIP_FRAME, "y", "x", "pred", "target")
-    before = now.select("video", (F.col("frame") + 1).alias("frame"), "y", "x", F.col("pred").alias("p0"), F.col("target").alias("t0"))
-    step = now.join(before, [*CLIP_FRAME, "y", "x"]).join(bounds, list(CLIP_FRAME))
-    step = step.select("video", (F.col("pred") - F.col("p0")).alias("dp"), (F.col("target") - F.col("t0")).alias("dt"), "most")
-    return step.filter(F.abs("dt") < F.col("most")).groupBy("video").agg(F.avg(F.abs(F.col("dp") - F.col("dt"))).alias("loss"))
-
-
-def video_depth_loss(px: DataFrame, alpha: float = 0.5, stable_scale: float = 10.0) -> DataFrame:
-    """video, spatial, stable, total.
-
-    spatial: mean over frames of the untrimmed Procrustes loss. stable: the
-    stable loss, ``stable_scale`` times, of pred fitted to target by one scale
-    and shift per video.
+    both = robustly_normalised(px, ("pred", "target"), keys=image) if normalise else px
+    data = ev.trimmed_mae(both.filter("mask").withColumnRenamed("target", "gt"), trim, keys).withColumnRenamed("loss", "data")
+    out = px.select(*keys).distinct().join(data, list(keys), "left")
+    loss = F.coalesce("data", F.lit(0.0))
+    if alpha > 0:
+        smooth = ev.gradient_loss(both.withColumn("diff", F.col("pred") - F.col("target")), "diff", keys=keys, image=image, mask="mask", frame_h=frame_h).withColumnRenamed("loss", "smooth")
+        out, loss = out.join(smooth, list(keys)), loss + alpha * F.col("smooth")
+    return out.select(*keys, loss.alias("loss"))
+
+
+def video_depth_loss(px: DataFrame, alpha: float = 0.5, trim: float = 0.0, stable_scale: float = 10.0) -> DataFrame:
+    """video, spatial, stable, total, over the pixels whose column mask is true.
+
+    spatial: the Procrustes loss pooled over a video's frames. stable: the
+    temporal gradient loss of neighbouring frames, ``stable_scale`` times, of pred
+    fitted to target by one scale and shift per video.
     """
-    spatial = trimmed_procrustes(px, alpha, 0.0).groupBy("video").agg(F.avg("loss").alias("spatial"))
-    fit = ev.scale_shift(px, ("video",), "pred", "target").select("video", F.col("loss_scale").alias("_s"), F.col("loss_shift").alias("_t"))
+    spatial = trimmed_procrustes(px, alpha, trim, ("video",)).withColumnRenamed("loss", "spatial")
+    fit = ev.scale_shift(px, ("video",), "pred", "target", "mask").select("video", F.col("loss_scale").alias("_s"), F.col("loss_shift").alias("_t"))
     fitted = px.join(fit, "video").withColumn("pred", F.col("_s") * F.col("pred") + F.col("_t"))
-    stable = stable_loss(fitted).select("video", (F.col("loss") * stable_scale).alias("stable"))
+    stable = ev.temporal_gradient_loss(fitted, 1, trim=trim, mask="mask").select("video", (F.col("loss") * stable_scale).alias("stable"))
     both = spatial.join(stable, "video", "left").withColumn("stable", F.coalesce("stable", F.lit(0.0)))
     return both.withColumn("total", F.col("spatial") + F.col("stable"))
 

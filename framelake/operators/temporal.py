@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,7 +24,9 @@ def with_index(rows: DataFrame, key: str, *order: str) -> DataFrame:
 def ema(rows: DataFrame, a: float, key: str = "video", value: str = "value") -> DataFrame:
     """key, idx, smoothed: a * current + (1 - a) * smoothed before; the first passes, a = 0 leaves all as it is.
 
-    A recursion over one key's frames; they meet in one row as an array.
+    A recursion over one key's frames; they meet in one row as an array, which is
+    copied at each frame. It is meant for clips of up to some thousand frames, and
+    stays in the JVM; ema_long takes streams of any length.
     """
     if a == 0:
         return rows.select(key, "idx", F.col(value).alias("smoothed"))
@@ -35,34 +37,80 @@ def ema(rows: DataFrame, a: float, key: str = "video", value: str = "value") ->
     return frames.select(key, F.explode(out).alias("f")).select(key, "f.idx", F.col("f.v").alias("smoothed"))
 
 
+def _in_order(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """A key's rows together in one partition, in the order of idx, for what carries state from row to row."""
+    return rows.select(key, F.col("idx").cast("long").alias("idx"), *columns).repartition(key).sortWithinPartitions(key, "idx")
+
+
 def ema_long(rows: DataFrame, a: float, key: str = "video", value: str = "value") -> DataFrame:
-    """The same for long streams: a key's frames pass one task in Arrow batches, a running value between them."""
+    """The same for long streams: a key's frames pass one task in Arrow batches, with only a running value between them."""
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, prev = None, 0.0
+        for batch in batches:
+            out = []
+            for k, v in zip(batch[key], batch["v"], strict=True):
+                prev = v if k != last or a == 0 else a * v + (1 - a) * prev
+                last = k
+                out.append(prev)
+            yield pd.DataFrame({key: batch[key], "idx": batch["idx"], "smoothed": out})
+
+    ready = _in_order(rows.withColumn("v", F.col(value).cast("double")), key, "v")
+    return ready.mapInPandas(smooth, f"{key} {ready.schema[key].dataType.simpleString()}, idx long, smoothed double")
 
-    def smooth(frames: pd.DataFrame) -> pd.DataFrame:
-        frames = frames.sort_values("idx")
-        out, prev = [], None
-        for v in frames["v"]:
-            prev = v if prev is None or a == 0 else a * v + (1 - a) * prev
-            out.append(prev)
-        return pd.DataFrame({key: frames[key], "idx": frames["idx"], "smoothed": out})
 
-    ready = rows.select(key, F.col("idx").cast("long").alias("idx"), F.col(value).cast("double").alias("v"))
-    return ready.groupBy(key).applyInPandas(smooth, f"{key} {ready.schema[key].dataType.simpleString()}, idx long, smoothed double")
+#: Parts of a pixel that sampling positions are rounded to, half to even.
+SUBPIXELS = 32
 
 
-def blend_along_flow(now: DataFrame, before: DataFrame, flow: DataFrame, a: float, h: int, w: int) -> DataFrame:
-    """Depth of a frame, blended with the depth before it along the flow where that lies strictly inside the frame.
+def sampled_along(depth: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bilinear samples of (h, w) ``depth`` at each pixel's place plus its flow, and whether that place is strictly inside."""
+    h, w = depth.shape
+    fx, fy = np.arange(w)[None, :] + dx, np.arange(h)[:, None] + dy
+    inside = (fx > 0) & (fx < w - 1) & (fy > 0) & (fy < h - 1)
+    qx, qy = (np.rint(np.where(inside, f, 0) * SUBPIXELS).astype(np.int64) for f in (fx, fy))
+    x0, y0, ax, ay = qx // SUBPIXELS, qy // SUBPIXELS, qx % SUBPIXELS / SUBPIXELS, qy % SUBPIXELS / SUBPIXELS
+    x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+    top, low = depth[y0, x0] * (1 - ax) + depth[y0, x1] * ax, depth[y1, x0] * (1 - ax) + depth[y1, x1] * ax
+    return top * (1 - ay) + low * ay, inside
 
-    ``flow`` has dx, dy of each pixel; sampling is to the nearest pixel.
+
+def smooth_along_flow(frames: DataFrame, a: float, h: int, w: int, key: str = "video") -> DataFrame:
+    """key, idx, depth: each frame's depth blended with the smoothed depth before it, sampled along the flow.
+
+    ``frames`` has a row per frame: depth, dx and dy, arrays of h * w values by
+    row. The depth before is what this operator returned for that frame; where
+    the flow leaves the frame's inside, and in a key's first frame, depth stays.
+    A key's frames pass one task in order, and one frame is held between them.
     """
-    on = ["video", "frame", "y", "x"]
-    there = flow.select(*on, (F.col("x") + F.col("dx")).alias("fx"), (F.col("y") + F.col("dy")).alias("fy"))
-    inside = (F.col("fx") > 0) & (F.col("fx") < w - 1) & (F.col("fy") > 0) & (F.col("fy") < h - 1)
-    there = there.filter(inside).select(*on, F.rint("fx").cast("int").alias("x0"), F.rint("fy").cast("int").alias("y0"))
-    past = before.select("video", "frame", F.col("y").alias("y0"), F.col("x").alias("x0"), F.col("depth").alias("past"))
-    warped = there.join(past, ["video", "frame", "y0", "x0"]).select(*on, "past")
-    blended = F.when(F.col("past").isNull(), F.col("depth")).otherwise(a * F.col("depth") + (1 - a) * F.col("past"))
-    return now.join(warped, on, "left").withColumn("depth", blended).drop("past")
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, before = None, None
+        for batch in batches:
+            out = []
+            for k, depth, dx, dy in zip(batch[key], batch["depth"], batch["dx"], batch["dy"], strict=True):
+                now = np.asarray(depth, dtype=float).reshape(h, w)
+                if before is not None and k == last:
+                    past, inside = sampled_along(before, np.asarray(dx, dtype=float).reshape(h, w), np.asarray(dy, dtype=float).reshape(h, w))
+                    now = np.where(inside, a * now + (1 - a) * past, now)
+                last, before = k, now
+                out.append(now.ravel())
+            yield pd.DataFrame({key: batch[key], "idx": batch["idx"], "depth": out})
+
+    ready = _in_order(frames, key, "depth", "dx", "dy")
+    return ready.mapInPandas(smooth, f"{key} {ready.schema[key].dataType.simpleString()}, idx long, depth array<double>")
+
+
+def as_frames(grid: DataFrame, values: tuple[str, ...], key: str = "video") -> DataFrame:
+    """key, idx and an array per value, by row, of each frame of a dense grid."""
+    cells = F.array_sort(F.collect_list(F.struct("y", "x", *values)))
+    return grid.groupBy(key, F.col("frame").alias("idx")).agg(cells.alias("_c")).select(key, "idx", *[F.col("_c").getField(v).alias(v) for v in values])
+
+
+def as_pixels(frames: DataFrame, value: str, w: int, key: str = "video") -> DataFrame:
+    """key, frame, y, x, value: the other way round."""
+    each = frames.select(key, F.col("idx").cast("int").alias("frame"), F.posexplode(value).alias("_p", value))
+    return each.select(key, "frame", F.floor(F.col("_p") / w).cast("int").alias("y"), (F.col("_p") % w).cast("int").alias("x"), value)
 
 
 def windows(lengths: DataFrame, key: str = "video", length: str = "n") -> DataFrame:
@@ -132,44 +180,42 @@ def fit_scale_shift(p: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     return ((n * pt - sp * st) / det, (-sp * pt + pp * st) / det) if det else (1.0, 0.0)
 
 
-def alignment_chain(predicted: np.ndarray) -> np.ndarray:
-    """Aligned depth of a clip from its windows' predictions, (windows, 32, ...), in the reference frames' scale.
+def alignment_chain(predicted: np.ndarray, length: int | None = None) -> np.ndarray:
+    """Aligned depth of a clip from its windows' predictions, (windows, 32, ...), in the first window's scale.
 
-    Every later window is fitted to the two frames it shares with what is
-    aligned already, cut at 0, and faded in over the overlap.
+    Every later window is fitted by its slots 0 and 1 to the first window's frame
+    0, as it was predicted, and to slot 12 of the window before, aligned; it is
+    cut at 0 and faded in over the overlap. ``length`` frames stay: windows pad
+    the tail.
     """
-    keys = [0, 12]
     out = [f for f in predicted[0]]
-    shared = [predicted[0][k] for k in keys]
+    first, shared = predicted[0][0], predicted[0][12]
     for window in predicted[1:]:
-        scale, shift = fit_scale_shift(np.concatenate([window[0].ravel(), window[1].ravel()]), np.concatenate([s.ravel() for s in shared]))
+        scale, shift = fit_scale_shift(window[:2].ravel(), np.concatenate([first.ravel(), shared.ravel()]))
         aligned = np.maximum(window * scale + shift, 0)
         for j in range(FADE):
             weight = j / (FADE - 1)
             out[-FADE + j] = out[-FADE + j] * (1 - weight) + aligned[OVERLAP - FADE + j] * weight
         out += [f for f in aligned[OVERLAP:]]
-        shared = [aligned[0], aligned[12]]
-    return np.array(out)
+        shared = aligned[12]
+    return np.array(out[:length])
 
 
 def align_windows(rows: DataFrame, key: str = "video") -> DataFrame:
-    """key, frame, value from rows (key, window, slot, value): alignment_chain for each key, a clip of scalars.
+    """key, frame, value from rows (key, window, slot, frame, value): alignment_chain for each key, a clip of scalars.
 
-    A clip is sequential by nature, so it is one group; clips run side by side.
+    One row comes back for each frame. A clip is sequential by nature, so it is
+    one group; clips run side by side.
     """
 
     def chain(clip: pd.DataFrame) -> pd.DataFrame:
         clip = clip.sort_values(["window", "slot"])
-        values = alignment_chain(clip["value"].to_numpy(dtype=float).reshape(-1, WINDOW, 1))[:, 0]
+        values = alignment_chain(clip["value"].to_numpy(dtype=float).reshape(-1, WINDOW, 1), int(clip["frame"].max()) + 1)[:, 0]
         return pd.DataFrame({key: clip[key].iloc[0], "frame": np.arange(len(values)), "value": values})
 
     return rows.groupBy(key).applyInPandas(chain, f"{key} {rows.schema[key].dataType.simpleString()}, frame long, value double")
 
 
-def window_count(length: int) -> int:
-    return math.ceil(length / STEP)
-
-
 def stage_report(rows: DataFrame, stage: str = "stage", seconds: str = "seconds") -> DataFrame:
     """stage, seconds, share of the total."""
     sums = rows.groupBy(stage).agg(F.sum(seconds).alias("seconds"))

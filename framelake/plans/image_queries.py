@@ -169,14 +169,24 @@ def r10(spark, sf):
     return rs.bilinear(q.dense_pixels(spark, sf), H, W, 2 * H, 2 * W).select(*PIXEL, nudged("depth", "depth", 3))
 
 
-@query("w02_flow_blend", f"""WITH {PX}, f AS (SELECT video, frame, y, x, x + (r % 3 - 1) AS fx, y + g * 10 AS fy FROM px),
-w AS (SELECT f.video, f.frame, f.y, f.x, p.depth AS past FROM f JOIN px p ON p.video = f.video AND p.frame = f.frame - 1 AND p.y = CAST(round_even(fy, 0) AS INTEGER) AND p.x = CAST(round_even(fx, 0) AS INTEGER) WHERE fx > 0 AND fx < {W - 1} AND fy > 0 AND fy < {H - 1})
-SELECT video, frame, y, x, {nudged_sql('CASE WHEN past IS NULL THEN depth ELSE 0.75::DOUBLE * depth + 0.25::DOUBLE * past END', 'depth', 4)} FROM px LEFT JOIN w USING (video, frame, y, x)""")
+def _flow_sql() -> str:
+    """Frame after frame of the dense rasters: each joins the one before, smoothed, at four taps."""
+    taps = ("y0", "x0"), ("y0", "x1"), ("y1", "x0"), ("y1", "x1")
+    steps = [f"s1 AS (SELECT video, frame, y, x, depth FROM dense WHERE frame = 1)"]
+    for k in range(2, 8):
+        joins = " ".join(f"LEFT JOIN s{k - 1} t{i} ON t{i}.video = q.video AND t{i}.y = q.{y} AND t{i}.x = q.{x} AND q.inside" for i, (y, x) in enumerate(taps))
+        steps.append(f"""s{k} AS (SELECT q.video, q.frame, q.y, q.x, CASE WHEN t0.depth IS NULL THEN q.depth ELSE 0.75::DOUBLE * q.depth + 0.25::DOUBLE * ((t0.depth * (1 - ax) + t1.depth * ax) * (1 - ay) + (t2.depth * (1 - ax) + t3.depth * ax) * ay) END AS depth
+FROM (SELECT *, CAST(floor(qy / 32) AS INTEGER) AS y0, CAST(floor(qx / 32) AS INTEGER) AS x0, least(CAST(floor(qy / 32) AS INTEGER) + 1, {H - 1}) AS y1, least(CAST(floor(qx / 32) AS INTEGER) + 1, {W - 1}) AS x1, qx / 32 - floor(qx / 32) AS ax, qy / 32 - floor(qy / 32) AS ay
+  FROM (SELECT *, round_even(fx * 32, 0) AS qx, round_even(fy * 32, 0) AS qy, fx > 0 AND fx < {W - 1} AND fy > 0 AND fy < {H - 1} AS inside FROM f WHERE frame = {k})) q {joins})""")
+    return f"""WITH {PX}, {DENSE}, f AS (SELECT video, frame, y, x, depth, x + (r % 3 - 1) / 3.0::DOUBLE AS fx, y + g * 10 AS fy FROM dense), {', '.join(steps)}
+SELECT video, frame, y, x, {nudged_sql('depth', 'depth', 4)} FROM ({' UNION ALL '.join(f'SELECT * FROM s{k}' for k in range(1, 8))})"""
+
+
+@query("w02_flow_blend", _flow_sql())
 def w02(spark, sf):
-    px = v.pixels(spark, sf)
-    flow = px.select(*PIXEL, (F.col("r") % 3 - 1).alias("dx"), (F.col("g") * 10).alias("dy"))
-    before = px.withColumn("frame", F.col("frame") + 1)
-    return tp.blend_along_flow(px.select(*PIXEL, "depth"), before, flow, 0.75, H, W).select(*PIXEL, nudged("depth", "depth", 4))
+    grid = q.dense_pixels(spark, sf).withColumn("dx", (F.col("r") % 3 - 1) / 3.0).withColumn("dy", F.col("g") * 10)
+    smoothed = tp.smooth_along_flow(tp.as_frames(grid, ("depth", "dx", "dy")), 0.75, H, W)
+    return tp.as_pixels(smoothed, "depth", W).select(*PIXEL, nudged("depth", "depth", 4))
 
 
 @query("c01_baseline_stereo")
@@ -263,41 +273,30 @@ def a17(spark, sf):
     return ls.silog_loss(q.aligned(spark, sf)).select("dataset", "scene", r6("loss", "loss"))
 
 
-def _rated(spark, sf, mask=None):
-    return v.pixels(spark, sf).select(*PIXEL, (F.col("r") / 50).alias("pred"), (F.col("depth") / v.DEPTH_SCALE).alias("target"), (F.lit(True) if mask is None else mask).alias("mask"))
+def _procrustes_sql(trim: float, keys: str) -> str:
+    """e to the table ``loss`` of ``keys``, over the pixels of e whose mask is true; images are frames."""
+    return f"""mi AS (SELECT video, frame, quantile_disc(CASE WHEN mask THEN pred ELSE 0.0 END, 0.5) AS pm, quantile_disc(CASE WHEN mask THEN target ELSE 0.0 END, 0.5) AS tm FROM e GROUP BY 1, 2),
+sp AS (SELECT video, frame, any_value(pm) AS pm, any_value(tm) AS tm, greatest(avg(abs(pred - pm)) FILTER (mask), 1e-6) AS ps, greatest(avg(abs(target - tm)) FILTER (mask), 1e-6) AS ts FROM e JOIN mi USING (video, frame) GROUP BY 1, 2),
+nm AS (SELECT video, frame, y, x, (pred - pm) / ps - (target - tm) / ts AS diff FROM e JOIN sp USING (video, frame) WHERE mask),
+rk AS (SELECT {keys}, abs(diff) AS res, row_number() OVER (PARTITION BY {keys} ORDER BY abs(diff)) AS rank, count(*) OVER (PARTITION BY {keys}) AS n FROM nm),
+da AS (SELECT {keys}, sum(CASE WHEN rank <= floor(n * (1 - {trim}::DOUBLE)) THEN res ELSE 0.0 END) / max(n) AS data FROM rk GROUP BY ALL),
+sm AS ({q.gradient_sql('nm', 'diff', keys, 'true')}),
+loss AS (SELECT {keys}, data + 0.5::DOUBLE * sm.loss AS loss FROM da JOIN sm USING ({keys}))"""
 
 
-def _procrustes_sql(mask: str, trim: float) -> str:
-    """px to the table ``loss`` of each frame."""
-    steps = []
-    for s in (1, 2, 4, 8):
-        near = [f"CASE WHEN {a} - lag({a}) OVER (PARTITION BY video, frame, {o} ORDER BY {a}) = {s} THEN abs(diff - lag(diff) OVER (PARTITION BY video, frame, {o} ORDER BY {a})) ELSE 0.0 END" for a, o in (("x", "y"), ("y", "x"))]
-        steps.append(f"SELECT video, frame, sum(gx + gy) / count(*) AS part FROM (SELECT video, frame, {near[0]} AS gx, {near[1]} AS gy FROM nm WHERE y % {s} = 0 AND x % {s} = 0) GROUP BY 1, 2")
-    return f"""{PX}, e AS (SELECT video, frame, y, x, r / 50 AS pred, depth / {v.DEPTH_SCALE} AS target, {mask} AS mask FROM px),
-mi AS (SELECT video, frame, quantile_disc(CASE WHEN mask THEN pred ELSE 0.0 END, 0.5) AS pm, quantile_disc(CASE WHEN mask THEN target ELSE 0.0 END, 0.5) AS tm FROM e GROUP BY 1, 2),
-sp AS (SELECT video, frame, any_value(pm) AS pm, any_value(tm) AS tm, greatest(coalesce(avg(abs(pred - pm)) FILTER (mask), 0), 1e-6) AS ps, greatest(coalesce(avg(abs(target - tm)) FILTER (mask), 0), 1e-6) AS ts FROM e JOIN mi USING (video, frame) GROUP BY 1, 2),
-nm AS (SELECT video, frame, y, x, (pred - pm) / ps - (target - tm) / ts AS diff FROM e JOIN sp USING (video, frame)),
-rk AS (SELECT video, frame, abs(diff) AS res, row_number() OVER (PARTITION BY video, frame ORDER BY abs(diff)) AS rank, count(*) OVER (PARTITION BY video, frame) AS n FROM nm),
-da AS (SELECT video, frame, sum(CASE WHEN rank <= floor(n * (1 - {trim}::DOUBLE)) THEN res ELSE 0.0 END) / max(n) AS data FROM rk GROUP BY 1, 2),
-sm AS (SELECT video, frame, sum(part) AS smooth FROM ({' UNION ALL '.join(steps)}) GROUP BY 1, 2),
-loss AS (SELECT video, frame, data + 0.5::DOUBLE * smooth AS loss FROM da JOIN sm USING (video, frame))"""
-
-
-@query("a26_trimmed_procrustes", f"WITH {_procrustes_sql('g > 0.03', 0.2)} SELECT video, frame, round(loss, 6) AS loss FROM loss")
+@query("a26_trimmed_procrustes", f"WITH {q.RATED}, {_procrustes_sql(0.2, 'video, frame')} SELECT video, frame, round(loss, 6) AS loss FROM loss")
 def a26(spark, sf):
-    return ls.trimmed_procrustes(_rated(spark, sf, F.col("g") > 0.03)).select("video", "frame", r6("loss", "loss"))
+    return ls.trimmed_procrustes(q.rated(spark, sf)).select("video", "frame", r6("loss", "loss"))
 
 
-@query("a28_video_depth_loss", f"""WITH {_procrustes_sql('true', 0.0)}, su AS (SELECT video, sum(pred * pred) AS pp, sum(pred) AS sp, CAST(count(*) AS DOUBLE) AS n, sum(pred * target) AS pt, sum(target) AS st FROM e GROUP BY 1),
+@query("a28_video_depth_loss", f"""WITH {q.RATED}, {_procrustes_sql(0.0, 'video')},
+su AS (SELECT video, sum(pred * pred) AS pp, sum(pred) AS sp, CAST(count(*) AS DOUBLE) AS n, sum(pred * target) AS pt, sum(target) AS st FROM e WHERE mask GROUP BY 1),
 ft AS (SELECT video, (n * pt - sp * st) / (pp * n - sp * sp + 1e-6) AS s, (-sp * pt + pp * st) / (pp * n - sp * sp + 1e-6) AS t FROM su),
-al AS (SELECT video, frame, y, x, s * pred + t AS pred, target FROM e JOIN ft USING (video)),
-th AS (SELECT video, frame, (max(target) - min(target)) * 0.05::DOUBLE AS most FROM e GROUP BY 1, 2),
-dt AS (SELECT a.video, a.pred - b.pred AS dp, a.target - b.target AS dt, th.most FROM al a JOIN al b ON b.video = a.video AND b.frame = a.frame - 1 AND b.y = a.y AND b.x = a.x JOIN th ON th.video = a.video AND th.frame = a.frame),
-st AS (SELECT video, avg(abs(dp - dt)) * 10 AS stable FROM dt WHERE abs(dt) < most GROUP BY 1),
-sc AS (SELECT video, avg(loss) AS spatial FROM loss GROUP BY 1)
-SELECT video, round(spatial, 6) AS spatial, round(coalesce(stable, 0), 6) AS stable, round(spatial + coalesce(stable, 0), 6) AS total FROM sc LEFT JOIN st USING (video)""")
+al AS (SELECT video, frame, y, x, s * pred + t AS pred, target, mask FROM e JOIN ft USING (video)),
+st AS ({q.temporal_sql('al', 1, 0.0, 'mask')})
+SELECT video, round(loss.loss, 6) AS spatial, round(10 * st.loss, 6) AS stable, round(loss.loss + 10 * st.loss, 6) AS total FROM loss JOIN st USING (video)""")
 def a28(spark, sf):
-    return ls.video_depth_loss(_rated(spark, sf)).select("video", *r6s("spatial", "stable", "total"))
+    return ls.video_depth_loss(q.rated(spark, sf)).select("video", *r6s("spatial", "stable", "total"))
 
 
 @query("a31_split_psnr", f"WITH {q._NORM}, {q._RIGHT}, p AS (SELECT video, frame, 10.0 * log10(1 / avg((px.g - rp.g) * (px.g - rp.g) + (px.b - rp.b) * (px.b - rp.b))) AS psnr FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2) SELECT video, round(avg(psnr), 6) AS psnr_all, round(avg(psnr) FILTER (frame % 3 <> 1), 6) AS psnr_rest FROM p GROUP BY 1")

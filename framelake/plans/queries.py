@@ -51,12 +51,16 @@ def p30(spark, sf):
     return v.manifest_rows(spark, sf).select("image", fn.swap_suffix(F.col("image")).alias("swapped"), fn.last_digits_key(F.col("image")).alias("digits"))
 
 
-@query("o02_natural_sort", r"SELECT url, CAST(row_number() OVER (PARTITION BY host ORDER BY head, number, url) AS INTEGER) AS place FROM (SELECT url, regexp_extract(url, '://([^/]*)', 1) AS host, regexp_extract(url, '^([^0-9]*)', 1) AS head, coalesce(TRY_CAST(nullif(regexp_extract(url, '([0-9]+)', 1), '') AS BIGINT), -1) AS number FROM pages)")
+_NATURAL = "array_to_string(list_transform(regexp_extract_all(path, '[0-9]+|[^0-9]+'), lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN lpad(t, 20, '0') ELSE t END), chr(1))"
+
+
+@query("o02_natural_sort", f"SELECT path, host, CAST(row_number() OVER (PARTITION BY host ORDER BY {_NATURAL}, path) AS INTEGER) AS place FROM (SELECT url || '/scene' || lpad(CAST(page_id % 10 AS VARCHAR), 4, '0') || '_00/color/' || (page_id * 7919 % 1009) || '.jpg' AS path, regexp_extract(url, '://([^/]*)', 1) AS host FROM pages)")
 def o02(spark, sf):
     from pyspark.sql import Window
 
-    order = Window.partitionBy(F.regexp_extract("url", "://([^/]*)", 1)).orderBy(fn.natural_key(F.col("url")))
-    return v.table(spark, sf, "pages").select("url", F.row_number().over(order).alias("place"))
+    scene = F.concat(F.lit("/scene"), F.lpad((F.col("page_id") % 10).cast("string"), 4, "0"), F.lit("_00/color/"), (F.col("page_id") * 7919 % 1009).cast("string"), F.lit(".jpg"))
+    paths = v.table(spark, sf, "pages").select(F.concat("url", scene).alias("path"), F.regexp_extract("url", "://([^/]*)", 1).alias("host"))
+    return paths.withColumn("place", F.row_number().over(Window.partitionBy("host").orderBy(fn.natural_key(F.col("path")))))
 
 
 @query("s05_stride_decord", f"WITH {FR}, s AS (SELECT *, CAST(greatest(round_even((CASE WHEN video % 4 > 0 THEN video % 4 * 12.0 ELSE 30.0 END) / 12.0, 0), 1) AS INTEGER) AS stride FROM fr) SELECT video, idx, stride FROM s WHERE idx % stride = 0 AND idx / CAST(stride AS DOUBLE) < 6")
@@ -420,31 +424,53 @@ def a24(spark, sf):
     return ev.trimmed_mae(aligned(spark, sf)).select("dataset", "scene", r6("loss", "loss"))
 
 
-def _gradient_sql() -> str:
+def gradient_sql(rows: str, value: str, keys: str, mask: str) -> str:
+    """A table of keys and loss: neighbours meet by self-joins on each stride's grid."""
+    on = "b.video = a.video AND b.frame = a.frame"
     parts = []
     for s in (1, 2, 4, 8):
-        gx, gy = (f"CASE WHEN {a} - lag({a}) OVER (PARTITION BY video, frame, {o} ORDER BY {a}) = {s} THEN abs(r - lag(r) OVER (PARTITION BY video, frame, {o} ORDER BY {a})) ELSE 0.0 END" for a, o in (("x", "y"), ("y", "x")))
-        parts.append(f"SELECT video, frame, sum(gx + gy) / count(*) AS part FROM (SELECT video, frame, {gx} AS gx, {gy} AS gy FROM px WHERE y % {s} = 0 AND x % {s} = 0) GROUP BY 1, 2")
-    return f"WITH {PX}, p AS ({' UNION ALL '.join(parts)}) SELECT video, frame, round(sum(part), 6) AS loss FROM p GROUP BY 1, 2"
+        grid = f"(SELECT * FROM {rows} WHERE y % {s} = 0 AND x % {s} = 0 AND {mask})"
+        steps = [f"SELECT a.video, a.frame, abs(a.{value} - b.{value}) AS g, 0 AS n FROM {grid} a JOIN {grid} b ON {on} AND b.y = a.y + {dy} AND b.x = a.x + {dx}" for dy, dx in ((0, s), (s, 0))]
+        known = f"SELECT video, frame, 0.0::DOUBLE AS g, 1 AS n FROM {grid}"
+        parts.append(f"SELECT {keys}, sum(g) / sum(n) AS part FROM ({' UNION ALL '.join([*steps, known])}) GROUP BY ALL")
+    return f"SELECT {keys}, sum(part) AS loss FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL"
 
 
-@query("a25_gradient_loss", _gradient_sql())
+@query("a25_gradient_loss", f"WITH {PX} SELECT video, frame, round(loss, 6) AS loss FROM ({gradient_sql('px', 'r', 'video, frame', 'g > 0.03')})")
 def a25(spark, sf):
-    return ev.gradient_loss(v.pixels(spark, sf), "r").select("video", "frame", r6("loss", "loss"))
+    return ev.gradient_loss(v.pixels(spark, sf).withColumn("mask", F.col("g") > 0.03), "r", mask="mask").select("video", "frame", r6("loss", "loss"))
+
+
+@query("a25_gradient_loss_pooled", f"WITH {PX} SELECT video, round(loss, 6) AS loss FROM ({gradient_sql('px', 'r', 'video', 'g > 0.03')})")
+def a25_pooled(spark, sf):
+    return ev.gradient_loss(v.pixels(spark, sf).withColumn("mask", F.col("g") > 0.03), "r", keys=("video",), mask="mask").select("video", r6("loss", "loss"))
+
+
+def temporal_sql(rows: str, scales: int, trim: float, mask: str) -> str:
+    """A table of video and loss; ``rows`` has video, frame, y, x, pred, target. Frames meet by self-joins."""
+    parts = []
+    for i in range(scales):
+        s = 2**i
+        strided = f"(SELECT r.*, r.frame - sp.f0 AS i FROM {rows} r JOIN span sp USING (video) WHERE (r.frame - sp.f0) % {s} = 0 AND sp.t > {s} AND {mask})"
+        parts.append(f"""SELECT video, sum(CASE WHEN rank <= floor(n * (1 - {trim}::DOUBLE)) THEN res ELSE 0.0 END) / max(n) * {0.5**i}::DOUBLE AS part FROM (
+  SELECT video, res, row_number() OVER (PARTITION BY video ORDER BY res) AS rank, count(*) OVER (PARTITION BY video) AS n FROM (
+    SELECT a.video, abs((a.pred - b.pred) - (a.target - b.target)) AS res FROM {strided} a JOIN {strided} b ON b.video = a.video AND b.i = a.i - {s} AND b.y = a.y AND b.x = a.x
+    JOIN most m ON m.video = a.video AND m.frame = a.frame WHERE abs(a.target - b.target) < m.most)) GROUP BY 1""")
+    return f"""WITH span AS (SELECT video, min(frame) AS f0, max(frame) - min(frame) + 1 AS t FROM {rows} GROUP BY 1),
+most AS (SELECT video, frame, (max(target) - min(target)) * 0.05::DOUBLE AS most FROM {rows} WHERE {mask} GROUP BY 1, 2)
+SELECT span.video, coalesce(sum(part), 0) / any_value({' + '.join(f'CAST(t > {2**i} AS INTEGER)' for i in range(scales))}) AS loss FROM span LEFT JOIN ({' UNION ALL '.join(parts)}) p USING (video) WHERE t > 1 GROUP BY 1"""
+
+
+RATED = f"{PX}, e AS (SELECT video, frame, y, x, r / 50 AS pred, depth / {v.DEPTH_SCALE} AS target, g > 0.03 AS mask FROM px)"
 
 
-def _temporal_sql() -> str:
-    parts = [
-        f"SELECT video, avg(abs(dp - dt)) * {0.5**i} AS part FROM (SELECT m.video, dp, dt, rng FROM (SELECT video, value * 0.9 + idx - lag(value * 0.9 + idx) OVER w AS dp, value - lag(value) OVER w AS dt FROM fr WHERE idx % {s} = 0 WINDOW w AS (PARTITION BY video ORDER BY idx)) m JOIN b ON b.video = m.video WHERE abs(dt) < 0.05 * rng) GROUP BY 1"
-        for i, s in enumerate((1, 2, 4))
-    ]
-    return f"WITH {FR}, b AS (SELECT video, max(value) - min(value) AS rng FROM fr GROUP BY 1), p AS ({' UNION ALL '.join(parts)}) SELECT video, {nudged_sql('sum(part)', 'loss')} FROM p GROUP BY 1"
+def rated(spark, sf) -> DataFrame:
+    return v.pixels(spark, sf).select(*PIXEL, (F.col("r") / 50).alias("pred"), (F.col("depth") / v.DEPTH_SCALE).alias("target"), (F.col("g") > 0.03).alias("mask"))
 
 
-@query("a27_temporal_gradient", _temporal_sql())
+@query("a27_temporal_gradient", f"WITH {RATED} SELECT video, round(loss, 6) AS loss FROM ({temporal_sql('e', 4, 0.2, 'mask')})")
 def a27(spark, sf):
-    rows = v.frame_stream(spark, sf).select("video", "idx", (F.col("value") * 0.9 + F.col("idx")).alias("pred"), F.col("value").alias("target"))
-    return ev.temporal_gradient_loss(rows).select("video", nudged("loss", "loss"))
+    return ev.temporal_gradient_loss(rated(spark, sf), mask="mask").select("video", r6("loss", "loss"))
 
 
 _MAE = f"{_NORM}, {_RIGHT}, mae AS (SELECT video, frame, sum(abs(px.r - rp.r) + abs(px.g - rp.g) + abs(px.b - rp.b)) / (3 * count(*)) AS mae FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2)"
@@ -619,11 +645,32 @@ def w03(spark, sf):
     return tp.windows(lengths(spark, sf))
 
 
-@query("w05_alignment_chain")
+#: Windows' predictions are the values times the window's number, plus it; the chain undoes that window after window.
+_CHAIN = f"""WITH RECURSIVE {FR}, {_LEN},
+g AS (SELECT video, n, unnest(range(CAST(ceil(n / 22.0) AS BIGINT))) AS k FROM ln),
+j AS (SELECT *, unnest(range(32)) AS slot FROM g),
+sl AS (SELECT video, k, slot, CASE WHEN k > 0 AND slot = 0 THEN 0 WHEN k > 0 AND slot = 1 THEN 22 * k - 10 ELSE least(22 * k + slot, n - 1) END AS idx FROM j),
+val AS (SELECT sl.video, k, slot, value * (k + 1) + k AS v FROM sl JOIN fr ON fr.video = sl.video AND fr.idx = sl.idx),
+p AS (SELECT video, k, max(v) FILTER (slot = 0) AS a, max(v) FILTER (slot = 1) AS b, max(v) FILTER (slot = 12) AS c FROM val GROUP BY 1, 2),
+chain AS (
+  SELECT video, k, 1.0::DOUBLE AS s, 0.0::DOUBLE AS t, a AS r0, c AS r1 FROM p WHERE k = 0
+  UNION ALL
+  SELECT video, k, s, t, r0, greatest(c * s + t, 0) AS r1 FROM (
+    SELECT p.video, p.k, p.c, h.r0,
+           CASE WHEN a = b THEN 1.0 ELSE (2 * (a * r0 + b * r1) - (a + b) * (r0 + r1)) / (2 * (a * a + b * b) - (a + b) * (a + b)) END AS s,
+           CASE WHEN a = b THEN 0.0 ELSE ((a * a + b * b) * (r0 + r1) - (a + b) * (a * r0 + b * r1)) / (2 * (a * a + b * b) - (a + b) * (a + b)) END AS t
+    FROM chain h JOIN p ON p.video = h.video AND p.k = h.k + 1)),
+al AS (SELECT video, k, slot, 22 * k + slot AS idx, CASE WHEN k = 0 THEN v ELSE greatest(v * s + t, 0) END AS v FROM val JOIN chain USING (video, k)),
+faded AS (SELECT n.video, n.idx, o.v * (1 - (n.slot - 2) / 7.0::DOUBLE) + n.v * ((n.slot - 2) / 7.0::DOUBLE) AS v FROM al n JOIN al o ON o.video = n.video AND o.k = n.k - 1 AND o.idx = n.idx WHERE n.slot BETWEEN 2 AND 9),
+whole AS (SELECT al.video, al.idx, coalesce(f.v, al.v) AS v FROM al LEFT JOIN faded f ON f.video = al.video AND f.idx = al.idx WHERE al.k = 0 OR al.slot > 9)
+SELECT video, CAST(idx AS BIGINT) AS frame, round(v, 4) AS value FROM whole JOIN ln USING (video) WHERE idx < n"""
+
+
+@query("w05_alignment_chain", _CHAIN)
 def w05(spark, sf):
     values = v.frame_stream(spark, sf).select("video", F.col("idx").alias("frame"), "value")
     given = tp.windows(lengths(spark, sf)).join(values, ["video", "frame"]).withColumn("value", F.col("value") * (F.col("window") + 1) + F.col("window"))
-    return tp.align_windows(given.select("video", "window", "slot", "value")).select("video", "frame", r6("value", "value"))
+    return tp.align_windows(given).select("video", "frame", F.round("value", 4).alias("value"))
 
 
 @query("w06_cross_fade", f"WITH {FR} SELECT video, idx, round(value * (1 - (idx % 8) / 7.0::DOUBLE) + (value + 10) * ((idx % 8) / 7.0::DOUBLE), 6) AS faded FROM fr")

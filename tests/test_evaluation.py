@@ -196,17 +196,10 @@ def test_alignment_chain_undoes_window_scales(spark):
     windows = np.array([[truth[f] for f in w] for w in simulated_windows(n)])
     moved = np.stack([w if k == 0 else (w - 0.3 * k) / (1 + k) for k, w in enumerate(windows)])[:, :, None]
     assert np.allclose(tp.alignment_chain(moved)[:n, 0], truth)
-    rows = [(1, k, j, float(moved[k, j, 0])) for k in range(len(moved)) for j in range(32)]
-    got = tp.align_windows(spark.createDataFrame(rows, "video long, window int, slot int, value double")).orderBy("frame").toPandas().value
-    assert np.allclose(got[:n], truth)
-
-
-def test_flow_blend(spark):
-    px = lambda d: spark.createDataFrame([("v", 0, y, x, float(d[y][x])) for y in range(3) for x in range(4)], "video string, frame int, y int, x int, depth double")
-    now, before = np.full((3, 4), 10.0), np.arange(12.0).reshape(3, 4)
-    flow = spark.createDataFrame([("v", 0, y, x, 1.0, 0.0) for y in range(3) for x in range(4)], "video string, frame int, y int, x int, dx double, dy double")
-    got = {(r.y, r.x): r.depth for r in tp.blend_along_flow(px(now), px(before), flow, 0.5, 3, 4).collect()}
-    assert got[1, 0] == 0.5 * 10 + 0.5 * before[1, 1] and got[1, 2] == 10 and got[0, 0] == 10
+    frames = simulated_windows(n)
+    rows = [(1, k, j, frames[k][j], float(moved[k, j, 0])) for k in range(len(moved)) for j in range(32)]
+    got = tp.align_windows(spark.createDataFrame(rows, "video long, window int, slot int, frame int, value double")).orderBy("frame").toPandas().value
+    assert len(got) == n and np.allclose(got, truth)
 
 
 def test_taps_clamp(spark):

@@ -75,10 +75,10 @@ def brute_sequential(image, hole, kernel):
     changed = True
     while changed:
         changed = False
-        for y in range(1, image.shape[0]):
-            for x in range(1, image.shape[1]):
+        for y in range(image.shape[0]):
+            for x in range(image.shape[1]):
                 if hole[y, x]:
-                    near = [(j, i) for j in range(y - half, y + half + 1) for i in range(x - half, x + half + 1) if 0 <= j < image.shape[0] and 0 <= i < image.shape[1] and not hole[j, i]]
+                    near = [(j, i) for j in range(y - half, y + half + 1) for i in range(x - half, x + half + 1) if 0 < j < image.shape[0] and 0 < i < image.shape[1] and not hole[j, i]]
                     if near:
                         image[y, x] = sum(image[j, i] for j, i in near) // len(near)
                         hole[y, x] = False
