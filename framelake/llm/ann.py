@@ -1,7 +1,7 @@
 """Nearest neighbours by inner product: a hierarchical k-means tree, searched best bin first.
 
-The tree is fitted on a bounded sample and goes to every task; it has a bounded
-number of leaves. Every vector is filed under the leaf it descends to. A query
+The tree is fitted on a bounded sample and goes to every task; leaves grow in
+number with the table as far as the sample bears. Every vector is filed under the leaf it descends to. A query
 walks the tree with a priority queue, always opening the node whose centre has
 the largest inner product with it, and visits leaves until it has seen as many
 as the calibration asks for and enough vectors to answer. Calibration widens the
@@ -19,12 +19,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from framelake.llm.common import materialise
 from framelake.llm.sampling import fraction_of
 
-#: Sample, leaf size in the sample, children of a node, rows in a piece of a leaf, at most.
-FIT_ROWS, LEAF, BRANCHES, PIECE = 20_000, 1_000, 8, 4_096
+#: Sample, rows of the table in a leaf, children of a node, rows in a piece of a leaf, at most; rows of the sample in a leaf, at least.
+FIT_ROWS, LEAF, BRANCHES, PIECE, LEAST = 20_000, 1_000, 8, 4_096, 32
 #: Neighbours, recall that calibration reaches on the sample, queries it uses.
 K, RECALL, CALIBRATION = 20, 0.95, 200
 #: Every row whose id this divides is a query.
@@ -122,24 +123,22 @@ def calibrate(tree: KMeansTree, sample: np.ndarray, k: int = K, recall: float =
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else leaves
 
 
-def best(vectors: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, scores) of the k largest inner products, ties to smaller ids; the query's own id takes no part.
+def best(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, query: np.ndarray, own: int, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, uids, scores) of the k largest inner products, ties to smaller ids; the query's own row takes no part.
 
     ``rough`` has the products as a matrix product gives them; those that may
     count are summed again in one fixed order, so that equal vectors tie.
     """
-    rough = np.where(ids == own, -np.inf, rough)
+    rough = np.where(uids == own, -np.inf, rough)
     if len(rough) > k:
         edge = np.partition(rough, len(rough) - k)[len(rough) - k]
         at = np.nonzero(rough >= edge - 1e-9 * max(1.0, abs(edge)))[0]
     else:
         at = np.arange(len(rough))
-    at = at[ids[at] != own]
+    at = at[uids[at] != own]
     score = np.multiply(vectors[at], query[None, :]).sum(axis=1)
-    order = np.lexsort((ids[at], -score))[:k]
-    return ids[at][order], score[order]
-
-
+    at = at[order := np.lexsort((uids[at], ids[at], -score))[:k]]
+    return ids[at], uids[at], score[order]
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -151,10 +150,10 @@ def _search_pieces(dim: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors = None, [], []
-        ready: tuple[np.ndarray, np.ndarray] | None = None
+        ready: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
         for batch in batches:
-            leaf, piece, kind, own = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            matrix = _matrix(batch.column(4), dim)
+            leaf, piece, kind, own, uid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            matrix = _matrix(batch.column(5), dim)
             cuts = np.nonzero((np.diff(leaf) != 0) | (np.diff(piece) != 0) | (np.diff(kind) != 0))[0] + 1
             edges = [0, *cuts.tolist(), len(leaf)]
             out = []
@@ -164,21 +163,21 @@ def _search_pieces(dim: int, k: int):
                 if at != (leaf[a], piece[a]):
                     at, ids, vectors, ready = (leaf[a], piece[a]), [], [], None
                 if kind[a] == 0:
-                    ids.append(own[a:b])
+                    ids.append(np.stack([own[a:b], uid[a:b]]))
                     vectors.append(matrix[a:b])
                     continue
                 if ready is None:
-                    ready = (np.concatenate(ids), np.concatenate(vectors).astype(np.float64)) if ids else (np.zeros(0, dtype=np.int64), np.zeros((0, dim)))
+                    ready = (*np.concatenate(ids, axis=1), np.concatenate(vectors).astype(np.float64)) if ids else (*np.zeros((2, 0), dtype=np.int64), np.zeros((0, dim)))
                 if len(ready[0]):
                     queries = matrix[a:b].astype(np.float64)
                     for i in range(0, b - a, 256):
-                        rough = queries[i : i + 256] @ ready[1].T
+                        rough = queries[i : i + 256] @ ready[2].T
                         for j, row in enumerate(rough):
-                            found, score = best(ready[1], ready[0], queries[i + j], own[a + i + j], k, row)
-                            out.append((np.full(len(found), own[a + i + j]), found, score))
+                            query = a + i + j
+                            found = best(ready[2], ready[0], ready[1], queries[i + j], uid[query], k, row)
+                            out.append((np.full(len(found[0]), uid[query]), np.full(len(found[0]), own[query]), *found))
             if out:
-                q, v, s = (np.concatenate([x[i] for x in out]) for i in range(3))
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(v), pa.array(s)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(5)], names=["query", "query_id", "vec_id", "uid", "score"])
 
     return run
 
@@ -191,13 +190,18 @@ def nearest(
 
     Nearness is the inner product in double precision; ties go to the smaller
     vec_id. Vectors that are null, zero, hold null or non-finite components, or
-    have another length than most take no part, nor do rows without an id; rows
-    that share an id with the query count as the query. With fewer than ``k``
-    candidates all are returned. An empty table gives no rows. Further columns
-    are not read. The tree is fitted on about ``fit_rows`` vectors at most.
+    have another length than most take no part, nor do rows without an id. Every
+    row but the query's own is a candidate, so rows that repeat are found as often
+    as they occur, and an id that occurs twice has two queries, each with ranks of
+    its own. With fewer than ``k`` candidates all are returned. An empty table
+    gives no rows. Further columns are not read. Components are read as they are,
+    floats as floats, others as doubles. The tree is fitted on about ``fit_rows``
+    vectors at most, and a leaf is meant to hold about ``leaf`` rows of the table.
     """
     spark = table.sparkSession
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector")).filter(usable(F.col("vector")) & F.col("id").isNotNull())
+    single = isinstance(table.schema[vector_col].dataType, ArrayType) and isinstance(table.schema[vector_col].dataType.elementType, FloatType)
+    kind = "array<float>" if single else "array<double>"
+    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(kind).alias("vector")).filter(usable(F.col("vector")) & F.col("id").isNotNull())
     lengths = rows.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not lengths:
@@ -205,20 +209,22 @@ def nearest(
     dim, total = lengths[0]
     rows = rows.filter(F.size("vector") == dim)
     part = min(1.0, fit_rows / total)
-    chosen = rows.filter(fraction_of(F.col("id")) < part).toPandas().sort_values("id")
+    # A hash of id and vector, and as many rows at most, so that ids that repeat can't swell the sample.
+    chosen = rows.filter(fraction_of(F.concat_ws(" ", "id", F.xxhash64("vector"))) < part).limit(2 * fit_rows).toPandas().sort_values("id")
     if not len(chosen):
         chosen = rows.limit(1).toPandas()
     sample = np.stack(chosen["vector"].to_numpy()).astype(np.float64)
-    tree = KMeansTree(sample, leaf)
+    tree = KMeansTree(sample, max(LEAST, round(leaf * part)))
     visits = calibrate(tree, sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             filed = shared.value.file(_matrix(batch.column(1), dim).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([pa.array(filed), batch.column(0), batch.column(1)], names=["leaf", "id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(filed), *(batch.column(i) for i in range(3))], names=["leaf", "id", "vector", "uid"])
 
-    filed = materialise(rows.mapInArrow(file, "leaf long, id long, vector array<float>"))
+    # The rows' own numbers hold, as they are written with the rows.
+    filed = materialise(rows.withColumn("uid", F.monotonically_increasing_id()).mapInArrow(file, f"leaf long, id long, vector {kind}, uid long"))
     rows_in = np.zeros(len(tree.leaf_of), dtype=np.int64)
     for leaf_id, n in filed.groupBy("leaf").count().collect():  # a row for each leaf of the bounded tree
         rows_in[leaf_id] = n
@@ -228,16 +234,16 @@ def nearest(
         for batch in batches:
             matrix = _matrix(batch.column(1), dim).astype(np.float64)
             leaves = [shared.value.visits(q, visits, rows_in, k + 1) for q in matrix]
-            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.list_(pa.int64())), batch.column(0), batch.column(1)], names=["leaves", "id", "vector"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.list_(pa.int64())), *(batch.column(i) for i in range(3))], names=["leaves", "id", "vector", "uid"])
 
     cut = F.element_at(F.array(*[F.lit(int(p)) for p in pieces]), (F.col("leaf") + 1).cast("int"))
-    vectors = filed.select("leaf", F.pmod(F.xxhash64("id"), cut).cast("long").alias("piece"), F.lit(0).alias("kind"), "id", "vector")
-    walks = filed.filter(F.col("id") % query_step == 0).select("id", "vector").mapInArrow(visit, "leaves array<long>, id long, vector array<float>")
+    vectors = filed.select("leaf", F.pmod(F.xxhash64("uid"), cut).cast("long").alias("piece"), F.lit(0).alias("kind"), "id", "uid", "vector")
+    walks = filed.filter(F.col("id") % query_step == 0).select("id", "vector", "uid").mapInArrow(visit, f"leaves array<long>, id long, vector {kind}, uid long")
     queries = (
-        walks.select(F.explode("leaves").alias("leaf"), "id", "vector")
-        .select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), (cut - 1).cast("long"))).alias("piece"), F.lit(1).alias("kind"), "id", "vector")
+        walks.select(F.explode("leaves").alias("leaf"), "id", "uid", "vector")
+        .select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), (cut - 1).cast("long"))).alias("piece"), F.lit(1).alias("kind"), "id", "uid", "vector")
     )
     met = vectors.unionByName(queries).repartition("leaf", "piece").sortWithinPartitions("leaf", "piece", "kind")
-    found = met.mapInArrow(_search_pieces(dim, k), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = met.mapInArrow(_search_pieces(dim, k), "query long, query_id long, vec_id long, uid long, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
