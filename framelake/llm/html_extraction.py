@@ -6,10 +6,16 @@ elements that match are merged, those that only one side has become optional,
 and text stands as a slot. The result is the host's wrapper, a regular
 expression without unions. Trees are reduced to their distinct forms before
 they meet, then merged a few at a time in rounds, so neither a hot host's pages
-nor its trees ever come together. Sums over the slots of a host's wrapper tell
-which hold the same text on every page (template) and, where pages mark no
-article, which element holds the bulk of running text (the article's slot).
-Every page is then cut by its host's wrapper.
+nor its trees ever come together.
+
+Every page is then matched against its host's wrapper, which gives each of its
+texts a slot: the element of the wrapper that it stands in, so that elements
+alike in tag and class are told apart by their place. Sums over the slots of a
+host decide which of them are the article: slots with the same text on pages of
+different content are template, wherever they stand; the slot with most running
+text is the main one; parts that are named like a menu, notice or comments
+count as such only if the main slot is not inside. Tags and roles that mark no
+text (nav, form, footer ...) and marks of an article are read from the page.
 """
 
 from __future__ import annotations
@@ -17,9 +23,10 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -36,6 +43,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOT_TEXT = frozenset("head title script style nav footer aside form noscript template iframe svg button select textarea canvas dialog menu object video audio map".split())
 NOT_TEXT_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu menubar navbar navigation nav breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond disqus footer toolbar widget pagination pager skip masthead".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Words that a name may have besides those and still be one of them: "comment-list" is, "related-work" is not.
+NEUTRAL_NAMES = frozenset("box wrapper wrap container list section area block bar content inner outer left right top bottom item items group panel link links post posts article articles icon icons button buttons main site page text message form row column unit slot zone thread".split())
 ARTICLE_NAMES = frozenset(("articlebody", "article-body"))
 
 _TOKEN = re.compile(
@@ -45,6 +54,9 @@ _ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?
 _NAME = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
+#: (open, next): elements that the next one closes where their end is left out.
+CLOSES = frozenset((("li", "li"), ("tr", "tr"), *((a, b) for a in ("dt", "dd") for b in ("dt", "dd")), *((a, b) for a in ("td", "th") for b in ("td", "th"))))
+
 #: Elements below this depth count as their ancestor there; their text does not suffer.
 MAX_DEPTH = 100
 #: Pages that must agree before a slot's text is template, trees that are merged at once, bytes of wrappers that go out by broadcast at most.
@@ -52,13 +64,15 @@ TEMPLATE_PAGES, FAN_IN, BROADCAST_BYTES = 3, 64, 32 << 20
 
 
 class _Node:
-    __slots__ = ("article", "children", "depth", "drop", "path", "sig", "tag")
+    __slots__ = ("article", "children", "depth", "drop", "named", "path", "place", "sig", "tag")
 
-    def __init__(self, tag: str, sig: str, parent: _Node | None, drop: bool, article: bool) -> None:
-        self.tag, self.sig, self.drop, self.article = tag, sig, drop, article
+    def __init__(self, tag: str, sig: str, parent: _Node | None, drop: bool, article: bool, named: bool = False) -> None:
+        self.tag, self.sig, self.drop, self.article, self.place = tag, sig, drop, article, -1
+        # The outermost element with a listed name.
+        self.named: _Node | None = parent.named if parent and parent.named else self if named else None
         self.depth = parent.depth + 1 if parent else 0
         if self.depth > MAX_DEPTH:
-            self.path, self.children = parent.path, parent.children
+            self.path, self.children, self.place = parent.path, parent.children, parent
             return
         self.path = f"{parent.path}/{sig}" if parent else ""
         self.children: list = []
@@ -66,20 +80,24 @@ class _Node:
             parent.children.append(self)
 
 
+def _is_listed(name: str) -> bool:
+    words = _NAME.findall(name)
+    return not NOT_TEXT_NAMES.isdisjoint(words) and all(w in NOT_TEXT_NAMES or w in NEUTRAL_NAMES for w in words)
+
+
 def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
-    sig, drop, article = tag, parent.drop, parent.article
+    sig, drop, article, named = tag, parent.drop, parent.article, False
     if tag in NOT_TEXT or tag == "header" and not article:
         drop = True
     if tag in ("article", "main"):
         article = True
     if attributes and not attributes.isspace():
-        names: list[str] = []
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id"):
-                names += _NAME.findall(value)
+                named |= any(map(_is_listed, value.split()))
                 if key == "class" and value.strip():
-                    sig += "." + ".".join(re.sub(r"\d+", "", value).split()[:2])
+                    sig += "." + ".".join(re.sub(r"\d+", "", value).split())
             elif key == "role":
                 drop |= value in NOT_TEXT_ROLES
                 article |= value in ("main", "article")
@@ -87,9 +105,8 @@ def _opened(tag: str, attributes: str, parent: _Node) -> _Node:
                 article |= value in ARTICLE_NAMES
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
                 drop = True
-        if tag not in ("html", "body", "article", "main") and not NOT_TEXT_NAMES.isdisjoint(names):
-            drop = True
-    return _Node(tag, sig, parent, drop, article)
+        named &= tag not in ("html", "body", "article", "main")
+    return _Node(tag, sig, parent, drop, article, named)
 
 
 def read_page(html: str | None) -> tuple[_Node, list[tuple[_Node, str, float]]]:
@@ -142,7 +159,7 @@ def read_page(html: str | None) -> tuple[_Node, list[tuple[_Node, str, float]]]:
             flush()
         elif tag in BLOCKS:
             flush()
-            if stack[-1].tag == "p" or stack[-1].tag == tag and tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
+            if stack[-1].tag == "p" or (stack[-1].tag, tag) in CLOSES:
                 opened[stack.pop().tag] -= 1
                 if tag == "li" and stack[-1].tag == "li":
                     opened[stack.pop().tag] -= 1
@@ -190,24 +207,54 @@ def _fold(nodes: list) -> list:
     return nodes
 
 
-def align(a: list, b: list) -> list:
-    """The least wrapper of both node lists: matches merge, the rest becomes optional, repeats fold."""
+#: Cells of an alignment's table; siblings beyond are aligned by their longest common runs.
+CELLS = 1 << 22
+
+
+def _matches(a: list, b: list) -> list[tuple[int, int]]:
+    """Places of a longest common subsequence of signatures."""
     n, m = len(a), len(b)
+    if n * m > CELLS:
+        blocks = SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_matching_blocks()
+        return [(x.a + i, x.b + i) for x in blocks for i in range(x.size)]
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append([a[i][0], _both(a[i][1], b[j][1]), align(a[i][2], b[j][2])])
+    while i < n and j < m:
+        if a[i][0] == b[j][0]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([a[i][0], _both(a[i][1], "?"), a[i][2]])
+        elif best[i + 1][j] >= best[i][j + 1]:
             i += 1
         else:
-            out.append([b[j][0], _both(b[j][1], "?"), b[j][2]])
             j += 1
+    return out
+
+
+def _grouped(own: list, other: list) -> list:
+    """``own`` with runs of what a group of ``other`` repeats as groups that stand once."""
+    for group in other:
+        if group[0] == "()":
+            names = [x[0] for x in group[2]]
+            i = 0
+            while i + len(names) <= len(own):
+                if [x[0] for x in own[i : i + len(names)]] == names:
+                    own = [*own[:i], ["()", "", own[i : i + len(names)]], *own[i + len(names) :]]
+                i += 1
+    return own
+
+
+def align(a: list, b: list) -> list:
+    """The least wrapper of both node lists: matches merge, the rest becomes optional, repeats fold."""
+    a, b = _grouped(a, b), _grouped(b, a)
+    out, i, j = [], 0, 0
+    for x, y in [*_matches(a, b), (len(a), len(b))]:
+        out += [[s, _both(q, "?"), c] for s, q, c in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append([a[x][0], _both(a[x][1], b[y][1]), align(a[x][2], b[y][2])])
+        i, j = x + 1, y + 1
     return _fold(out)
 
 
@@ -223,38 +270,87 @@ def pattern(wrapper: list) -> str:
     return " ".join(("(" + pattern(c) + ")" if s == "()" else s + ("[" + pattern(c) + "]" if c else "")) + q for s, q, c in wrapper)
 
 
-def _folded(batches: Iterator[pd.DataFrame], enough: int = TEMPLATE_PAGES) -> Iterator[pd.DataFrame]:
-    """Per task: pages of each (host, tree), and of each (host, slot) its characters, least and greatest text hash, and the least ``enough`` hashes of contents of pages that have it."""
+def _folded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per task: pages of each (host, tree)."""
     trees: Counter = Counter()
-    slots: dict[tuple, list] = {}
 
     def rows() -> pd.DataFrame:
-        out = [(h, t, None, False, False, n, 0, 0.0, 0, 0, []) for (h, t), n in trees.items()]
-        out += [(h, None, p, a, i, *x) for (h, p, a, i), x in slots.items()]
+        out = pd.DataFrame([(h, t, n) for (h, t), n in trees.items()], columns=["host", "tree", "pages"])
         trees.clear()
-        slots.clear()
-        return pd.DataFrame(out, columns=["host", "tree", "path", "marked", "inside", "pages", "chars", "linked", "least", "most", "contents"])
+        return out
 
     for batch in batches:
         for host, html in zip(batch["host"], batch["html"], strict=True):
-            root, blocks = read_page(html)
-            trees[host, json.dumps(page_wrapper(root), separators=(",", ":"))] += 1
-            marked = any(b[0].article and not b[0].drop for b in blocks)
-            kept = [(node, text, linked, hash_text(text)) for node, text, linked in blocks if not node.drop]
-            content = hash_text("\n".join(f"{node.path} {h}" for node, _, _, h in kept))
-            for node, text, linked, h in kept:
-                x = slots.setdefault((host, node.path, marked, node.article), [0, 0, 0.0, h, h, []])
-                x[0] += 1
-                x[1] += len(text)
-                x[2] += linked * len(text)
-                x[3], x[4] = min(x[3], h), max(x[4], h)
-                if content not in x[5] and (len(x[5]) < enough or content < x[5][-1]):
-                    x[5] = sorted([*x[5], content])[:enough]
-            if len(trees) + len(slots) > 50_000:
+            trees[host, json.dumps(page_wrapper(read_page(html)[0]), separators=(",", ":"))] += 1
+            if len(trees) > 50_000:
                 yield rows()
     yield rows()
 
 
+class Wrapper:
+    """A host's wrapper with its elements numbered in page order, to match pages against it."""
+
+    def __init__(self, nodes: list) -> None:
+        self.parents: list[int] = []
+        self._top = self._read(nodes, -1)
+
+    def _read(self, nodes: list, parent: int) -> tuple:
+        """Siblings in order, groups opened: numbers, content, where a repeat may begin again, and places of each signature."""
+        numbers: list[int] = []
+        inside: list[tuple] = []
+        again: list[int | None] = []
+        at: dict[str, list[int]] = {}
+
+        def add(siblings: list, start: int | None) -> None:
+            for sig, quantifier, children in siblings:
+                repeated = quantifier in ("+", "*")
+                if sig == "()":
+                    add(children, len(numbers) if start is None else start)
+                elif sig != "#":
+                    number = len(self.parents)
+                    self.parents.append(parent)
+                    at.setdefault(sig, []).append(len(numbers))
+                    again.append(len(numbers) if repeated and start is None else start)
+                    numbers.append(number)
+                    inside.append(())
+                    inside[-1] = self._read(children, number)
+
+        add(nodes, None)
+        return numbers, inside, again, at
+
+    def place(self, root: _Node) -> None:
+        """Give every element of a page the number of the wrapper's element that it matches, -1 where none does."""
+        todo = [(root, self._top)]
+        while todo:
+            node, (numbers, inside, again, at) = todo.pop()
+            here = -1
+            for child in node.children:
+                if child == "#":
+                    continue
+                places = at.get(child.sig)
+                if not places:
+                    continue
+                back = again[here] if here >= 0 else None
+                k = bisect_left(places, back) if back is not None else len(places)
+                if k == len(places) or places[k] > here:  # no repeat of what stands here: on to the next of its kind
+                    k = bisect_left(places, here + 1)
+                here = places[min(k, len(places) - 1)]
+                child.place = numbers[here]
+                todo.append((child, inside[here]))
+
+    def within(self, place: int, element: int) -> bool:
+        while place >= 0 and place != element:
+            place = self.parents[place]
+        return place == element
+
+
+def _number(node: _Node | None) -> int:
+    """The node's place, below the depth limit its ancestor's."""
+    while node is not None and isinstance(node.place, _Node):
+        node = node.place
+    return -1 if node is None else node.place
+
+
 def hash_text(text: str) -> int:
     import xxhash
 
@@ -297,83 +393,138 @@ def merge_trees(trees: DataFrame, fan_in: int = FAN_IN) -> DataFrame:
     return level.select("host", "tree")
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """One row per host: host, pages, pattern, article_path, template_paths.
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """One row per host: host, pages, tree (the wrapper as JSON), pattern (the same as an expression). A null url has the empty host."""
+    read = pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
+    trees = materialise(read.mapInPandas(_folded, "host string, tree string, pages long").groupBy("host", "tree").agg(F.sum("pages").alias("pages")))
+    counts = trees.groupBy("host").agg(F.sum("pages").alias("pages"))
+
+    def written(trees: pd.Series) -> pd.Series:
+        return trees.map(lambda t: pattern(json.loads(t)))
+
+    return counts.join(merge_trees(trees), "host").select("host", "pages", "tree", F.pandas_udf(written, "string")("tree").alias("pattern"))
+
 
-    pattern is the host's wrapper; the paths are among its slots. article_path
-    is the element with the most running text on pages that mark no article,
-    null if there is none; template_paths are slots outside articles whose text
-    is the same on every page, seen on at least ``template_pages`` pages of
-    different content: copies of a page count once, so that other slots of these
-    pages differ. A null url has the empty host.
+def _placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per page its blocks that tags and roles leave: slot, text, characters in links, whether marked as article, the named element it is in; own: what the page alone takes for its article."""
+    known: dict[str, Wrapper] = {}
+    for batch in batches:
+        rows = []
+        for html, tree in zip(batch["html"], batch["tree"], strict=True):
+            if tree not in known:
+                if len(known) > 200:
+                    known.clear()
+                known[tree] = Wrapper(json.loads(tree))
+            root, blocks = read_page(html)
+            known[tree].place(root)
+            blocks = [b for b in blocks if not b[0].drop]
+            slots, texts = [_number(b[0]) for b in blocks], [b[1] for b in blocks]
+            linked = [round(b[2] * len(b[1])) for b in blocks]
+            content = hash_text("\n".join(f"{s} {t}" for s, t in zip(slots, texts, strict=True)))
+            rows.append((slots, texts, linked, [b[0].article for b in blocks], [_number(b[0].named) if b[0].named else NOT_NAMED for b in blocks], _own_article(blocks), content))
+        columns = ["slots", "texts", "linked", "marked", "named", "own", "content"]
+        yield pd.concat([batch[["page_id", "url", "host"]].reset_index(drop=True), pd.DataFrame(rows, columns=columns)], axis=1)
+
+
+#: Stands for the number of the named element where there is none.
+NOT_NAMED = -2
+
+
+def _own_article(blocks: list[tuple[_Node, str, float]]) -> list[bool]:
+    """Without its host's facts: marked blocks outside named parts, else those of the element with most running text."""
+    plain = [b[0].named is None for b in blocks]
+    if any(b[0].article for b in blocks):
+        return [b[0].article and p for b, p in zip(blocks, plain, strict=True)]
+    running: Counter = Counter()
+    for (node, text, linked), p in zip(blocks, plain, strict=True):
+        if p:
+            running[node.path.rpartition("/")[0]] += len(text) * (1 - 2 * linked)
+    if not running:
+        return [False] * len(blocks)
+    best = max(sorted(running), key=running.__getitem__)
+    return [p and running[best] > 0 and (b[0].path + "/").startswith(best + "/") for b, p in zip(blocks, plain, strict=True)]
+
+
+def article_slots(tree: str, slots: list[dict], template_pages: int = TEMPLATE_PAGES) -> tuple[list[int], list[int], list[int]]:
+    """Slots of the article on pages that mark one, on pages that mark none, and template slots, of one host.
+
+    ``slots`` has for each slot, mark and named element: contents (pages of
+    different content), chars, linked, least and most (hashes of its texts).
     """
-    seen = materialise(
-        pages.select(url_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInPandas(
-            partial(_folded, enough=template_pages), "host string, tree string, path string, marked boolean, inside boolean, pages long, chars long, linked double, least long, most long, contents array<long>"
-        )
+    wrapper = Wrapper(json.loads(tree))
+    texts: dict[int, list[int]] = {}
+    for s in slots:
+        x = texts.setdefault(s["slot"], [0, s["least"], s["most"]])
+        x[:] = x[0] + s["contents"], min(x[1], s["least"]), max(x[2], s["most"])
+    template = [n for n, (contents, least, most) in texts.items() if n >= 0 and least == most and contents >= template_pages]
+    out = []
+    for marked in (True, False):
+        own = [s for s in slots if s["marked"] == marked and s["slot"] not in template]
+        running: Counter = Counter()
+        for plain in (True, False):
+            for s in own:
+                if (s["named"] == NOT_NAMED) == plain:
+                    running[s["slot"]] += s["chars"] - 2 * s["linked"]
+            if running and max(running.values()) > 0:
+                break
+        if not marked:
+            # Of pages that mark none: all that is in the element around the main slot.
+            around: Counter = Counter()
+            for n, r in running.items():
+                around[wrapper.parents[n] if n >= 0 else -1] += r
+            holder = max(sorted(around), key=around.__getitem__) if around else -1
+            if not around or around[holder] <= 0:
+                out.append([])
+                continue
+            running = Counter({n: r for n, r in running.items() if (wrapper.parents[n] if n >= 0 else -1) == holder})
+            own = [s for s in own if holder == -1 or s["slot"] >= 0 and wrapper.within(s["slot"], holder)]
+        main = max(sorted(running), key=running.__getitem__) if running else -1
+        out.append([s["slot"] for s in own if s["named"] == NOT_NAMED or s["named"] >= 0 and wrapper.within(main, s["named"])])
+    return sorted(set(out[0])), sorted(set(out[1])), sorted(template)
+
+
+def _host_slots(placed: DataFrame) -> DataFrame:
+    """host, found: the sums of every slot of a host. Pages of the same content count once, whatever their number."""
+    block = placed.select("host", "content", F.explode(F.arrays_zip("slots", "texts", "linked", "marked", "named")).alias("b"))
+    text = F.xxhash64("b.texts")
+    once = block.groupBy("host", "content", F.col("b.slots").alias("slot"), F.col("b.marked").alias("marked"), F.col("b.named").alias("named")).agg(
+        F.sum(F.length("b.texts")).alias("chars"), F.sum("b.linked").alias("linked"), F.min(text).alias("least"), F.max(text).alias("most")
     )
-    trees = materialise(seen.filter("tree IS NOT NULL").groupBy("host", "tree").agg(F.sum("pages").alias("pages")))
-    read = F.udf(lambda t: (pattern(w := json.loads(t)), slot_paths(w)), "pattern string, slots array<string>")
-    written = materialise(merge_trees(trees).select("host", read("tree").alias("w")).select("host", "w.pattern", "w.slots"))
-    found = seen.filter("path IS NOT NULL")
-    # Of each task at most template_pages contents of a slot: enough to tell whether there are so many.
-    contents = found.select("host", "path", "inside", F.explode("contents").alias("content")).distinct()
-    slots = found.groupBy("host", "path", "marked", "inside").agg(
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"), F.min("least").alias("least"), F.max("most").alias("most")
-    )
-    slots = slots.join(written.select("host", F.explode("slots").alias("path")), ["host", "path"], "left_semi")
-    fixed = F.col("least") == F.col("most")
-    alike = slots.groupBy("host", "path", "inside").agg(F.min("least").alias("least"), F.max("most").alias("most")).filter(fixed)
-    often = contents.groupBy("host", "path", "inside").agg(F.count("*").alias("contents")).filter(F.col("contents") >= template_pages)
-    template = materialise(alike.join(often, ["host", "path", "inside"]).filter(~F.col("inside")).select("host", "path"))
-    holders = (
-        slots.filter(~F.col("marked"))
-        .join(template, ["host", "path"], "left_anti")
-        .groupBy("host", F.regexp_replace("path", "/[^/]*$", "").alias("holder"))
-        .agg(F.sum(F.col("chars") - 2 * F.col("linked")).alias("running"))
-        .filter("running > 0")
-        .groupBy("host").agg(F.max(F.struct("running", "holder"))["holder"].alias("article_path"))
-    )
-    counts = trees.groupBy("host").agg(F.sum("pages").alias("pages"))
-    return counts.join(written.select("host", "pattern"), "host").join(holders, "host", "left").join(template.groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("template_paths")), "host", "left")
-
-
-def main_text(html: str | None, article_path: str | None, template_paths: list[str] | None) -> str:
-    """The page's article: blocks joined by one space, empty if there is none."""
-    _, blocks = read_page(html)
-    blocks = [b for b in blocks if not b[0].drop]
-    inside = [b for b in blocks if b[0].article]
-    if not inside:
-        template = set(template_paths if template_paths is not None else ())
-        blocks = [b for b in blocks if b[0].path not in template]
-        inside = [b for b in blocks if article_path is not None and (b[0].path + "/").startswith(article_path + "/")]
-        if not inside and blocks:
-            running: Counter = Counter()
-            for node, text, linked in blocks:
-                running[node.path.rpartition("/")[0]] += len(text) * (1 - 2 * linked)
-            best = max(sorted(running), key=running.__getitem__)
-            inside = [b for b in blocks if (b[0].path + "/").startswith(best + "/")] if running[best] > 0 else []
-    return " ".join(b[1] for b in inside)
-
-
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    sums = once.groupBy("host", "slot", "marked", "named").agg(F.count("*").alias("contents"), *[F.sum(c).alias(c) for c in ("chars", "linked")], F.min("least").alias("least"), F.max("most").alias("most"))
+    return sums.groupBy("host").agg(F.collect_list(F.struct("slot", "marked", "named", "contents", "chars", "linked", "least", "most")).alias("found"))
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", template_pages: int = TEMPLATE_PAGES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars (code points).
 
     A null or empty html, and one without an article, has the empty text. Broken
-    and cut-off markup is read as far as it goes. An empty table gives no rows.
-    Further columns of ``pages`` are not read. Wrappers go to the pages by
-    broadcast up to ``broadcast_bytes`` in all; beyond, those of large hosts, of
-    which there are few, still do, and all others meet by host.
+    and cut-off markup is read as far as it goes. Rows that repeat come back as
+    often. An empty table gives no rows. Further columns of ``pages`` are not
+    read. Where the host's facts leave a page nothing, what the page alone shows
+    counts, less template. Wrappers go to the pages by broadcast up to
+    ``broadcast_bytes`` in all; beyond, those of large hosts, of which there are
+    few, still do, and all others meet by host.
     """
-    wrappers = materialise(infer_wrappers(pages, url_col, html_col).select("host", "pages", "article_path", "template_paths"))
-    taken = F.length("host") + F.length(F.coalesce("article_path", F.lit(""))) + F.length(F.array_join(F.coalesce("template_paths", F.array().cast("array<string>")), " ")) + 64
-    size, total = wrappers.agg(F.coalesce(F.sum(taken), F.lit(0)), F.coalesce(F.sum("pages"), F.lit(0))).first()
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
-    joined = rows.join(F.broadcast(wrappers), "host", "left") if size <= broadcast_bytes else join_group_facts(rows, wrappers, "host", "pages", total)
+    wrappers = materialise(infer_wrappers(pages, url_col, html_col).select("host", "pages", "tree"))
+    size, total = wrappers.agg(F.coalesce(F.sum(F.length("host") + F.length("tree") + 64), F.lit(0)), F.coalesce(F.sum("pages"), F.lit(0))).first()
 
-    def cut(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, path, template in batches:
-            yield pd.Series([main_text(*x) for x in zip(html, path, template, strict=True)], dtype=object)
+    def with_host(rows: DataFrame, facts: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(facts), "host", "left") if size <= broadcast_bytes else join_group_facts(rows, facts, "host", "pages", total)
 
-    text = F.pandas_udf(cut, "string")("html", "article_path", "template_paths")
-    return joined.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", url_host(F.col("url")))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
+    schema = f"{kinds}, host string, slots array<int>, texts array<string>, linked array<long>, marked array<boolean>, named array<int>, own array<boolean>, content long"
+    placed = materialise(with_host(rows, wrappers).select("page_id", "url", "host", "html", "tree").mapInPandas(_placed, schema))
+
+    def decide(trees: pd.Series, found: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([article_slots(t, [] if f is None else list(f), template_pages) for t, f in zip(trees, found, strict=True)], columns=["in_marked", "in_plain", "template"])
+
+    decided = F.pandas_udf(decide, "in_marked array<int>, in_plain array<int>, template array<int>")("tree", "found")
+    facts = materialise(wrappers.join(_host_slots(placed), "host").select("host", "pages", decided.alias("d")).select("host", "pages", "d.*"))
+    marks = F.exists("marked", lambda m: m)
+    blocks = F.arrays_zip("slots", "texts", "marked", "own")
+    joined = with_host(placed, facts).withColumn("_plain", ~marks)
+    chosen = F.filter(blocks, lambda b: (b["marked"] & F.array_contains("in_marked", b["slots"])) | (F.col("_plain") & F.array_contains("in_plain", b["slots"])))
+    alone = F.filter(blocks, lambda b: b["own"] & ~F.array_contains("template", b["slots"]))
+    text = F.array_join(F.transform(F.when(F.size(chosen) > 0, chosen).otherwise(alone), lambda b: b["texts"]), " ")
+    return joined.select("page_id", "url", F.coalesce(text, F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
