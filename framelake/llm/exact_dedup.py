@@ -26,37 +26,37 @@ def normalised(text: Column) -> Column:
 
 
 def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, code points, digest and normalised length of each row, with no other column of ``docs``."""
+    """doc_id, code points, digest, and normalised length and a second hash to verify it, of each row, with no other column of ``docs``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id",
         F.length("text").cast("long").alias("chars"),
         F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("digest"),
-        F.length(normalised(F.col("text"))).cast("long").alias("norm_chars"),
+        F.struct(F.length(normalised(F.col("text"))).cast("long").alias("chars"), F.xxhash64(normalised(F.col("text"))).alias("hash")).alias("check"),
     )
 
 
 def merge_runs(rows: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """Best row and size of each digest, from rows with a column ``node`` in [0, runs).
 
-    Two rows are the same text if digest and normalised length agree; every
-    level checks both and keeps the row with most code points, then the smallest
+    Two rows are the same text if digest, normalised length and a second hash of
+    it agree; every level verifies them all and keeps the row with most code points, then the smallest
     doc_id (null ids last).
     """
     level = rows.select(
-        "node", "digest", "norm_chars",
+        "node", "digest", "check",
         F.struct((-F.col("chars")).alias("less"), F.col("doc_id").isNull().alias("unnamed"), "doc_id", "uid").alias("best"),
         F.lit(1).cast("long").alias("group_size"),
     )
     while True:
         level = (
             level.withColumn("node", F.floor(F.col("node") / fan_in))
-            .groupBy("node", "digest", "norm_chars")
+            .groupBy("node", "digest", "check")
             .agg(F.min("best").alias("best"), F.sum("group_size").alias("group_size"))
         )
         runs = -(-runs // fan_in)
         if runs <= 1:
-            return level.select("digest", "norm_chars", "best", "group_size")
+            return level.select("digest", "check", "best", "group_size")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fan_in: int = FAN_IN) -> DataFrame:
@@ -88,7 +88,8 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs`` that exact_dedup keeps, with all their columns.
 
     Texts meet their decision by (digest, doc_id), so a hot group spreads over
-    all tasks; only rows repeated in id and text need a further step.
+    all tasks; only rows repeated in id and text need a further step: of those
+    the first by all columns, written as JSON, stays, the same one in every run.
     """
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -105,5 +106,5 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     keep = materialise(keep.join(times.alias("t"), same("b", "t")).select("b.digest", "b.doc_id", "b.chars", "t.times"))
     kept = whole.alias("w").join(keep.alias("k"), same("w", "k")).select("w.row", "w.digest", "w.doc_id", "k.times")
     once = kept.filter("times = 1").select("row.*")
-    again = kept.filter("times > 1").groupBy("digest", "doc_id").agg(F.first("row").alias("row")).select("row.*")
+    again = kept.filter("times > 1").groupBy("digest", "doc_id").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.unionByName(again) if keep.filter("times > 1").limit(1).count() else once

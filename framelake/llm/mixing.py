@@ -23,9 +23,10 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 RANGE_ROWS = 20_000
 
 
-def mix_key(doc_id: Column, seed: str = "mix") -> Column:
-    """32 random hex digits of a document."""
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+def mix_key(doc_id: Column, text: Column, seed: str = "mix") -> Column:
+    """32 random hex digits of a document, from its id and text, so that rows without an id or with a common one spread as well."""
+    words = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), words).cast("binary"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS) -> DataFrame:
@@ -59,25 +60,27 @@ def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, repeats: int = REPEATS, range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, copies.
+    """One row per row of ``docs``: doc_id, source, size, key, source_size, target, taken, copies.
 
     size counts words (null text: 0); the null source is a source of its own, in
     the last place. taken sums, over a source, to the floor of its target: the
     document at the cut gives part of its words. copies rounds that to whole
     documents: the document at the cut counts if at least half of it, and an
-    empty document if its place, lies before the cut. Rows that agree in id lie
-    by size; repeated rows each take their place. An empty table gives no rows.
+    empty document if its place, lies before the cut. Rows that repeat lie side by
+    side and each take their place; they are counted first, so that a group of
+    any size is one row of a range. An empty table gives no rows.
     Further columns of ``docs`` are not read.
     """
     rows = materialise(
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"))
-        .select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id")).alias("key"))
+        .select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id"), F.col("text")).alias("key"))
+        .groupBy("doc_id", "source", "size", "key").agg(F.count("*").alias("times"))
     )
     ranges = 1 << max(6, math.ceil(math.log2(max(1, rows.count() / range_rows))))
     place = F.floor(F.conv(F.substring("key", 1, 6), 16, 10).cast("long") * ranges / (1 << 24)).cast("int")
     rows = rows.withColumn("range", place).withColumn("named", F.coalesce("source", F.lit("")))
     rows = rows.withColumn("unnamed", F.col("source").isNull())
-    per_range = rows.groupBy("named", "unnamed", "range").agg(F.sum("size").alias("words"))
+    per_range = rows.groupBy("named", "unnamed", "range").agg(F.sum(F.col("size") * F.col("times")).alias("words"))
     before = Window.partitionBy("named", "unnamed").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.withColumn("offset", F.coalesce(F.sum("words").over(before), F.lit(0)))
     sizes = per_range.groupBy("named", "unnamed").agg(F.sum("words").alias("source_size"))
@@ -86,14 +89,17 @@ def mix_sources(
     ).select(F.coalesce("source", F.lit("")).alias("named"), F.col("source").isNull().alias("unnamed"), "source_size", "target")
     facts = materialise(offsets.drop("words").join(targets, ["named", "unnamed"]))
     inside = Window.partitionBy("named", "unnamed", "range").orderBy("key", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("upto", F.sum("size").over(inside)).join(facts, ["named", "unnamed", "range"])
-    start = F.col("offset") + F.col("upto") - F.col("size")
+    placed = rows.withColumn("upto", F.sum(F.col("size") * F.col("times")).over(inside)).join(facts, ["named", "unnamed", "range"])
+    # Repeats are dealt out a thousand at a time.
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(1000).cast("long"))))
+    placed = placed.withColumn("nth", F.explode(F.sequence(F.col("block"), F.least(F.col("block") + 999, F.col("times") - 1))))
+    start = F.col("offset") + F.col("upto") - F.col("size") * (F.col("times") - F.col("nth"))
     budget = F.floor("target").cast("long")
     epochs = F.coalesce(F.expr("try_divide(floor(target), source_size)").cast("long"), F.lit(0))
     rest = budget - F.col("epochs") * F.col("source_size")
     once_more = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("start")))
     return placed.withColumn("start", start).withColumn("epochs", epochs).select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "key", "source_size", "target",
         (F.col("epochs") * F.col("size") + once_more).alias("taken"),
         (F.col("epochs") + (F.col("start") * 2 + F.col("size") <= rest * 2).cast("long")).alias("copies"),
     )
@@ -102,35 +108,40 @@ def mix_sources(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, each as often as mix_sources has copies of it, with all their columns.
 
-    Rows meet their copies by (doc_id, size, source); rows that agree in all
-    three share the copies that fall to them, the higher counts first by text.
+    Rows meet their copies by (doc_id, source, key), the key telling texts apart;
+    rows that agree in all three share the copies that fall to them, the higher
+    counts first by all columns, written as JSON.
     """
     names = docs.columns
     text, source = options.get("text_col", "text"), options.get("source_col", "source")
     mixed = materialise(
         mix_sources(docs, id_col, **options)
-        .groupBy("doc_id", "source", "size")
-        .agg(F.sort_array(F.collect_list("copies"), asc=False).alias("copies"), F.count("*").alias("rows"))
+        .groupBy("doc_id", "source", "key", "copies").agg(F.count("*").alias("rows"))
+        .groupBy("doc_id", "source", "key")
+        .agg(F.array_sort(F.collect_list(F.struct((-F.col("copies")).alias("less"), "rows"))).alias("shares"), F.sum("rows").alias("rows"))
     )
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
-        F.col(id_col).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.col(text).alias("text"),
+        F.col(id_col).alias("doc_id"), F.col(source).alias("source"), mix_key(F.col(id_col), F.col(text)).alias("key"),
     )
     a, b = whole.alias("a"), mixed.alias("b")
-    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))
-    met = a.join(b, same).select("a.row", "a.text", F.col("a.doc_id").alias("doc_id"), F.col("a.source").alias("source"), F.col("a.size").alias("size"), "b.copies", "b.rows")
-    out = met.filter("rows = 1").select("row", F.element_at("copies", 1).alias("n"))
-    if mixed.filter("rows > 1").limit(1).count():
-        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "size").orderBy(F.col("text").asc_nulls_last()))
-        tied = met.filter("rows > 1").withColumn("nth", nth)
-        out = out.unionByName(tied.select("row", F.element_at("copies", F.col("nth")).alias("n")))
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.key") == F.col("b.key"))
+    met = a.join(b, same).select("a.row", F.col("a.doc_id").alias("doc_id"), F.col("a.source").alias("source"), F.col("a.key").alias("key"), "b.shares", "b.rows")
+    # Repeats have a few counts at most: that of all whole epochs, one more, and one at the cut.
+    out = met.filter(F.size("shares") == 1).select("row", (-F.col("shares")[0]["less"]).alias("n"))
+    if mixed.filter(F.size("shares") > 1).limit(1).count():
+        # Only the group that the cut of its source goes through: one for each source at most.
+        nth = F.row_number().over(Window.partitionBy("doc_id", "source", "key").orderBy(F.to_json("row")))
+        tied = met.filter(F.size("shares") > 1).withColumn("nth", nth)
+        of = F.aggregate("shares", F.struct(F.lit(0).cast("long").alias("upto"), F.lit(None).cast("long").alias("n")), lambda acc, s: F.struct((acc["upto"] + s["rows"]).alias("upto"), F.coalesce(acc["n"], F.when(F.col("nth") <= acc["upto"] + s["rows"], -s["less"])).alias("n")))
+        out = out.unionByName(tied.select("row", of["n"].alias("n")))
     return out.filter("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("row.*")
 
 
 SQL = """
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 capped AS (

@@ -144,10 +144,10 @@ def _links(distance: int):
         cuts = np.concatenate([[0], np.nonzero((np.diff(keys) != 0) | (np.diff(starts) != 0))[0] + 1, [len(keys)]])
         sizes = np.diff(cuts)
         for first, n in zip(cuts[:-1][sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-            start, other = KEYS[starts[first]]
-            free = ~np.uint64(_SEGMENTS[start] | _SEGMENTS[other])
-            bits = [1 << i for i in range(64) if int(free) >> i & 1]
-            out += _forest(values[first : first + n], start, distance, [sum(bits[i::4]) for i in range(4)])
+            start, _ = KEYS[starts[first] % len(KEYS)]
+            bits = _free_bits(starts[first] % len(KEYS))
+            # Keys from len(KEYS) on have a fourth of the free bits in common already.
+            out += _forest(values[first : first + n], start, distance, [sum(bits[i::4]) for i in range(4)] if starts[first] < len(KEYS) else [])
         group = np.repeat(np.arange(len(sizes)), sizes)
         small = sizes[group] <= _SMALL
         group, value, table = group[small], values[small], starts[small]
@@ -157,7 +157,7 @@ def _links(distance: int):
                 break
             a, b, t = value[near], value[near + step], table[near]
             for k, (start, _) in enumerate(KEYS):
-                at = np.nonzero(t == k)[0]
+                at = np.nonzero(t % len(KEYS) == k)[0]
                 ok = at[_chain(a[at] ^ b[at], start, distance)]
                 out.append((a[ok], b[ok]))
         return out
@@ -184,19 +184,29 @@ def _links(distance: int):
     return run
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """a, b: links among the distinct values of column fp that connect all within ``distance`` (3 at most) bits."""
+def _free_bits(t: int) -> list[int]:
+    """The bits that key ``t`` leaves open."""
+    taken = _SEGMENTS[KEYS[t][0]] | _SEGMENTS[KEYS[t][1]]
+    return [1 << i for i in range(64) if not taken >> i & 1]
+
+
+def fingerprint_links(distinct: DataFrame, distance: int = MAX_DISTANCE, crowded: int = _SPLIT_ROWS) -> DataFrame:
+    """a, b: links among the distinct values of column fp that connect all within ``distance`` (3 at most) bits; keys of more than ``crowded`` members are split before they meet."""
     if not 0 <= distance <= MAX_DISTANCE:
         raise ValueError(f"the ring's keys find up to {MAX_DISTANCE} differing bits")
     keys = F.array(*[
         F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(_SEGMENTS[a] | _SEGMENTS[b]))).alias("key")) for t, (a, b) in enumerate(KEYS)
     ])
-    met = (
-        distinct.select("fp", F.explode(keys).alias("k"))
-        .select("k.t", "k.key", "fp")
-        .repartition("t", "key")
-        .sortWithinPartitions("t", "key")
-    )
+    placed = distinct.select("fp", F.explode(keys).alias("k")).select("k.t", "k.key", "fp")
+    hot = materialise(placed.groupBy("t", "key").agg(F.count("*").alias("members")).filter(F.col("members") > crowded))
+    if hot.limit(1).count():
+        # Two that differ in 3 bits at most agree in one of four parts of the free bits: crowded keys are split by each.
+        parts = F.array(*[F.array(*[F.lit(_signed(sum(b[i::4]))) for i in range(4)]) for b in map(_free_bits, range(len(KEYS)))])
+        joined = join_group_facts(placed.withColumn("at", F.struct("t", "key")), hot.select(F.struct("t", "key").alias("at"), "members"), "at", "members", distinct.count() * len(KEYS))
+        split = joined.filter("members IS NOT NULL").select("t", "key", "fp", F.posexplode(parts[F.col("t")]).alias("i", "part"))
+        split = split.select((F.col("t") + len(KEYS) * (F.col("i") + 1)).alias("t"), F.col("fp").bitwiseAND(F.col("part")).bitwiseOR(F.col("key")).alias("key"), "fp")
+        placed = joined.filter("members IS NULL").select("t", "key", "fp").unionByName(split)
+    met = placed.repartition("t", "key").sortWithinPartitions("t", "key")
     return met.mapInArrow(_links(distance), "a long, b long")
 
 

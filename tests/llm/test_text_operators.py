@@ -204,6 +204,26 @@ def test_simhash_links_among_planted_fingerprints():
     assert len(links) <= 4 * len(simhash.KEYS) * len(v)
 
 
+def test_simhash_splits_crowded_keys(spark):
+    rng = np.random.default_rng(4)
+    ball = {777 ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 5), replace=False)) for _ in range(700)}
+    values = sorted({v - (1 << 64) if v >> 63 else v for v in ball})
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(3)
+    want, got = ({(r.node, r.root) for r in connected_components(simhash.fingerprint_links(df, crowded=n)).collect()} for n in (10**6, 20))
+    assert got == want and len(want) > 300
+
+
+def test_rows_without_an_id_mix_and_dedup(spark):
+    rows = [(None, f"w{i % 40} and more words here", "s", i % 3) for i in range(400)] + [(7, "same text", "s", 1)] * 300 + [(8, "x y z", "t", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang long").repartition(5)
+    mixed = mixing.mix_sources(docs)
+    assert mixed.count() == 701 and mixed.groupBy("source").agg(F.abs(F.sum("taken") - F.first("target")) < 1).filter("NOT `(abs((sum(taken) - first(target))) < 1)`").count() == 0
+    out = [rows_of(mixing.mixed_documents(docs.repartition(n))) for n in (2, 7)]
+    assert out[0] == out[1] and sum(out[0].values()) == mixed.agg(F.sum("copies")).first()[0]
+    kept = [rows_of(exact_dedup.drop_exact_copies(docs.repartition(n))) for n in (2, 7)]
+    assert kept[0] == kept[1] and sum(kept[0].values()) == 42
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(i, i + 1) for i in range(40)] + [(100, x) for x in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(5, 5), (7, 6)]
