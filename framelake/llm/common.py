@@ -41,6 +41,15 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows of a small intermediate table that a task takes, about, and tasks it has at least.
+TASK_ROWS, LEAST_TASKS = 20_000, 16
+
+
+def materialise_small(df: DataFrame, rows: int) -> DataFrame:
+    """materialise() in tasks of about TASK_ROWS of at most ``rows`` narrow rows, so that their number follows the rows and not the session's setting."""
+    return materialise(df.coalesce(max(LEAST_TASKS, -(-rows // TASK_ROWS))))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

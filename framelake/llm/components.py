@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialise
+from framelake.llm.common import materialise, materialise_small
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -23,15 +23,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     state = _state(edges)
+    edges = materialise_small(edges, state[0]) if state[0] else edges
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a")
-        edges = materialise(
+        # A round leaves no more edges than it found.
+        edges = materialise_small(
             small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(lower.select("a", F.col("m").alias("b"))).distinct()
+            .unionByName(lower.select("a", F.col("m").alias("b"))).distinct(), 2 * state[0],
         )
         before, state = state, _state(edges)
         if state == before:
