@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def clamp(c: Column, lo: float, hi: float) -> Column:
@@ -108,3 +110,14 @@ def natural_key(path: Column) -> Column:
 
 def last_digits_key(path: Column, digits: int = 4) -> Column:
     return F.right(stem(path), F.lit(digits)).cast("int")
+
+
+def nested_map(value: Column, kind: T.DataType, f: Callable[[Column], Column]) -> Column:
+    """``value`` of type ``kind`` with ``f`` applied to every leaf of its structs, arrays and maps' values; nulls of containers stay."""
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[nested_map(value[c.name], c.dataType, f).alias(c.name) for c in kind]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: nested_map(x, kind.elementType, f))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: nested_map(x, kind.valueType, f))
+    return f(value)

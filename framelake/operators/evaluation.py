@@ -203,6 +203,13 @@ def smooth_l1(a: Column, b: Column) -> Column:
     return F.when(d < 1, 0.5 * d * d).otherwise(d - 0.5)
 
 
+def depth_losses(px: DataFrame, keys: tuple[str, ...] = SCENE, known: float = 1e-4) -> DataFrame:
+    """keys, l1, l2, smooth: mean losses of pred over the pixels whose gt is over ``known``; 0 for a key without any. Give a stage as one of the keys."""
+    d = F.when(F.col("gt") > known, F.col("pred") - F.col("gt"))
+    means = {"l1": F.avg(F.abs(d)), "l2": F.avg(d * d), "smooth": F.avg(F.when(d.isNotNull(), smooth_l1(d, F.lit(0.0))))}
+    return px.groupBy(*keys).agg(*[F.coalesce(m, F.lit(0.0)).alias(n) for n, m in means.items()])
+
+
 def stereo_mae(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
     """Mean absolute error over pixels and channels of each image that both sides have."""
     on = [*keys, "y", "x"]

@@ -19,7 +19,7 @@ from framelake.plans import views as v
 from framelake.plans.registry import FOCAL, MAX_DISPARITY, MOVE, ORACLES, PIXEL, QUERIES, nudged, nudged_sql, query, r6, r6s
 from framelake.plans.views import DENSE, FR, GRID, H, MAN, PG, PX, W
 from framelake.sources import manifest as mf
-from framelake.sources.listing import with_names
+from framelake.sources.listing import view_table, with_names
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -102,9 +102,19 @@ def u03(spark, sf):
     return mf.without(rows, rows.filter("frame % 3 = 1"), ["scene", "frame"]).select("scene", "frame")
 
 
-@query("j10_view_table", "SELECT CAST(l_linenumber AS INTEGER) AS category, CAST(l_quantity AS INTEGER) AS object, CAST(count(*) AS BIGINT) AS views FROM lineitem GROUP BY 1, 2")
+@query("j10_view_table", "SELECT CAST(l_linenumber AS VARCHAR) AS category, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS object, CAST(count(*) AS INTEGER) AS views, CAST(min(l_suppkey % 100) AS INTEGER) AS first, CAST(sum(l_suppkey % 100) AS BIGINT) AS total FROM lineitem GROUP BY 1, 2")
 def j10(spark, sf):
-    return v.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").cast("int").alias("category"), F.col("l_quantity").cast("int").alias("object")).agg(F.count("*").alias("views"))
+    views = F.array_join(F.transform(F.sort_array(F.collect_list(F.col("l_suppkey") % 100)), lambda x: x.cast("string")), " ")
+    lines = v.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("c"), F.col("l_quantity").cast("int").alias("o")).agg(views.alias("views"))
+    each = view_table(lines.select(F.concat_ws(" ", F.col("c").cast("string"), F.col("o").cast("string"), "views").alias("value")))
+    return each.select("category", "object", F.size("views").alias("views"), F.col("views")[0].alias("first"), F.aggregate("views", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("total"))
+
+
+@query("p41_nested_map", "SELECT o_orderkey, 2.0::DOUBLE * o_totalprice AS price, 2.0::DOUBLE * (o_orderkey % 7) AS rest, 2.0::DOUBLE * o_custkey AS customer FROM orders")
+def p41(spark, sf):
+    rows = v.table(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").alias("p"), F.array(F.col("o_orderkey") % 7).alias("a"), F.create_map(F.lit("k"), F.struct(F.col("o_custkey").alias("c"))).alias("m")).alias("n"))
+    doubled = rows.select("o_orderkey", fn.nested_map(F.col("n"), rows.schema["n"].dataType, lambda c: c.cast("double") * 2).alias("n"))
+    return doubled.select("o_orderkey", F.col("n.p").alias("price"), F.col("n.a")[0].alias("rest"), F.col("n.m")["k"]["c"].alias("customer"))
 
 
 # Pixels
@@ -513,8 +523,7 @@ def a32(spark, sf):
 
 @query("a37_depth_losses", f"WITH {PG} SELECT dataset, scene, round(avg(abs(pred - gt)), 6) AS l1, round(avg((pred - gt) * (pred - gt)), 6) AS l2, round(avg(CASE WHEN abs(pred - gt) < 1 THEN 0.5 * abs(pred - gt) * abs(pred - gt) ELSE abs(pred - gt) - 0.5 END), 6) AS smooth FROM al GROUP BY 1, 2")
 def a37(spark, sf):
-    p, g = F.col("pred"), F.col("gt")
-    return aligned(spark, sf).groupBy("dataset", "scene").agg(r6(F.avg(F.abs(p - g)), "l1"), r6(F.avg((p - g) * (p - g)), "l2"), r6(F.avg(ev.smooth_l1(p, g)), "smooth"))
+    return ev.depth_losses(aligned(spark, sf)).select("dataset", "scene", *r6s("l1", "l2", "smooth"))
 
 
 # Features
@@ -698,7 +707,7 @@ def w15(spark, sf):
 
 @query("w16_topn", f"WITH {FR} SELECT video, idx, value FROM fr WHERE idx < 5")
 def w16(spark, sf):
-    return v.frame_stream(spark, sf).filter("idx < 5").select("video", "idx", "value")
+    return ft.trimmed_top(v.frame_stream(spark, sf), "video", [F.col("idx")], 5).select("video", "idx", "value")
 
 
 @query("f09_whole_chunks", f"WITH {FR}, {_LEN} SELECT video, idx, CAST(idx // 4 AS INTEGER) AS chunk FROM fr JOIN ln USING (video) WHERE (idx // 4 + 1) * 4 <= n")

@@ -38,6 +38,17 @@ def split_list(spark: SparkSession, paths: list[str]) -> DataFrame:
     return spark.read.text(paths).select(stem(F.input_file_name()).alias("source"), F.trim("value").alias("line")).filter("line <> ''")
 
 
+def category_objects(spark: SparkSession, root: str, stage: str, prefix: str = "softras_") -> DataFrame:
+    """category, object, path: every object that the list ``<root>/<category>/<prefix><stage>.lst`` of a category names; categories without one have none."""
+    found = _files(spark, root, f"{prefix}{stage}.lst", True)
+    if found is None:
+        return spark.createDataFrame([], "category string, object string, path string")
+    lists = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{prefix}{stage}.lst").text(root)
+    folder = F.regexp_replace(F.input_file_name(), r"/[^/]*$", "")
+    lines = lists.select(basename(folder).alias("category"), F.trim("value").alias("object"), folder.alias("_f")).filter("object <> ''")
+    return lines.select("category", "object", F.concat_ws("/", "_f", "object").alias("path"))
+
+
 def view_table(lines: DataFrame, column: str = "value") -> DataFrame:
     """category, object, views from lines ``category object v1 v2 ...``."""
     parts = F.split(F.trim(F.col(column)), r"\s+")

@@ -106,3 +106,18 @@ class _FolderReader(DataSourceReader):
         with open(partition.value, "rb") as f:
             h, w, channels, values = decode(f.read(), partition.value)
         yield (partition.value, h, w, channels, values.tolist())
+
+
+def camera_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
+    """path, name, shape, values: every numeric array of the .npz files below ``path``, by row. Files are read in their tasks, never on the driver."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with np.load(io.BytesIO(content)) as arrays:
+                    rows += [(name, k, list(arrays[k].shape), arrays[k].astype(float).ravel()) for k in arrays.files if arrays[k].dtype.kind in "biuf"]
+            yield pd.DataFrame(rows, columns=["path", "name", "shape", "values"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return files.mapInPandas(read, "path string, name string, shape array<int>, values array<double>")
