@@ -19,12 +19,10 @@ from dataclasses import dataclass
 import numpy as np
 import xxhash
 
-#: Rounds of naming, and words in a symbol at most.
-ROUNDS, LONGEST = 2, 8
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Odd multipliers of the mixing function, and the base of the sequence hash with its inverse modulo 2^64.
+#: Odd multipliers of the mixing function, and the bases of the two sequence hashes.
 _M1, _M2, _PAIR = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
+_BASES = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _HEAD = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
@@ -41,22 +39,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the base and of its inverse, made as far as they are asked for."""
+    """Powers of a base and of its inverse modulo 2^64, made as far as they are asked for."""
 
-    def __init__(self) -> None:
+    def __init__(self, base: int) -> None:
+        self.base = base
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = max(n, 2 * len(self.up))
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            for name, base in (("up", self.base), ("down", pow(self.base, -1, 1 << 64))):
                 x = np.full(size, base, dtype=np.uint64)
                 x[0] = 1
                 setattr(self, name, np.multiply.accumulate(x))
         return self.up[:n], self.down[:n]
 
 
-_powers = _Powers()
+_powers = [_Powers(base) for base in _BASES]
 
 
 @dataclass
@@ -99,15 +98,16 @@ def read_words(data: bytes, bounds: np.ndarray, separators: np.ndarray = _SPACE)
     return Words(name, np.searchsorted(start, bounds), start, length)
 
 
-def sequence_hashes(words: Words) -> np.ndarray:
-    """Prefix sums from which sequence_hash takes the hash of any word sequence."""
-    out = np.zeros(len(words.name) + 1, dtype=np.uint64)
-    np.cumsum(words.name * _powers(len(words.name))[0], out=out[1:])
+def sequence_hashes(words: Words, which: int = 0) -> np.ndarray:
+    """Prefix sums from which sequence_hash takes the first (0) or second (1) hash of any word sequence."""
+    names = mix(words.name + _PAIR) if which else words.name
+    out = np.zeros(len(names) + 1, dtype=np.uint64)
+    np.cumsum(names * _powers[which](len(names))[0], out=out[1:])
     return out
 
 
-def sequence_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix((prefix[end] - prefix[start]) * _powers(len(prefix))[1][start])
+def sequence_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    return mix((prefix[end] - prefix[start]) * _powers[which](len(prefix))[1][start])
 
 
 @dataclass
@@ -143,12 +143,12 @@ def name_runs(s: Symbols) -> Symbols:
     return Symbols(s.start[first], s.end[last], np.minimum(lo, s.lo[first]), np.maximum(hi, s.hi[last]), name, s.doc[first])
 
 
-def name_pairs(s: Symbols, salt: int) -> Symbols:
-    """One symbol for each neighbouring pair of classes 0 and 1, at most LONGEST words together."""
+def name_pairs(s: Symbols, salt: int, longest: int) -> Symbols:
+    """One symbol for each neighbouring pair of classes 0 and 1, at most ``longest`` words together."""
     n = len(s.name)
     right = (mix(s.name ^ np.uint64(salt)) & np.uint64(1)).astype(bool)
     pair = np.zeros(n, dtype=bool)
-    pair[:-1] = ~right[:-1] & right[1:] & (s.doc[1:] == s.doc[:-1]) & (s.end[1:] - s.start[:-1] <= LONGEST)
+    pair[:-1] = ~right[:-1] & right[1:] & (s.doc[1:] == s.doc[:-1]) & (s.end[1:] - s.start[:-1] <= longest)
     second = np.zeros(n, dtype=bool)
     second[1:] = pair[:-1]
     at = np.nonzero(~second)[0]
@@ -161,18 +161,22 @@ def name_pairs(s: Symbols, salt: int) -> Symbols:
     return Symbols(s.start[at], s.end[to], lo, hi, name, s.doc[at])
 
 
-def levels(words: Words, rounds: int = ROUNDS) -> list[Symbols]:
-    """Symbols after each round of naming, the highest level first."""
+def levels(words: Words, width: int) -> list[Symbols]:
+    """Symbols after each round of naming, the highest level first.
+
+    As many rounds, and symbols as long, as have room inside a window with their
+    reach: with each doubling of the width one round more, two thirds of its words.
+    """
     at = np.arange(len(words.name))
     s = Symbols(at, at + 1, at, at + 1, words.name, words.doc)
     out = []
-    for r in range(rounds if len(at) else 0):
-        s = name_pairs(name_runs(s), r + 1)
+    for r in range(max(1, width.bit_length() - 2) if len(at) else 0):
+        s = name_pairs(name_runs(s), r + 1, 2 * width // 3)
         out.append(s)
     return out[::-1]
 
 
-def window_keys(words: Words, prefix: np.ndarray, width: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+def window_keys(words: Words, prefix: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, key) of each window of ``width`` words inside a document.
 
     The key is the least hash among the reaches of the interior symbols of the
@@ -184,7 +188,7 @@ def window_keys(words: Words, prefix: np.ndarray, width: int, rounds: int = ROUN
     best = np.full(n + 1, _NONE)
     open_ = np.append(is_window, False)
     edges = words.edge
-    for depth, s in enumerate(levels(words, rounds)):
+    for depth, s in enumerate(levels(words, width)):
         so_far = np.concatenate([[0], np.cumsum(open_)])
         low = np.maximum(s.hi - width, edges[s.doc])
         use = (s.hi - s.lo <= width) & (s.lo >= edges[s.doc]) & (s.hi <= edges[s.doc + 1])

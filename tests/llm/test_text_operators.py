@@ -128,6 +128,30 @@ def test_pack_keeps_every_word_and_budget(spark):
     assert (batches.rows == batches.slots).all() and (batches.rows * batches.top <= 256).all()
 
 
+@pytest.mark.parametrize("width", [13, 50])
+def test_substrings_with_colliding_names(spark, width):
+    """With keys of one byte and three bits of the first hash nearly all windows meet; the second hash tells them apart."""
+    pdf = awkward()
+    first = {}
+    for r in pdf[pdf.doc_id.notna()].itertuples():
+        own = (r.text if isinstance(r.text, str) else "").encode().split()
+        for i in range(len(own) - width + 1):
+            window = tuple(own[i : i + width])
+            first[window] = min(first.get(window, r.doc_id), r.doc_id)
+    want = Counter()
+    for r in pdf.itertuples():
+        own = (r.text if isinstance(r.text, str) else "").encode().split()
+        gone = set()
+        for i in range(len(own) - width + 1):
+            if not pd.isna(r.doc_id) and first[tuple(own[i : i + width])] < r.doc_id:
+                gone.update(range(i, i + width))
+        kept = b" ".join(w for i, w in enumerate(own) if i not in gone).decode()
+        want[(None if pd.isna(r.doc_id) else int(r.doc_id), len(own), len(gone), kept)] += 1
+    assert sum(n for _, _, n, _ in want) > 100
+    assert rows_of(substring_dedup.drop_repeats(frames(spark, pdf), width=width, key_bytes=1, first_bits=3)) == want
+    assert rows_of(substring_dedup.drop_repeats(frames(spark, pdf), width=width)) == want
+
+
 def brute_fingerprint(text):
     words = (text or "").encode().lower().split()
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
