@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import held_out
 from framelake.llm.recompression import mix, read_words
-from framelake.llm.sampling import bounded_texts
+from framelake.llm.sampling import labelled_texts
 
 #: Training sample and model at most: documents, characters, words, n-grams of each length; letters in an n-gram.
 FIT_ROWS, FIT_CHARS, WORDS, NGRAMS, NGRAM = 4_000, 12_000_000, 200_000, 100_000, 5
@@ -174,11 +174,14 @@ _A_TO_Z = np.arange(ord("a"), ord("z") + 1, dtype=np.uint8)
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> LanguageModel:
-    """A model of documents with a language that are not held out: about ``rows`` documents and ``chars`` of text at most."""
+    """A model of documents with a language that are not held out: about ``rows`` documents and ``chars`` of text at most.
+
+    Every language is in the sample, half of which is shared evenly among them.
+    """
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("label")).filter(
         F.col("label").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     )
-    sample = bounded_texts(known, known.count(), rows, chars)
+    sample = labelled_texts(known, rows, chars)
     return LanguageModel(sample["text"].tolist(), sample["label"].tolist())
 
 

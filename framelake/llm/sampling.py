@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,3 +27,24 @@ def bounded_texts(rows: DataFrame, total: int, most_rows: int, most_chars: int)
     part *= min(1.0, most_chars / max(1, chars))
     kept = chosen.filter(F.col("_f") < part).drop("_f").toPandas()
     return kept.sort_values(["doc_id", "text"], ignore_index=True)
+
+
+def labelled_texts(rows: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
+    """A sample of (doc_id, text, label) that has every label, on the driver.
+
+    Half of ``most_rows`` and ``most_chars`` is shared evenly by the labels, half
+    by their size, so a rare label stays however large the table is, and a long
+    text costs only its own label others. Of each label the text that comes first
+    stays in any case. Rows are chosen by a hash of doc_id and text, so reruns
+    agree; texts are whole, and equal rows count once.
+    """
+    draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))
+    rows = rows.withColumn("_f", fraction_of(draw))
+    labels = rows.groupBy("label").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.min("_f").alias("least")).toPandas()
+    share = lambda x: x / max(1, x.sum()) / 2 + 0.5 / max(1, len(x))
+    part = np.minimum(most_rows * share(labels.n) / labels.n, most_chars * share(labels.chars) / np.maximum(1, labels.chars))
+    limits = [(r.label, float(p), float(r.least)) for r, p in zip(labels.itertuples(), part, strict=True)]
+    parts = rows.sparkSession.createDataFrame(limits, rows.select("label", F.lit(0.0).alias("part"), F.lit(0.0).alias("least")).schema)
+    chosen = rows.join(F.broadcast(parts), "label").filter((F.col("_f") < F.col("part")) | (F.col("_f") == F.col("least")))
+    kept = chosen.select("doc_id", "text", "label").distinct().toPandas()
+    return kept.sort_values(["doc_id", "text", "label"], ignore_index=True)

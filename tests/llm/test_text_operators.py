@@ -13,6 +13,7 @@ from framelake.llm import exact_dedup, language_id, mixing, packing, quality, si
 from framelake.llm.common import held_out, table
 from framelake.llm.components import connected_components
 from framelake.llm.queries import ORACLES, QUERIES
+from framelake.llm.sampling import labelled_texts
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -332,3 +333,23 @@ def test_held_out_matches_crc32(spark):
 
     got = spark.range(200).select("id", held_out(F.col("id")).alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in got)
+
+
+def test_samples_have_every_label_and_stay_bounded(spark):
+    rows = [(i, f"text {i} " + "x " * (i % 7), "common") for i in range(3000)] + [(5000 + i, f"rare {i}", "rare") for i in range(3)]
+    rows += [(6000, "long " * 20_000, "long"), (7000, "again", "again"), (7000, "again", "again"), (None, "no id", "common")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(4)
+    got = labelled_texts(docs, 200, 20_000)
+    assert set(got.label) == {"common", "rare", "long", "again"} and 80 < len(got) < 300
+    assert Counter(got.label)["rare"] == 3 and Counter(got.label)["again"] == 1
+    assert got.equals(labelled_texts(docs.repartition(2), 200, 20_000))
+    assert labelled_texts(docs.limit(0), 200, 20_000).empty
+
+
+def test_rare_language_is_learned(spark):
+    rng = random.Random(4)
+    of = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, of("abcde"), "aa") for i in range(4000)] + [(9000 + i, of("vwxyz"), "zz") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, language_id.fit(docs, rows=100)).toPandas().set_index("doc_id").lang_pred
+    assert (got[got.index >= 9000] == "zz").all() and (got[got.index < 9000] == "aa").all()
