@@ -75,6 +75,22 @@ def rotary(even: Column, odd: Column, angle: Column) -> tuple[Column, Column]:
     return even * F.cos(angle) - odd * F.sin(angle), even * F.sin(angle) + odd * F.cos(angle)
 
 
+def angle_rates(length: int, base: float = 10000.0) -> list[float]:
+    """Angle per step of position for each pair of components of a vector that is ``length`` long: base^(-2i / length)."""
+    return [base ** (-2.0 * i / length) for i in range(length // 2)]
+
+
+def rotary_vector(vector: Column, position: Column, length: int, base: float = 10000.0) -> Column:
+    """Each neighbouring pair of components turned by the angle of its position."""
+    pairs = [rotary(F.get(vector, F.lit(2 * i)), F.get(vector, F.lit(2 * i + 1)), position * rate) for i, rate in enumerate(angle_rates(length, base))]
+    return F.array(*[c for pair in pairs for c in pair])
+
+
+def sinusoidal(position: Column, length: int, base: float = 10000.0) -> Column:
+    """Encoding of a position: sine and cosine by turns, a pair for each rate."""
+    return F.array(*[f(position * rate) for rate in angle_rates(length, base) for f in (F.sin, F.cos)])
+
+
 def total(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 

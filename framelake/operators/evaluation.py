@@ -242,16 +242,38 @@ def blur(grid: DataFrame, columns: dict[str, Column], size: int = 11, sigma: flo
     return grid
 
 
-def ssim(grid: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
-    """Mean structural similarity of two columns of a dense grid by frame, dynamic range 1."""
+def ssim(grid: DataFrame, a: str, b: str, keys: tuple[str, ...] = ("video", "frame"), mask: str | None = None) -> DataFrame:
+    """Mean structural similarity of two columns of a dense grid by frame, dynamic range 1; weighted by ``mask``, whose sum counts as 1 at least."""
     x, y = F.col(a), F.col(b)
     g = blur(grid, {"_x": x, "_y": y, "_xx": x * x, "_yy": y * y, "_xy": x * y}, keys=keys)
     mx, my = F.col("_x"), F.col("_y")
     vx, vy, vxy = F.col("_xx") - mx * mx, F.col("_yy") - my * my, F.col("_xy") - mx * my
     value = (2 * mx * my + 1e-4) * (2 * vxy + 9e-4) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4))
+    if mask is not None:
+        return g.groupBy(*keys).agg((F.sum(value * F.col(mask)) / F.greatest(F.sum(mask), F.lit(1.0))).alias("ssim"))
     return g.groupBy(*keys).agg(F.avg(value).alias("ssim"))
 
 
+def box_ssim(grid: DataFrame, pairs: list[tuple[str, str]], h: int, w: int, size: int = 7, keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
+    """Mean structural similarity by frame over pairs of columns of a dense grid, range 1: plain means of size x size
+    windows, unbiased covariances, and only pixels whose window lies inside."""
+    half, unbiased = size // 2, size * size / (size * size - 1)
+    for i, (a, b) in enumerate(pairs):
+        x, y = F.col(a), F.col(b)
+        grid = grid.withColumns({f"_x{i}": x, f"_y{i}": y, f"_xx{i}": x * x, f"_yy{i}": y * y, f"_xy{i}": x * y})
+    names = [f"_{n}{i}" for i in range(len(pairs)) for n in ("x", "y", "xx", "yy", "xy")]
+    for along, across in (("x", "y"), ("y", "x")):
+        box = Window.partitionBy(*keys, across).orderBy(along).rowsBetween(-half, half)
+        grid = grid.withColumns({n: F.sum(n).over(box) / size for n in names})
+    similar = []
+    for i in range(len(pairs)):
+        mx, my, xx, yy, xy = (F.col(f"_{n}{i}") for n in ("x", "y", "xx", "yy", "xy"))
+        vx, vy, vxy = (xx - mx * mx) * unbiased, (yy - my * my) * unbiased, (xy - mx * my) * unbiased
+        similar.append((2 * mx * my + 1e-4) * (2 * vxy + 9e-4) / ((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4)))
+    inside = F.col("y").between(half, h - 1 - half) & F.col("x").between(half, w - 1 - half)
+    return grid.filter(inside).groupBy(*keys).agg((F.avg(sum(similar, F.lit(0.0))) / len(pairs)).alias("ssim"))
+
+
 def weighted_losses(spec: list[str]) -> list[tuple[float, str]]:
     """("1.0_l1", ...) as (weight, name); the first loss has weight 1 whatever it says."""
     parts = [s.split("_", 1) for s in spec]

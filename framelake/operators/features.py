@@ -20,6 +20,19 @@ def cosine_to_centre(rows: DataFrame, key: str, vector: str, item: str) -> DataF
     return rows.join(centre, key).select(key, item, cosine(F.col(vector), F.col("centre")).alias("cosine"))
 
 
+def layer_distance(rows: DataFrame, keys: list[str], layer: str, a: str, b: str, eps: float = 1e-10) -> DataFrame:
+    """keys, distance: the sum over layers of 1 less the mean cosine over a layer's places; a row is a place with its two vectors."""
+    # Lengths are taken with eps added to each, so that a zero vector has cosine 0.
+    alike = dot(F.col(a), F.col(b)) / ((norm(F.col(a)) + eps) * (norm(F.col(b)) + eps))
+    layers = rows.groupBy(*keys, layer).agg((1 - F.avg(alike)).alias("_d"))
+    return layers.groupBy(*keys).agg(F.sum("_d").alias("distance"))
+
+
+def view_weighted(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """keys and the mean of value over a key's views by their weights; null where these sum to 0."""
+    return rows.groupBy(*keys).agg(F.try_divide(F.sum(F.col(value) * F.col(weight)), F.sum(weight)).alias(value))
+
+
 def gram(rows: DataFrame, key: str, vector: str, channels: int) -> DataFrame:
     """key, i, j, g for i <= j: mean product of two channels over the key's rows.
 
@@ -74,6 +87,24 @@ def moments(rows: DataFrame, vector: str) -> DataFrame:
     return parts.groupBy("i").agg(F.avg("v").alias("mean"), F.var_pop("v").alias("var_biased"), F.var_samp("v").alias("var_unbiased"))
 
 
+def running_moments(rows: DataFrame, batch: str, vector: str, momentum: float = 0.1, mean: float = 0.0, variance: float = 1.0) -> DataFrame:
+    """i, mean, variance after all batches in order: from the given start, each batch moves them by ``momentum`` to its mean and its unbiased variance.
+
+    The recursion is a sum with weights that fall by 1 - momentum with each later
+    batch, so batches aggregate side by side. A batch of one row moves the mean only.
+    """
+    parts = rows.select(batch, F.posexplode(vector).alias("i", "v")).withColumn("v", F.col("v").cast("double"))
+    each = parts.groupBy(batch, "i").agg(F.avg("v").alias("m"), F.var_samp("v").alias("s"))
+    later = Window.partitionBy("i").orderBy(F.col(batch).desc())
+    aged = each.withColumn("_m", F.row_number().over(later) - 1).withColumn("_s", F.count("s").over(later) - 1)
+    keep = 1 - momentum
+    weight = lambda age: momentum * F.pow(F.lit(keep), F.col(age))
+    return aged.groupBy("i").agg(
+        (F.sum(F.col("m") * weight("_m")) + mean * F.pow(F.lit(keep), F.count("m"))).alias("mean"),
+        (F.coalesce(F.sum(F.col("s") * weight("_s")), F.lit(0.0)) + variance * F.pow(F.lit(keep), F.count("s"))).alias("variance"),
+    )
+
+
 def trimmed_top(rows: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows of each key."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("rank") <= n)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framelake.functions import clamp
 from framelake.operators.frames import FRAME, dense_grid, last_writer, minmax_normalise, sequential_inpaint, with_holes
+from framelake.operators.resize import bilinear_columns
 
 # The eleven anchor colours of the diverging Spectral scheme, red to blue.
 SPECTRAL = (
@@ -82,6 +83,12 @@ def trimmed_right(px: DataFrame, by: int, h: int, w: int, mode: str, channels: t
     return px.withColumns({c: F.when(corner, 0.0).otherwise(F.col(c)) for c in channels})
 
 
+def trimmed_pair(left: DataFrame, right: DataFrame, by: int, h: int, w: int, channels: tuple[str, ...] = ("r", "g", "b")) -> DataFrame:
+    """video, frame, eye, y, x, channels: the dense grids of both eyes without their last ``by`` rows and columns, back at (h, w)."""
+    eyes = left.select(*FRAME, "y", "x", *channels, F.lit("left").alias("eye")).unionByName(right.select(*FRAME, "y", "x", *channels, F.lit("right").alias("eye")))
+    return bilinear_columns(trimmed_right(eyes, by, h, w, "crop"), h - by, w - by, h, w, channels, (*FRAME, "eye"))
+
+
 def centre_cropped(grid: DataFrame, h: int, w: int, multiple: int = 8) -> tuple[DataFrame, int, int]:
     """The middle of a grid with edges that are multiples, moved to the origin, and where it began (y, x)."""
     new_h, new_w = h // multiple * multiple, w // multiple * multiple

@@ -30,6 +30,14 @@ def bilinear(grid: DataFrame, h: int, w: int, new_h: int, new_w: int, align_corn
     return met.groupBy(*FRAME, "y_t", "x_t").agg(F.sum(F.col(value) * F.col("wy") * F.col("wx")).alias(value)).select(*FRAME, F.col("y_t").alias("y"), F.col("x_t").alias("x"), value)
 
 
+def bilinear_columns(grid: DataFrame, h: int, w: int, new_h: int, new_w: int, values: tuple[str, ...], keys: tuple[str, ...] = tuple(FRAME)) -> DataFrame:
+    """keys, y, x and each of ``values``, resized as bilinear does in one pass."""
+    spark = grid.sparkSession
+    met = grid.join(F.broadcast(axis_weights(spark, "y", h, new_h)), "y").join(F.broadcast(axis_weights(spark, "x", w, new_w)), "x")
+    sums = [F.sum(F.col(v) * F.col("wy") * F.col("wx")).alias(v) for v in values]
+    return met.groupBy(*keys, F.col("y_t").alias("y"), F.col("x_t").alias("x")).agg(*sums)
+
+
 def nearest(grid: DataFrame, h: int, w: int, new_h: int, new_w: int, value: str = "depth") -> DataFrame:
     """Each target takes the source at floor(target * source size / target size)."""
     spark = grid.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -143,6 +143,27 @@ def tap_pool(rows: DataFrame, taps: tuple[int, ...] = (-5, -1, 0, 1, 5), key: st
     return rows
 
 
+def recurrent_pool(rows: DataFrame, step: Callable[[np.ndarray], float], taps: tuple[int, ...] = (-5, -1, 0, 1, 5), key: str = "video", value: str = "value") -> DataFrame:
+    """key, idx, out: ``step`` of the taps of each frame and, in third place, of what it gave for the frame before.
+
+    In a key's first frame that is the frame itself. A key's frames pass one task
+    in order, a batch at a time, with one output held between them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, before = None, None
+        for batch in batches:
+            pool, out = batch[[f"tap_{i}" for i in range(len(taps))]].to_numpy(dtype=float), []
+            for k, now, own in zip(batch[key], pool, batch[value], strict=True):
+                before = step(np.insert(now, 2, before if before is not None and k == last else own))
+                last = k
+                out.append(before)
+            yield pd.DataFrame({key: batch[key], "idx": batch["idx"], "out": out})
+
+    ready = _in_order(tap_pool(rows, taps, key, value), key, value, *[f"tap_{i}" for i in range(len(taps))])
+    return ready.mapInPandas(run, f"{key} {ready.schema[key].dataType.simpleString()}, idx long, out double")
+
+
 def slice_frames(rows: DataFrame, start: int, stop: int, step: int) -> DataFrame:
     return rows.filter((F.col("idx") >= start) & (F.col("idx") < stop) & ((F.col("idx") - start) % step == 0))
 
@@ -223,6 +244,20 @@ def stage_report(rows: DataFrame, stage: str = "stage", seconds: str = "seconds"
     return sums.crossJoin(F.broadcast(total)).select(stage, "seconds", F.try_divide(F.col("seconds"), F.col("total")).alias("share"))
 
 
+def nested_stage_report(rows: DataFrame, frames: int, stage: str = "stage", parent: str = "parent", seconds: str = "seconds") -> DataFrame:
+    """stage, parent, seconds, share of the parent's seconds (of all stages without a parent where it has none), fps: ``frames`` per second of a stage.
+
+    Shares are 0 where the whole is; a stage shorter than a microsecond counts as one long.
+    """
+    sums = rows.groupBy(stage, parent).agg(F.sum(seconds).alias("seconds"))
+    tops = sums.filter(F.col(parent).isNull()).agg(F.sum("seconds").alias("_whole")).select(F.lit(None).cast("string").alias("_of"), "_whole")
+    # A row per stage, as many as a program has names for.
+    wholes = rows.groupBy(F.col(stage).alias("_of")).agg(F.sum(seconds).alias("_whole")).unionByName(tops)
+    met = sums.join(wholes, F.col(parent).eqNullSafe(F.col("_of")), "left")
+    share = F.when(F.col("_whole") > 0, F.col("seconds") / F.col("_whole")).otherwise(0.0)
+    return met.select(stage, parent, "seconds", share.alias("share"), (frames / F.greatest("seconds", F.lit(1e-6))).alias("fps"))
+
+
 def best_so_far(rows: DataFrame, value: str, best: str, key: str = "video") -> DataFrame:
     """Add best: the running ``max`` or ``min``."""
     order = Window.partitionBy(key).orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)

@@ -506,14 +506,16 @@ def a30(spark, sf):
     return ev.psnr(v.pixels(spark, sf).join(right, PIXEL), ("g", "b")).select("video", "frame", r6("psnr", "psnr"))
 
 
-def _ssim_sql() -> str:
+def _ssim_sql(masked: bool = False) -> str:
     weights = ev.gaussian()
     names = ("gx", "gy", "gxx", "gyy", "gxy")
     blur = lambda: ", ".join("(" + " + ".join(f"coalesce(lag({n}, {5 - i}) OVER w, 0) * {w!r}" for i, w in enumerate(weights)) + f") AS {n}" for n in names)
-    return f"""WITH {PX}, {DENSE}, s AS (SELECT video, frame, y, x, g AS gx, b AS gy, g * g AS gxx, b * b AS gyy, g * b AS gxy FROM dense),
-a AS (SELECT video, frame, y, x, {blur()} FROM s WINDOW w AS (PARTITION BY video, frame, y ORDER BY x)),
-c AS (SELECT video, frame, y, x, {blur()} FROM a WINDOW w AS (PARTITION BY video, frame, x ORDER BY y))
-SELECT video, frame, round(avg((2 * gx * gy + 1e-4) * (2 * (gxy - gx * gy) + 9e-4) / ((gx * gx + gy * gy + 1e-4) * (gxx - gx * gx + gyy - gy * gy + 9e-4))), 6) AS ssim FROM c GROUP BY 1, 2"""
+    value = "(2 * gx * gy + 1e-4) * (2 * (gxy - gx * gy) + 9e-4) / ((gx * gx + gy * gy + 1e-4) * (gxx - gx * gx + gyy - gy * gy + 9e-4))"
+    mean = f"sum(mask * {value}) / greatest(sum(mask), 1)" if masked else f"avg({value})"
+    return f"""WITH {PX}, {DENSE}, s AS (SELECT video, frame, y, x, g AS gx, b AS gy, g * g AS gxx, b * b AS gyy, g * b AS gxy, CASE WHEN hole THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS mask FROM dense),
+a AS (SELECT video, frame, y, x, mask, {blur()} FROM s WINDOW w AS (PARTITION BY video, frame, y ORDER BY x)),
+c AS (SELECT video, frame, y, x, mask, {blur()} FROM a WINDOW w AS (PARTITION BY video, frame, x ORDER BY y))
+SELECT video, frame, round({mean}, 6) AS ssim FROM c GROUP BY 1, 2"""
 
 
 @query("a32_ssim", _ssim_sql())
@@ -553,9 +555,12 @@ def a33(spark, sf):
     return ft.cosine_to_centre(vectors(spark, sf), "label", "v", "vec_id").select("label", "vec_id", r6("cosine", "cosine"))
 
 
-@query("a34_gram", f"WITH {_VEC}, p AS (SELECT vec_id, label, unnest(v[1:8]) AS c, unnest(range(8)) AS i FROM e) SELECT a.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, round(avg(a.c * b.c), 6) AS g FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3")
+@query("a34_gram", f"WITH {_VEC}, t AS (SELECT vec_id, label, v, unnest(range(8)) AS place FROM e), p AS (SELECT vec_id, label, place, unnest(range(8)) AS i, v FROM t), c AS (SELECT vec_id, label, place, i, v[8 * i + place + 1] AS c FROM p) SELECT a.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CASE WHEN abs(avg(a.c * b.c)) < 5e-7 THEN 0.0::DOUBLE ELSE round(avg(a.c * b.c), 6) END AS g FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.place = b.place AND a.i <= b.i GROUP BY 1, 2, 3")
 def a34(spark, sf):
-    return ft.gram(vectors(spark, sf), "label", "v", 8).select("label", "i", "j", r6("g", "g"))
+    # A vector as a map of 8 channels over 8 places.
+    channels = lambda place: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get("v", i * 8 + place))
+    maps = vectors(spark, sf).withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn("v", channels(F.col("place")))
+    return ft.gram(maps, "label", "v", 8).select("label", "i", "j", F.when(F.abs("g") < 5e-7, 0.0).otherwise(F.round("g", 6)).alias("g"))
 
 
 @query("a34_gram_channels", f"WITH {_VEC}, p AS (SELECT vec_id, label, unnest(v) AS c, unnest(range(64)) AS i FROM e) SELECT a.label, CAST(a.i AS INTEGER) AS i, CAST(b.i AS INTEGER) AS j, CASE WHEN abs(avg(a.c * b.c)) < 5e-7 THEN 0.0::DOUBLE ELSE round(avg(a.c * b.c), 6) END AS g FROM p a JOIN p b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2, 3")
@@ -581,13 +586,13 @@ def a40(spark, sf):
     return vectors(spark, sf).select("vec_id", F.posexplode(c).alias("g", "c")).select("vec_id", "g", r6("c", "c"))
 
 
-@query("a43_attention", f"""WITH {_VEC}, k AS (SELECT label, vec_id, v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM e),
-s AS (SELECT q.label, q.vec_id, list_inner_product(q.v, k.v) / sqrt(64.0) AS s, k.v[1] AS val FROM e q JOIN k ON k.label = q.label AND k.n <= 8), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label, vec_id)) AS e FROM s)
-SELECT label, vec_id, round(sum(e * val) / sum(e), 6) AS out FROM x GROUP BY 1, 2""")
+@query("a43_attention", f"""WITH {_VEC}, k AS (SELECT vec_id // 8 AS scene, vec_id, v FROM e),
+s AS (SELECT q.scene, q.vec_id, list_inner_product(q.v, k.v) / sqrt(64.0) AS s, k.v[1] AS val FROM k q JOIN k ON k.scene = q.scene), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY scene, vec_id)) AS e FROM s)
+SELECT scene, vec_id, CASE WHEN abs(sum(e * val) / sum(e)) < 5e-7 THEN 0.0::DOUBLE ELSE round(sum(e * val) / sum(e), 6) END AS out FROM x GROUP BY 1, 2""")
 def a43(spark, sf):
-    rows = vectors(spark, sf)
-    keys = ft.trimmed_top(rows, "label", [F.col("vec_id")], 8).withColumn("value", F.get("v", F.lit(0)))
-    return ft.attention(rows, keys, "label", "vec_id", "v", "value", 64).select("label", "vec_id", r6("out", "out"))
+    # Eight vectors after one another are the views of a scene; all of them are queries and keys.
+    rows = vectors(spark, sf).withColumn("scene", F.floor(F.col("vec_id") / 8)).withColumn("value", F.get("v", F.lit(0)))
+    return ft.attention(rows, rows, "scene", "vec_id", "v", "value", 64).select("scene", "vec_id", F.when(F.abs("out") < 5e-7, 0.0).otherwise(F.round("out", 6)).alias("out"))
 
 
 @query("a43_attention_positions", f"""WITH {_VEC}, t AS (SELECT vec_id, unnest(range(8)) AS pos, v FROM e), h AS (SELECT vec_id, pos, v[8 * pos + 1 : 8 * pos + 8] AS v FROM t),

@@ -16,10 +16,14 @@ def flatten_manifest(json: DataFrame, column: str = "json") -> DataFrame:
 
 
 def build_manifest(rows: DataFrame) -> DataFrame:
-    """dataset, json from rows (dataset, scene, frame, image, gt_depth, factor), entries in order of frame. A dataset's manifest is one document."""
-    entry = F.struct("frame", "image", "gt_depth", "factor")
+    """dataset, json from rows (dataset, scene, frame, image, gt_depth, factor), entries in order of frame. A dataset's manifest is one document.
+
+    Where rows have K and pose, arrays of rows, entries have them too.
+    """
+    fields = ["image", "gt_depth", "factor", *[c for c in ("K", "pose") if c in rows.columns]]
+    entry = F.struct("frame", *fields)
     scenes = rows.groupBy("dataset", "scene").agg(F.array_sort(F.collect_list(entry)).alias("e"))
-    entries = F.transform("e", lambda e: F.struct(e["image"].alias("image"), e["gt_depth"].alias("gt_depth"), e["factor"].alias("factor")))
+    entries = F.transform("e", lambda e: F.struct(*[e[c].alias(c) for c in fields]))
     named = scenes.select("dataset", F.struct("scene", F.map_from_entries(F.array(F.struct(F.col("scene"), entries.alias("v")))).alias("m")).alias("s"))
     lists = named.groupBy("dataset").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("s.scene").alias("scene"), F.to_json("s.m").alias("j")))), lambda s: s["j"]).alias("l"))
     return lists.select("dataset", F.concat(F.lit('{"'), F.col("dataset"), F.lit('":['), F.array_join("l", ","), F.lit("]}")).alias("json"))

@@ -15,10 +15,23 @@ def write_ply(points: DataFrame, path: str) -> None:
     ply_lines(points).write.mode("overwrite").text(f"{path}/vertices")
 
 
-def ply_lines(points: DataFrame) -> DataFrame:
-    """value: a vertex line of each point (x, y, z, r, g, b)."""
+def write_ply_files(points: DataFrame, path: str, key: str = "frame") -> None:
+    """One whole ASCII PLY file below ``path``/<key>=... for each key of points, header first: what a PLY reader opens.
+
+    A key's points, an image's at most, are one file and so one task; keys are
+    written side by side. Vertices are ordered by their line.
+    """
+    kinds = [("double", c) for c in "xyz"] + [("uchar", c) for c in ("red", "green", "blue")]
+    head = F.concat_ws("\n", F.lit("ply"), F.lit("format ascii 1.0"), F.concat(F.lit("element vertex "), F.col("n").cast("string")), *[F.lit(f"property {k} {c}") for k, c in kinds], F.lit("end_header"))
+    headers = points.groupBy(key).agg(F.count("*").alias("n")).select(key, F.lit(0).alias("_part"), head.alias("value"))
+    lines = headers.unionByName(ply_lines(points, key).select(key, F.lit(1).alias("_part"), "value"))
+    lines.repartition(key).sortWithinPartitions(key, "_part", "value").select(key, "value").write.mode("overwrite").partitionBy(key).text(path)
+
+
+def ply_lines(points: DataFrame, *keys: str) -> DataFrame:
+    """keys, and value: a vertex line of each point (x, y, z, r, g, b)."""
     channel = lambda c: F.floor(F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(1.0)) * 255).cast("string")
-    return points.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"], *[channel(c) for c in "rgb"]).alias("value"))
+    return points.select(*keys, F.concat_ws(" ", *[F.col(c).cast("string") for c in "xyz"], *[channel(c) for c in "rgb"]).alias("value"))
 
 
 def append_results(metrics: DataFrame, path: str) -> None:
