@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,16 +95,17 @@ def resample_matrix(source: int, target: int, kernel: str) -> np.ndarray:
 
 
 def resample(grid: DataFrame, h: int, w: int, new_h: int, new_w: int, kernel: str = "bicubic", value: str = "depth") -> DataFrame:
-    """Bicubic or Lanczos resize; a frame's grid is one group, two matrix products in numpy."""
+    """video, frame, y, x, value of a dense grid resized by a bicubic or Lanczos kernel, along x and then along y.
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        image = rows.sort_values(["y", "x"])[value].to_numpy().reshape(h, w)
-        out = resample_matrix(h, new_h, kernel) @ image @ resample_matrix(w, new_w, kernel).T
-        y, x = np.indices(out.shape)
-        return pd.DataFrame({"video": rows["video"].iloc[0], "frame": rows["frame"].iloc[0], "y": y.ravel(), "x": x.ravel(), value: out.ravel()})
-
-    kinds = dict(grid.dtypes)
-    return grid.groupBy(*FRAME).applyInPandas(one, f"video {kinds['video']}, frame {kinds['frame']}, y int, x int, {value} double")
+    The weight tables are as long as an edge, by at most six, and go out by broadcast.
+    """
+    spark = grid.sparkSession
+    for axis, source, target in (("x", w, new_w), ("y", h, new_h)):
+        matrix, other = resample_matrix(source, target, kernel), "y" if axis == "x" else "x"
+        weights = spark.createDataFrame([(int(i), int(t), float(matrix[t, i])) for t, i in zip(*np.nonzero(matrix), strict=True)], f"{axis} int, _t int, _w double")
+        met = grid.select(*FRAME, "y", "x", value).join(F.broadcast(weights), axis)
+        grid = met.groupBy(*FRAME, other, F.col("_t").alias(axis)).agg(F.sum(F.col(value) * F.col("_w")).alias(value))
+    return grid.select(*FRAME, "y", "x", value)
 
 
 def aspect_size(h: Column, w: Column, long_edge: int = 518, multiple: int = 14) -> tuple[Column, Column]:

@@ -12,21 +12,24 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*.mp4") -> DataFr
     """path, length, in order of path: the lines of a .txt list that exist, one file, or all files below a folder that match."""
     if path.endswith(".txt"):
         listed = spark.read.text(path).select(F.trim("value").alias("listed")).filter("listed <> ''")
-        folders = listed.select(F.regexp_replace("listed", r"/[^/]*$", "").alias("folder")).distinct()
-        found = [f for row in folders.toLocalIterator() if (f := _files(spark, row.folder, "*", False)) is not None]
-        if not found:
+        folders = [r.folder for r in listed.select(F.regexp_replace("listed", r"/[^/]*$", "").alias("folder")).distinct().toLocalIterator()]
+        files = _files(spark, folders, "*", False) if folders else None
+        if files is None:
+            # Some folder isn't there; one scan reads all that are.
+            there = [f for f in folders if _files(spark, f, "*", False) is not None]
+            files = _files(spark, there, "*", False) if there else None
+        if files is None:
             return spark.createDataFrame([], "path string, length long")
-        files = found[0]
-        for more in found[1:]:
-            files = files.unionByName(more)
         return files.join(listed, F.regexp_replace("path", "^file:", "") == F.regexp_replace("listed", "^file:", ""), "left_semi").orderBy("path")
     files = _files(spark, path, pattern, True)
     return files.orderBy("path")
 
 
-def _files(spark: SparkSession, path: str, pattern: str, recursive: bool) -> DataFrame | None:
+def _files(spark: SparkSession, path: str | list[str], pattern: str, recursive: bool) -> DataFrame | None:
+    if isinstance(path, str) and "." in path.rsplit("/", 1)[-1]:
+        pattern = "*"
     try:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern if "." not in path.rsplit("/", 1)[-1] else "*").load(path).select("path", "length")
+        return spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path).select("path", "length")
     except Exception as missing:
         if "PATH_NOT_FOUND" in str(missing):
             return None

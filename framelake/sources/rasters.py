@@ -78,8 +78,12 @@ def to_frames(px: DataFrame, keys: list[str], w: int, value: str = "depth") -> D
     return px.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("values"))
 
 
+#: Raster files that one task of the data source reads, one at a time.
+FILES_A_TASK = 64
+
+
 class RasterFolder(DataSource):
-    """spark.read.format("raster_folder").load(path): a partition per file, for paths that every executor mounts."""
+    """spark.read.format("raster_folder").load(path): FILES_A_TASK files a partition, for paths that every executor mounts."""
 
     @classmethod
     def name(cls) -> str:
@@ -100,12 +104,13 @@ class _FolderReader(DataSourceReader):
         import os
 
         found = sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.rsplit(".", 1)[-1].lower() in READERS)
-        return [InputPartition(f) for f in found]
+        return [InputPartition(found[i:i + FILES_A_TASK]) for i in range(0, len(found), FILES_A_TASK)]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            h, w, channels, values = decode(f.read(), partition.value)
-        yield (partition.value, h, w, channels, values.tolist())
+        for path in partition.value:
+            with open(path, "rb") as f:
+                h, w, channels, values = decode(f.read(), path)
+            yield (path, h, w, channels, values.tolist())
 
 
 def camera_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
