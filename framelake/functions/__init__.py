@@ -82,13 +82,14 @@ def angle_rates(length: int, base: float = 10000.0) -> list[float]:
 
 def rotary_vector(vector: Column, position: Column, length: int, base: float = 10000.0) -> Column:
     """Each neighbouring pair of components turned by the angle of its position."""
-    pairs = [rotary(F.get(vector, F.lit(2 * i)), F.get(vector, F.lit(2 * i + 1)), position * rate) for i, rate in enumerate(angle_rates(length, base))]
-    return F.array(*[c for pair in pairs for c in pair])
+    rates = F.array(*map(F.lit, angle_rates(length, base)))
+    return F.flatten(F.transform(rates, lambda rate, i: F.array(*rotary(F.get(vector, i * 2), F.get(vector, i * 2 + 1), position * rate))))
 
 
 def sinusoidal(position: Column, length: int, base: float = 10000.0) -> Column:
     """Encoding of a position: sine and cosine by turns, a pair for each rate."""
-    return F.array(*[f(position * rate) for rate in angle_rates(length, base) for f in (F.sin, F.cos)])
+    rates = F.array(*map(F.lit, angle_rates(length, base)))
+    return F.flatten(F.transform(rates, lambda rate: F.array(F.sin(position * rate), F.cos(position * rate))))
 
 
 def total(columns: list[Column]) -> Column:

@@ -33,8 +33,8 @@ def invert_pose(m: list[Column]) -> list[Column]:
     return [*r[0], t[0], *r[1], t[1], *r[2], t[2], F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0)]
 
 
-def invert_matrix(m: list[Column]) -> list[Column]:
-    """Inverse of any row-major 4 x 4 matrix from the minors of its upper and lower half; null where it has none."""
+def invert_matrix(m: list[Column]) -> Column:
+    """Inverse of any row-major 4 x 4 matrix, an array of 16, from the minors of its upper and lower half; nulls where it has none."""
     two = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
     minor = lambda top, p: m[4 * top + p[0]] * m[4 * top + 4 + p[1]] - m[4 * top + p[1]] * m[4 * top + 4 + p[0]]
     upper, lower = {p: minor(0, p) for p in two}, {p: minor(2, p) for p in two}
@@ -47,10 +47,11 @@ def invert_matrix(m: list[Column]) -> list[Column]:
         partner, minors = row ^ 1, lower if row < 2 else upper
         left = [c for c in range(4) if c != column]
         terms = [m[4 * partner + c] * minors[tuple(k for k in left if k != c)] * float((-1) ** i) for i, c in enumerate(left)]
-        # A partner in the upper half is the first of the three rows, in the lower one the last, which is an even number of swaps away.
+        # The partner is the first or the last of the three rows: an even number of swaps apart.
         return (terms[0] + terms[1] + terms[2]) * float((-1) ** (row + column))
 
-    return [F.try_divide(cofactor(j, i), det) for i in range(4) for j in range(4)]
+    # As one array, so that the determinant is taken once and not for each entry.
+    return F.flatten(F.transform(F.array(det), lambda d: F.array(*[F.try_divide(cofactor(j, i), d) for i in range(4) for j in range(4)])))
 
 
 def invert_intrinsics(fx: Column, fy: Column, cx: Column, cy: Column) -> tuple[Column, Column, Column, Column]:

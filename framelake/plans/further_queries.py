@@ -70,7 +70,7 @@ SELECT vec_id, CAST(block AS INTEGER) AS block, CAST(i AS INTEGER) AS i, {z6_sql
 def p19m(spark, sf):
     blocks = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda b: F.transform(F.slice("v", b * 16 + 1, 16), lambda x, j: x + F.when(j % 5 == 0, 2.0).otherwise(0.0)))
     each = q.vectors(spark, sf).select("vec_id", F.posexplode(blocks).alias("block", "m"))
-    inverse = F.array(*geo.invert_matrix([F.get("m", F.lit(i)) for i in range(16)]))
+    inverse = geo.invert_matrix([F.get("m", F.lit(i)) for i in range(16)])
     return each.select("vec_id", "block", F.posexplode(inverse).alias("i", "c")).select("vec_id", "block", "i", z6(F.col("c"), "value"))
 
 

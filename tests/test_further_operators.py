@@ -25,7 +25,7 @@ def grid(spark, **planes):
 def test_general_inverse(spark):
     matrices = [*RNG.normal(size=(6, 4, 4)), np.eye(4)[[2, 0, 3, 1]], np.ones((4, 4))]
     rows = spark.createDataFrame([(i, m.ravel().tolist()) for i, m in enumerate(matrices)], "i int, m array<double>")
-    got = rows.select("i", F.array(*geo.invert_matrix([F.get("m", F.lit(k)) for k in range(16)])).alias("r")).orderBy("i").collect()
+    got = rows.select("i", geo.invert_matrix([F.get("m", F.lit(k)) for k in range(16)]).alias("r")).orderBy("i").collect()
     for m, r in zip(matrices[:-1], got, strict=False):
         assert np.allclose(np.reshape(r.r, (4, 4)), np.linalg.inv(m))
     assert got[-1].r == [None] * 16
