@@ -1,4 +1,4 @@
-"""Cameras: unprojection, projection, reprojection error, view consistency, plane sweeps and splats."""
+"""Cameras: unprojection, projection, reprojection, plane sweeps and splats."""
 
 from __future__ import annotations
 
@@ -96,39 +96,6 @@ def reproject(px: DataFrame, step: int, w: int, h: int, focal: float, move: tupl
     return best.select("video", "frame", F.col("v").alias("y"), F.col("u").alias("x"), F.col("best.pz").alias("z"))
 
 
-def temporal_alignment_error(px: DataFrame, w: int, h: int, focal: float, move: tuple[float, float, float]) -> DataFrame:
-    """video, tae: mean relative error of depth seen from the next frame and from the one before, in per cent.
-
-    A video of n frames has 2 (n - 1) pairs; a pair without overlap counts as 0.
-    """
-    pairs = px.groupBy("video").agg(F.countDistinct("frame").alias("n"))
-    parts = []
-    for step in (1, -1):
-        seen = reproject(px, step, w, h, focal, move)
-        met = seen.join(px.select("video", "frame", "y", "x", F.col("z").alias("z2")), ["video", "frame", "y", "x"])
-        parts.append(met.groupBy("video", "frame").agg(F.avg(F.abs(F.col("z") - F.col("z2")) / F.col("z2")).alias("rel")))
-    total = parts[0].unionByName(parts[1]).groupBy("video").agg(F.sum("rel").alias("sum"))
-    return pairs.join(total, "video", "left").select("video", (F.coalesce(F.try_divide(F.col("sum"), 2 * (F.col("n") - 1)), F.lit(0.0)) * 100).alias("tae"))
-
-
-def cross_view_consistency(px: DataFrame, w: int, h: int, focal: float, move: tuple[float, float, float]) -> DataFrame:
-    """video, loss: for every ordered pair of frames of a video, itself included, mean difference of reprojected and own depth; mean over pairs.
-
-    The pairs are of frames, a few per video; pixels follow by equal keys.
-    """
-    frames = px.select("video", "frame").distinct()
-    pairs = frames.join(frames.withColumnRenamed("frame", "other"), "video")
-    moved = px.join(pairs, ["video", "frame"]).withColumn("step", F.col("other") - F.col("frame"))
-    cx, cy, cz = unproject(F.col("x"), F.col("y"), F.col("z"), w, h, focal)
-    moved = moved.select("video", "frame", "other", *[(c - F.col("step") * m).alias(n) for c, m, n in zip((cx, cy, cz), move, ("px", "py", "pz"), strict=True)])
-    u, v = project(F.col("px"), F.col("py"), F.col("pz"), w, h, focal)
-    moved = moved.withColumn("x", F.rint(u).cast("int")).withColumn("y", F.rint(v).cast("int"))
-    own = px.select("video", F.col("frame").alias("other"), "y", "x", "z")
-    met = moved.join(own, ["video", "other", "y", "x"])
-    each = met.groupBy("video", "frame", "other").agg(F.avg(F.abs(F.col("pz") - F.col("z"))).alias("loss"))
-    return each.groupBy("video").agg(F.avg("loss").alias("loss"))
-
-
 def splat(points: DataFrame, w: int, h: int, radius: int = 1, nearest: int = 4, tau: float = 1.0, keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
     """keys, y, x, wsum, wsumnorm, composite, depth: up to ``nearest`` points around each pixel, blended.
 

@@ -13,6 +13,7 @@ from framelake.operators import evaluation as ev
 from framelake.operators import features as ft
 from framelake.operators import frames as fr
 from framelake.operators import geometry as geo
+from framelake.operators import poses as posed
 from framelake.operators import resize as rs
 from framelake.operators import temporal as tp
 from framelake.plans import views as v
@@ -323,26 +324,52 @@ def p22(spark, sf):
     return z_pixels(spark, sf).select(*PIXEL, r6(geo.view_direction_change(c, [c[0] - 1, c[1], c[2]])[3], "cosine"))
 
 
-def _seen_sql(step: int) -> str:
-    return f"""SELECT s.video, s.frame, avg(abs(s.pz - t.z) / t.z) AS rel FROM (
-  SELECT video, frame, v AS y, u AS x, max({{'src': src, 'pz': pz}}).pz AS pz FROM (
-    SELECT video, frame + {step} AS frame, src, pz, CAST(round_even(px / pz * {FOCAL} + {W / 2}, 0) AS INTEGER) AS u, CAST(round_even(py / pz * {FOCAL} + {H / 2}, 0) AS INTEGER) AS v
-    FROM (SELECT video, frame, y * {W} + x AS src, cx - {step * MOVE[0]} AS px, cy - {step * MOVE[1]} AS py, z - {step * MOVE[2]} AS pz FROM c))
-  WHERE u >= 0 AND u < {W} AND v >= 0 AND v < {H} GROUP BY 1, 2, 3, 4) s JOIN z t USING (video, frame, y, x) GROUP BY 1, 2"""
+_POSED = f"""{PX}, fr AS (SELECT DISTINCT video, frame, 0.03::DOUBLE * frame + 0.2::DOUBLE * (ascii(video) % 3) AS angle FROM px)"""
 
+_TAE = f"""WITH {_POSED},
+z AS (SELECT video, frame, y, x, CASE WHEN g = 0 THEN 0.0::DOUBLE ELSE depth / {v.DEPTH_SCALE} + 1 END AS z, b > 0.01 AS mask FROM px),
+n AS (SELECT video, frame, angle, lead(frame) OVER o AS frame2, lead(angle) OVER o AS angle2 FROM fr WINDOW o AS (PARTITION BY video ORDER BY frame)),
+p AS (SELECT video, frame, angle, frame2, angle2, frame AS k FROM n WHERE frame2 IS NOT NULL UNION ALL SELECT video, frame2, angle2, frame, angle, frame FROM n WHERE frame2 IS NOT NULL),
+c AS (SELECT p.*, y * {W} + x AS src, (x - {W / 2}::DOUBLE) * z / (50 + k) AS cx, (y - {H / 2}::DOUBLE) * z / 50 AS cy, z AS cz FROM z JOIN p USING (video, frame)),
+world AS (SELECT *, cos(angle) * cx + sin(angle) * cz + 0.5::DOUBLE * frame - 0.5::DOUBLE * frame2 AS wx, cos(angle) * cz - sin(angle) * cx + 0.25::DOUBLE * frame - 0.25::DOUBLE * frame2 AS wz FROM c),
+o AS (SELECT video, frame, frame2, k, src, cos(angle2) * wx - sin(angle2) * wz AS ox, cy AS oy, sin(angle2) * wx + cos(angle2) * wz AS oz FROM world),
+l AS (SELECT video, frame, frame2, CAST(round_even(oy * 50 / oz + {H / 2}, 0) AS INTEGER) AS y, CAST(round_even(ox * (50 + k) / oz + {W / 2}, 0) AS INTEGER) AS x, arg_max(oz, src) AS oz FROM o
+  WHERE round_even(oy * 50 / oz + {H / 2}, 0) BETWEEN 0 AND {H - 1} AND round_even(ox * (50 + k) / oz + {W / 2}, 0) BETWEEN 0 AND {W - 1} GROUP BY 1, 2, 3, 4, 5),
+e AS (SELECT l.video, l.frame, frame2, avg(abs(z - oz) / z) AS e FROM l JOIN z ON z.video = l.video AND z.frame = l.frame2 AND z.y = l.y AND z.x = l.x WHERE oz > 0 AND z > 0 AND mask GROUP BY 1, 2, 3)
+SELECT fr.video, round(coalesce(any_value(t) / (2 * (count(*) - 1)), 0) * 100, 6) AS tae FROM fr LEFT JOIN (SELECT video, sum(e) AS t FROM e GROUP BY 1) s ON s.video = fr.video GROUP BY 1"""
 
-@query("a21_tae", f"WITH {PX}, {_CAM}, e AS ({_seen_sql(1)} UNION ALL {_seen_sql(-1)}), n AS (SELECT video, count(DISTINCT frame) AS n FROM px GROUP BY 1) SELECT n.video, round(coalesce(any_value(s.t) / (2 * (any_value(n.n) - 1)), 0) * 100, 6) AS tae FROM n LEFT JOIN (SELECT video, sum(rel) AS t FROM e GROUP BY 1) s ON s.video = n.video GROUP BY 1")
+
+@query("a21_tae", _TAE)
 def a21(spark, sf):
-    return geo.temporal_alignment_error(z_pixels(spark, sf), W, H, FOCAL, MOVE).select("video", r6("tae", "tae"))
+    z = F.when(F.col("g") == 0, 0.0).otherwise(F.col("depth") / v.DEPTH_SCALE + 1).alias("z")
+    px = v.pixels(spark, sf).select(*PIXEL, z, (F.col("b") > 0.01).alias("mask"))
+    return posed.temporal_alignment_error(px, v.poses(spark, sf, 0.5, 0.25), W, H).select("video", r6("tae", "tae"))
+
+
+def _corner_sql(i: int, j: int) -> str:
+    """Depth at one corner of a sampled place, and the corner's share."""
+    share = f"(CASE WHEN {i} = 1 THEN sv - floor(sv) ELSE 1 - (sv - floor(sv)) END) * (CASE WHEN {j} = 1 THEN su - floor(su) ELSE 1 - (su - floor(su)) END)"
+    return f"SELECT id, coalesce(q.z, 0) * {share} AS part FROM s LEFT JOIN z q ON q.video = s.video AND q.frame = s.other AND q.y = floor(sv) + {i} AND q.x = floor(su) + {j}"
+
+
+_CROSS = f"""WITH {_POSED},
+z AS (SELECT video, frame, y, x, 0.6::DOUBLE + depth / 125000 AS z FROM px),
+cam AS (SELECT z.*, angle, (x - 32::DOUBLE) * z / 50 - 0.05::DOUBLE * frame AS cx, (y - 16::DOUBLE) * z / 50 AS cy, z - 0.02::DOUBLE * frame AS cz FROM z JOIN fr USING (video, frame)),
+world AS (SELECT video, frame, cos(angle) * cx - sin(angle) * cz AS wx, cy AS wy, sin(angle) * cx + cos(angle) * cz AS wz FROM cam),
+o AS (SELECT w.video, w.frame, fr.frame AS other, cos(fr.angle) * wx + sin(fr.angle) * wz + 0.05::DOUBLE * fr.frame AS ox, wy AS oy, cos(fr.angle) * wz - sin(fr.angle) * wx + 0.02::DOUBLE * fr.frame AS oz FROM world w JOIN fr USING (video)),
+t AS (SELECT video, frame, other, oz, 50 * ox + 32 * oz AS u, 50 * oy + 16 * oz AS v FROM o),
+s AS (SELECT video, frame, other, oz, u * {W} / ({W} - 1) - 0.5::DOUBLE AS su, v * {H} / ({H} - 1) - 0.5::DOUBLE AS sv, row_number() OVER () AS id FROM t
+  WHERE abs(u / {(W - 1) / 2} - 1) <= 1 + 1e-9::DOUBLE AND abs(v / {(H - 1) / 2} - 1) <= 1 + 1e-9::DOUBLE),
+d AS (SELECT id, sum(part) AS sampled FROM ({' UNION ALL '.join(_corner_sql(i, j) for i in (0, 1) for j in (0, 1))}) GROUP BY 1),
+e AS (SELECT video, frame, other, avg(abs(sampled - oz)) AS loss FROM s JOIN d USING (id) GROUP BY 1, 2, 3)
+SELECT video, round(sum(loss), 6) AS loss FROM e GROUP BY 1"""
 
 
-@query("j06_cross_view", f"""WITH {PX}, {_CAM}, f AS (SELECT DISTINCT video, frame FROM px),
-m AS (SELECT c.video, c.frame, o.frame AS other, cx - (o.frame - c.frame) * {MOVE[0]} AS px, cy - (o.frame - c.frame) * {MOVE[1]} AS py, z - (o.frame - c.frame) * {MOVE[2]} AS pz FROM c JOIN f o ON o.video = c.video),
-u AS (SELECT *, CAST(round_even(CASE WHEN abs(pz) < 0.01 THEN -10.0 ELSE px / pz * {FOCAL} + {W / 2} END, 0) AS INTEGER) AS x, CAST(round_even(CASE WHEN abs(pz) < 0.01 THEN -10.0 ELSE py / pz * {FOCAL} + {H / 2} END, 0) AS INTEGER) AS y FROM m),
-e AS (SELECT u.video, u.frame, u.other, avg(abs(u.pz - z.z)) AS loss FROM u JOIN z ON z.video = u.video AND z.frame = u.other AND z.y = u.y AND z.x = u.x GROUP BY 1, 2, 3)
-SELECT video, round(avg(loss), 6) AS loss FROM e GROUP BY 1""")
+@query("j06_cross_view", _CROSS)
 def j06(spark, sf):
-    return geo.cross_view_consistency(z_pixels(spark, sf), W, H, FOCAL, MOVE).select("video", r6("loss", "loss"))
+    px = v.pixels(spark, sf).select(*PIXEL, (F.col("depth") / 125000 + 0.6).alias("z"))
+    intrinsics = (50, 0, 32, 0, 0, 50, 16, 0, 0, 0, 1, 0, 0, 0, 0, 1)
+    return posed.cross_view_loss(px, v.poses(spark, sf, 0.05, 0.02), intrinsics, W, H).select("video", r6("loss", "loss"))
 
 
 @query("p28_plane_sweep", f"WITH {PX}, {_CAM} SELECT video, frame, y, x, round(CASE WHEN z - 1.5 <= 0.001 THEN {W}.0 ELSE cx / (z - 1.5) END, 6) AS u, round(CASE WHEN z - 1.5 <= 0.001 THEN {H}.0 ELSE cy / (z - 1.5) END, 6) AS v, round(1 / (1 + exp(-2 * (2 - least(abs(z - 1.5) / 0.1, 4.0)))), 6) AS weight FROM c")

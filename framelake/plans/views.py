@@ -26,6 +26,15 @@ GRID = f"grid AS (SELECT f.video, f.frame, CAST(ys.range AS INTEGER) AS y, CAST(
 DENSE = f"{GRID}, dense AS (SELECT g.video, g.frame, g.y, g.x, coalesce(p.depth, 0) AS depth, coalesce(p.r, 0) AS r, coalesce(p.g, 0) AS g, coalesce(p.b, 0) AS b, p.r IS NULL AS hole FROM grid g LEFT JOIN px p USING (video, frame, y, x))"
 
 
+def poses(spark: SparkSession, sf: str, right: float, ahead: float) -> DataFrame:
+    """video, frame, pose, k: each frame's camera, turned about the vertical and moved along x and z; focal length 50 + frame along x."""
+    angle = F.col("frame") * 0.03 + F.ascii("video") % 3 * 0.2
+    c, s = F.cos(angle), F.sin(angle)
+    row = F.array(c, F.lit(0.0), s, F.col("frame") * right, F.lit(0.0), F.lit(1.0), F.lit(0.0), F.lit(0.0), -s, F.lit(0.0), c, F.col("frame") * ahead, F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    k = F.array((F.col("frame") + 50).cast("double"), F.lit(50.0), F.lit(W / 2), F.lit(H / 2))
+    return pixels(spark, sf).select("video", "frame").distinct().select("video", "frame", row.alias("pose"), k.alias("k"))
+
+
 def frame_stream(spark: SparkSession, sf: str) -> DataFrame:
     """video, idx, value, type: each user's events in order."""
     t = table(spark, sf, "events")

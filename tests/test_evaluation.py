@@ -112,15 +112,6 @@ def test_inverse_pose(spark):
     assert np.allclose(tuple(spark.range(1).select(*p).first()), (7, 8, 9))
 
 
-def test_still_camera_has_no_alignment_error(spark):
-    rows = [("v", f, y, x, 2.0 + 0.01 * x) for f in range(3) for y in range(4) for x in range(6)]
-    px = spark.createDataFrame(rows, "video string, frame int, y int, x int, z double")
-    assert geo.temporal_alignment_error(px, 6, 4, 50.0, (0.0, 0.0, 0.0)).first().tae == 0
-    assert geo.cross_view_consistency(px, 6, 4, 50.0, (0.0, 0.0, 0.0)).first().loss < 1e-12
-    far = geo.temporal_alignment_error(px, 6, 4, 50.0, (100.0, 0.0, 0.0)).first()
-    assert far.tae == 0  # no overlap counts as nothing
-
-
 def test_splat_keeps_the_nearest(spark):
     rows = [("v", 0, 2.0, 2.0, float(z), float(z), i) for i, z in enumerate((3, 1, 2))]
     points = spark.createDataFrame(rows, "video string, frame int, u double, v double, z double, value double, src int")
