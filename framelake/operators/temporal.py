@@ -21,20 +21,51 @@ def with_index(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("idx", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
 
 
-def ema(rows: DataFrame, a: float, key: str = "video", value: str = "value") -> DataFrame:
+#: Values of idx in a block of a recursion that is cut into blocks.
+BLOCK = 4096
+
+
+def _entering(blocks: pd.DataFrame) -> pd.DataFrame:
+    """The smoothed value that enters each block of a key."""
+    blocks = blocks.sort_values("block", ignore_index=True)
+    out, x = [], blocks["first"][0] if len(blocks) else 0.0
+    for factor, offset in zip(blocks["factor"], blocks["offset"], strict=True):
+        out.append(x)
+        x = factor * x + offset
+    return pd.DataFrame({"_key": blocks["_key"], "_block": blocks["block"], "enters": out})
+
+
+def ema(rows: DataFrame, a: float, key: str = "video", value: str = "value", block: int = BLOCK) -> DataFrame:
     """key, idx, smoothed: a * current + (1 - a) * smoothed before; the first passes, a = 0 leaves all as it is.
 
-    A recursion over one key's frames; they meet in one row as an array, which is
-    copied at each frame. It is meant for clips of up to some thousand frames, and
-    stays in the JVM; ema_long takes streams of any length.
+    A prefix scan, so that one key's frames spread over all tasks: what a block
+    of ``block`` values of idx makes of the value that enters it is linear, so each block
+    is folded to (factor, offset); these, one row per block, are combined in
+    order, and each block then starts from the value that enters it. Frames are taken by
+    idx, which may have gaps but no ties. A null key is a key.
     """
+    values = F.col(value).cast("double")
     if a == 0:
-        return rows.select(key, "idx", F.col(value).alias("smoothed"))
-    frames = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", F.col(value).cast("double").alias("v")))).alias("frames"))
-    start = F.array(F.struct(F.col("frames")[0]["idx"].alias("idx"), F.col("frames")[0]["v"].alias("v")))
-    step = lambda acc, f: F.concat(acc, F.array(F.struct(f["idx"].alias("idx"), (f["v"] * a + F.element_at(acc, -1)["v"] * (1 - a)).alias("v"))))
-    out = F.aggregate(F.slice("frames", 2, F.greatest(F.size("frames") - 1, F.lit(0))), start, step)
-    return frames.select(key, F.explode(out).alias("f")).select(key, "f.idx", F.col("f.v").alias("smoothed"))
+        return rows.select(key, "idx", values.alias("smoothed"))
+    name = rows.schema[key].dataType.simpleString()
+    given = rows.select(F.col(key).alias("_key"), F.col("idx").cast("long").alias("idx"), values.alias("v"))
+    blocks = given.groupBy("_key", F.floor(F.col("idx") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("row"))
+    fold = F.aggregate("row", F.lit(0.0), lambda acc, r: acc * (1 - a) + r["v"] * a)
+    facts = blocks.select("_key", "block", F.pow(F.lit(1.0 - a), F.size("row")).alias("factor"), fold.alias("offset"), F.col("row")[0]["v"].alias("first"))
+    entering = facts.groupBy("_key").applyInPandas(_entering, f"_key {name}, _block long, enters double").withColumnRenamed("_key", "_of")
+    met = blocks.join(entering, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_block")))
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, idx, v, x in zip(batch["_key"], batch["idx"], batch["v"], batch["enters"], strict=True):
+                out = []
+                for each in v.tolist():
+                    x = a * each + (1 - a) * x
+                    out.append(x)
+                yield pd.DataFrame({key: pd.Series([k] * len(out), dtype=batch["_key"].dtype), "idx": idx, "smoothed": out})
+
+    each = met.select("_key", F.col("row.idx").alias("idx"), F.col("row.v").alias("v"), "enters")
+    return each.mapInPandas(finish, f"{key} {name}, idx long, smoothed double")
 
 
 def _in_order(rows: DataFrame, key: str, *columns: str) -> DataFrame:
@@ -42,14 +73,23 @@ def _in_order(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     return rows.select(key, F.col("idx").cast("long").alias("idx"), *columns).repartition(key).sortWithinPartitions(key, "idx")
 
 
+def _keys(column: pd.Series) -> list:
+    """A batch's keys, a null one as None whatever pandas makes of it, so that it equals itself."""
+    return [None if pd.isna(k) else k for k in column]
+
+
+#: No row's key, for the row before a task's first one.
+NO_KEY = object()
+
+
 def ema_long(rows: DataFrame, a: float, key: str = "video", value: str = "value") -> DataFrame:
-    """The same for long streams: a key's frames pass one task in Arrow batches, with only a running value between them."""
+    """The same in order: a key's frames pass one task in Arrow batches, with only a running value between them."""
 
     def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, prev = None, 0.0
+        last, prev = NO_KEY, 0.0
         for batch in batches:
             out = []
-            for k, v in zip(batch[key], batch["v"], strict=True):
+            for k, v in zip(_keys(batch[key]), batch["v"], strict=True):
                 prev = v if k != last or a == 0 else a * v + (1 - a) * prev
                 last = k
                 out.append(prev)
@@ -85,10 +125,10 @@ def smooth_along_flow(frames: DataFrame, a: float, h: int, w: int, key: str = "v
     """
 
     def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, before = None, None
+        last, before = NO_KEY, None
         for batch in batches:
             out = []
-            for k, depth, dx, dy in zip(batch[key], batch["depth"], batch["dx"], batch["dy"], strict=True):
+            for k, depth, dx, dy in zip(_keys(batch[key]), batch["depth"], batch["dx"], batch["dy"], strict=True):
                 now = np.asarray(depth, dtype=float).reshape(h, w)
                 if before is not None and k == last:
                     past, inside = sampled_along(before, np.asarray(dx, dtype=float).reshape(h, w), np.asarray(dy, dtype=float).reshape(h, w))
@@ -151,10 +191,10 @@ def recurrent_pool(rows: DataFrame, step: Callable[[np.ndarray], float], taps: t
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, before = None, None
+        last, before = NO_KEY, None
         for batch in batches:
             pool, out = batch[[f"tap_{i}" for i in range(len(taps))]].to_numpy(dtype=float), []
-            for k, now, own in zip(batch[key], pool, batch[value], strict=True):
+            for k, now, own in zip(_keys(batch[key]), pool, batch[value], strict=True):
                 before = step(np.insert(now, 2, before if before is not None and k == last else own))
                 last = k
                 out.append(before)

@@ -405,3 +405,22 @@ def t02(spark, sf):
 
     out = attended_events(spark, sf, stream_folder(spark))
     return out.select("video", "idx", F.posexplode("attended").alias("slot", "frame"))
+
+
+@query("t02_stream_states", f"""WITH {q.FR}, {q._LEN}, t AS (SELECT video, unnest(range(1, n)) AS idx FROM ln WHERE n > 1), s AS (SELECT *, unnest(range(31)) AS j FROM t),
+a AS (SELECT video, idx, CASE WHEN j = 0 THEN 0 WHEN j = 1 THEN greatest(idx - 41, 0) ELSE greatest(idx - (31 - j), 0) END AS frame FROM s),
+m AS (SELECT a.video, a.idx, avg(fr.value) AS mean FROM a JOIN fr ON fr.video = a.video AND fr.idx = a.frame GROUP BY 1, 2)
+SELECT CAST(fr.video AS BIGINT) AS video, CAST(fr.idx AS BIGINT) AS idx, {nudged_sql('(fr.value + coalesce(m.mean, fr.value)) / 2', 'out')} FROM fr LEFT JOIN m USING (video, idx)""")
+def t02_states(spark, sf):
+    from framelake.plans.streams import remembered_events, stream_folder
+
+    return remembered_events(spark, sf, stream_folder(spark)).select("video", "idx", nudged("out", "out"))
+
+
+@query("t07_stream_windows", f"""WITH {q.FR}, {q._LEN}, w AS (SELECT video, n, unnest(range(CAST(ceil(n / 22.0) AS BIGINT))) AS k FROM ln), s AS (SELECT *, unnest(range(32)) AS j FROM w),
+f AS (SELECT video, k, j, CASE WHEN k > 0 AND j = 0 THEN 0 WHEN k > 0 AND j = 1 THEN 22 * k - 10 ELSE least(22 * k + j, n - 1) END AS idx FROM s)
+SELECT CAST(f.video AS BIGINT) AS video, CAST(k AS BIGINT) AS "window", CAST(j AS INTEGER) AS slot, CAST(f.idx AS BIGINT) AS frame, round(fr.value, 6) AS value FROM f JOIN fr ON fr.video = f.video AND fr.idx = f.idx""")
+def t07(spark, sf):
+    from framelake.plans.streams import count_windows_of_events, stream_folder
+
+    return count_windows_of_events(spark, sf, stream_folder(spark)).select("video", "window", "slot", "frame", F.round("value", 6).alias("value"))

@@ -2,27 +2,29 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.plans.views import frame_stream, table
-from framelake.streaming import attended_stream, event_windows, run_once, smooth_stream
+from framelake.streaming import attended_stream, event_windows, hidden_state_stream, run_once, smooth_stream, window_stream
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a folder of this machine only where the session names none."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    """The cluster's shared checkpoint folder, which the session has to name."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        raise ValueError("streams need spark.checkpoint.dir, a folder that all executors share")
+    return folder
 
 
-def replayed(spark: SparkSession, rows: DataFrame, folder: str) -> DataFrame:
+def replayed(spark: SparkSession, rows: DataFrame, folder: str, files_per_trigger: int = 1000) -> DataFrame:
     """``rows`` written as files and read as a stream."""
     rows.write.mode("overwrite").parquet(f"{folder}/in")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{folder}/in")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/in")
 
 
 def smoothed_events(spark: SparkSession, sf: str, folder: str, a: float = 0.75) -> DataFrame:
@@ -49,6 +51,45 @@ def attended_events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out")
 
 
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """video, idx, ts, vector: each user's events in order, the value as a vector."""
+    frames = frame_stream(spark, sf).select(F.col("video").cast("long").alias("video"), F.col("idx").cast("long").alias("idx"), F.array(F.col("value").cast("double")).alias("vector"))
+    return frames.withColumn("ts", F.timestamp_seconds(F.lit(1_577_836_800) + F.col("idx") * 60))
+
+
+def _mean_attended(vector, cache):
+    """Half the frame, half the mean of what it attends to; the frame itself is what later ones see of it."""
+    return (vector + cache.mean(axis=0)) / 2 if len(cache) else vector, vector
+
+
+def remembered_events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """video, idx, out: each frame with the mean of the hidden states that its ring holds, frames in shuffled files."""
+    folder = f"{folder}/{uuid.uuid4()}"
+    stream = replayed(spark, _vectors(spark, sf).select("video", "idx", "vector").repartition(6, F.xxhash64("video", "idx")), folder, 2)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    run_once(hidden_state_stream(stream, _mean_attended), f"{folder}/out", f"{folder}/state")
+    return spark.read.parquet(f"{folder}/out").select("video", "idx", F.col("out")[0].alias("out"))
+
+
+def count_windows_of_events(spark: SparkSession, sf: str, folder: str) -> DataFrame:
+    """video, window, slot, frame, value: windows of 32 frames from frames in shuffled files.
+
+    Frames are a minute apart; the row after all others, of video -1, moves the
+    watermark on, so that every video's timer pads its tail. Frames come late by up to the whole length of the longest video.
+    """
+    folder = f"{folder}/{uuid.uuid4()}"
+    rows = _vectors(spark, sf)
+    rows.repartition(6, F.xxhash64("video", "idx")).write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for _ in range(2):
+        run_once(window_stream(stream, "1 hour", "3650 days"), f"{folder}/out", f"{folder}/state")
+        end = spark.sql("SELECT -1L AS video, 0L AS idx, array(0.0D) AS vector, timestamp_seconds(1577836800L + 20 * 365 * 86400L) AS ts")
+        end.write.mode("append").parquet(f"{folder}/in")
+    out = spark.read.parquet(f"{folder}/out").filter("video >= 0")
+    return out.select("video", "window", "slot", "frame", F.col("vector")[0].alias("value"))
+
+
 def windowed_events(spark: SparkSession, sf: str, folder: str, kind: str) -> DataFrame:
     """Closed event-time windows of the events, by the stream."""
     folder = f"{folder}/{uuid.uuid4()}"

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from framelake.operators.temporal import CACHE
+from framelake.streaming.ordered import attended_stream, hidden_state_stream, smooth_stream, window_stream
+
+__all__ = ["attended_stream", "event_windows", "frame_stream", "hidden_state_stream", "run_once", "smooth_stream", "window_stream"]
 
 
 def frame_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -17,63 +15,6 @@ def frame_stream(spark: SparkSession, path: str, schema, files_per_trigger: int
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-class Smoothing(StatefulProcessor):
-    """Running smoothed value of each video; a video's state is its own."""
-
-    def __init__(self, a: float) -> None:
-        self.a = a
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "value double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("idx")
-        previous = self.last.get()[0] if self.last.exists() else None
-        out = []
-        for v in frames["value"]:
-            previous = v if previous is None or self.a == 0 else self.a * v + (1 - self.a) * previous
-            out.append(previous)
-        self.last.update((previous,))
-        yield pd.DataFrame({"video": key[0], "idx": frames["idx"].to_numpy(), "smoothed": out})
-
-    def close(self) -> None:
-        pass
-
-
-def smooth_stream(frames: DataFrame, a: float) -> DataFrame:
-    """video, idx, smoothed from a stream of (video long, idx long, value double) whose frames come in order."""
-    return frames.groupBy("video").transformWithStateInPandas(Smoothing(a), "video long, idx long, smoothed double", "append", "none")
-
-
-class HiddenStates(StatefulProcessor):
-    """Ring of hidden states of a temporal model: the first frame fills it, later ones take its newest place.
-
-    Emits, for each frame, the frames it attends to. The ring holds the first
-    frame and the last 41; any video's ring is its own.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "n long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        frames = pd.concat(list(rows)).sort_values("idx")
-        n = self.seen.get()[0] if self.seen.exists() else 0
-        out = []
-        for idx in frames["idx"]:
-            backs = [n, 41, *range(CACHE - 2, 0, -1)] if n else []
-            out.append((key[0], int(idx), [max(n - b, 0) for b in backs]))
-            n += 1
-        self.seen.update((n,))
-        yield pd.DataFrame(out, columns=["video", "idx", "attended"])
-
-    def close(self) -> None:
-        pass
-
-
-def attended_stream(frames: DataFrame) -> DataFrame:
-    return frames.groupBy("video").transformWithStateInPandas(HiddenStates(), "video long, idx long, attended array<long>", "append", "none")
-
-
 def event_windows(events: DataFrame, kind: str, lateness: str = "10 minutes", length: str = "1 hour", slide: str = "30 minutes", gap: str = "30 minutes") -> DataFrame:
     """start, stop, n of ``tumbling``, ``sliding`` or ``session`` windows over column ts, late rows up to ``lateness``."""
     window = {"tumbling": lambda: F.window("ts", length), "sliding": lambda: F.window("ts", length, slide), "session": lambda: F.session_window("ts", gap)}[kind]()
