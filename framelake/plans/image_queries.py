@@ -18,7 +18,7 @@ from framelake.plans import views as v
 from framelake.plans.registry import FOCAL, MOVE, PIXEL, nudged, nudged_sql, query, r6, r6s
 from framelake.plans.views import DENSE, FR, GRID, MAN, PG, PX, H, W
 from framelake.sources import manifest as mf
-from framelake.sources import sinks
+from framelake.sources import depth_maps, rasters, sinks
 
 # Channels and levels
 
@@ -424,3 +424,33 @@ def t07(spark, sf):
     from framelake.plans.streams import count_windows_of_events, stream_folder
 
     return count_windows_of_events(spark, sf, stream_folder(spark)).select("video", "window", "slot", "frame", F.round("value", 6).alias("value"))
+
+
+#: Levels, cut to whole numbers, of the dense raster as 8-bit gray PNGs, read back as predicted depth.
+@query("s08_predicted_depth", f"""WITH {PX}, {DENSE} SELECT video, frame, y, x, CAST(floor(r) * 255 AS DOUBLE) AS depth FROM dense""")
+def s08(spark, sf):
+    images = depth_maps.png_images(_frame_rows(spark, sf, "r"))
+    return _pixel_rows(depth_maps.predicted_depth(_as_files(images)), "depth")
+
+
+#: Raw depth of 16 bits, which forgets whole multiples of 65,536, read back over its factor, -1 in holes.
+@query("k06_png_true_depth", f"""WITH {PX}, {DENSE}, k AS (SELECT *, CAST(floor(depth) AS BIGINT) % 65536 / 256.0::DOUBLE AS gt FROM dense) SELECT video, frame, y, x, CASE WHEN gt = 0 THEN -1.0::DOUBLE ELSE gt END AS gt FROM k""")
+def k06(spark, sf):
+    images = depth_maps.png_images(_frame_rows(spark, sf, "depth"), bits=16)
+    return _pixel_rows(depth_maps.true_depth(_as_files(images).withColumn("factor", F.lit(256.0))), "gt")
+
+
+def _frame_rows(spark, sf, value):
+    """path, h, w, channels, values of each frame; the path says which."""
+    frames = tp.as_frames(q.dense_pixels(spark, sf), (value,))
+    return frames.select(F.concat_ws("/", "video", F.col("idx").cast("string")).alias("path"), F.lit(H).alias("h"), F.lit(W).alias("w"), F.lit(1).alias("channels"), F.col(value).alias("values"))
+
+
+def _as_files(images):
+    return images.select(F.concat("path", F.lit(".png")).alias("path"), "content")
+
+
+def _pixel_rows(rasters_, name):
+    at = F.split(F.regexp_replace("path", "[.]png$", ""), "/")
+    named = rasters_.select(at[0].alias("video"), at[1].cast("int").alias("frame"), "h", "w", "channels", "values")
+    return rasters.to_pixels(named, out=name).select(*PIXEL, name)

@@ -1,4 +1,4 @@
-"""Binary raster formats to frame rows: .dpt, .pfm, .npy, and a Python data source for folders of them."""
+"""Binary raster formats to frame rows: .dpt, .pfm, .npy, .png."""
 
 from __future__ import annotations
 
@@ -9,9 +9,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from framelake.schemas import RASTERS
+from framelake.sources.png import read_png
 
 #: First four bytes of a .dpt file, as a float.
 DPT_TAG = 202021.25
@@ -45,7 +45,7 @@ def read_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False).astype(np.float32)
 
 
-READERS = {"dpt": read_dpt, "pfm": read_pfm, "npy": read_npy}
+READERS = {"dpt": read_dpt, "pfm": read_pfm, "npy": read_npy, "png": read_png}
 
 
 def decode(data: bytes, path: str) -> tuple[int, int, int, np.ndarray]:
@@ -54,7 +54,7 @@ def decode(data: bytes, path: str) -> tuple[int, int, int, np.ndarray]:
     return h, w, image.size // (h * w), np.ascontiguousarray(image, dtype=np.float32).ravel()
 
 
-def read_rasters(spark: SparkSession, path: str, pattern: str = "*.{dpt,pfm,npy}") -> DataFrame:
+def read_rasters(spark: SparkSession, path: str, pattern: str = "*.{dpt,pfm,npy,png}") -> DataFrame:
     """path, h, w, channels, values of each raster file below a folder. A malformed file raises."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 
@@ -78,41 +78,6 @@ def to_frames(px: DataFrame, keys: list[str], w: int, value: str = "depth") -> D
     return px.groupBy(*keys).agg(F.transform(ordered, lambda s: s["v"]).alias("values"))
 
 
-#: Raster files that one task of the data source reads, one at a time.
-FILES_A_TASK = 64
-
-
-class RasterFolder(DataSource):
-    """spark.read.format("raster_folder").load(path): FILES_A_TASK files a partition, for paths that every executor mounts."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "raster_folder"
-
-    def schema(self):
-        return RASTERS
-
-    def reader(self, schema):
-        return _FolderReader(self.options["path"])
-
-
-class _FolderReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
-
-    def partitions(self):
-        import os
-
-        found = sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.rsplit(".", 1)[-1].lower() in READERS)
-        return [InputPartition(found[i:i + FILES_A_TASK]) for i in range(0, len(found), FILES_A_TASK)]
-
-    def read(self, partition):
-        for path in partition.value:
-            with open(path, "rb") as f:
-                h, w, channels, values = decode(f.read(), path)
-            yield (path, h, w, channels, values.tolist())
-
-
 def camera_arrays(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
     """path, name, shape, values: every numeric array of the .npz files below ``path``, by row. Files are read in their tasks, never on the driver."""
 

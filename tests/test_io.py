@@ -13,7 +13,7 @@ from framelake.operators.model import Luminance, infer_depth
 from framelake.plans import queries as plans
 from framelake.plans.streams import smoothed_events
 from framelake.schemas import FRAMES
-from framelake.sources import listing, manifest, rasters, sinks
+from framelake.sources import folders, listing, manifest, rasters, sinks
 from framelake.streaming import attended_stream, run_once
 
 SF = "/root/testdata/sf0.001"
@@ -76,7 +76,7 @@ def test_raster_formats(spark, tmp_path):
 
 
 def _by_source(spark, folder):
-    spark.dataSource.register(rasters.RasterFolder)
+    spark.dataSource.register(folders.RasterFolder)
     return spark.read.format("raster_folder").load(str(folder)).collect()
 
 
