@@ -12,8 +12,10 @@ Every page is then matched against its host's wrapper, which gives each of its
 texts a slot: the element of the wrapper that it stands in, so that elements
 alike in tag and class are told apart by their place. Sums over the slots of a
 host decide which of them are the article: slots with the same text on pages of
-different content are template, wherever they stand; the slot with most running
-text is the main one; parts that are named like a menu, notice or comments
+different content are template, unless they stand beside the article's varying
+text, as its headings and labels do; the slot with most running
+text is the main one, and the article is what is around it, as far up as what
+joins is article rather than template, named or links; parts that are named like a menu, notice or comments
 count as such only if the main slot is not inside. Tags and roles that mark no
 text (nav, form, footer ...) and marks of an article are read from the page.
 """
@@ -26,7 +28,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
-from difflib import SequenceMatcher
+from math import isqrt
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,6 +45,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 NOT_TEXT = frozenset("head title script style nav footer aside form noscript template iframe svg button select textarea canvas dialog menu object video audio map".split())
 NOT_TEXT_NAMES = frozenset("ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu menubar navbar navigation nav breadcrumb breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments respond disqus footer toolbar widget pagination pager skip masthead".split())
 NOT_TEXT_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+#: Elements whose text names what follows.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 dt th caption summary figcaption".split())
 #: Words that a name may have besides those and still be one of them: "comment-list" is, "related-work" is not.
 NEUTRAL_NAMES = frozenset("box wrapper wrap container list section area block bar content inner outer left right top bottom item items group panel link links post posts article articles icon icons button buttons main site page text message form row column unit slot zone thread".split())
 ARTICLE_NAMES = frozenset(("articlebody", "article-body"))
@@ -207,26 +211,50 @@ def _fold(nodes: list) -> list:
     return nodes
 
 
-#: Cells of an alignment's table; siblings beyond are aligned by their longest common runs.
-CELLS = 1 << 22
-
-
 def _matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of signatures."""
+    """Places of a longest common subsequence of signatures, by one rule at every size.
+
+    Row i of the table holds, as the bits of one number, where the length for
+    a[i:] grows along b from its end: cleared bits are steps. Rows are kept at
+    intervals and worked out again between them, so memory grows with the square root of a's length times b's.
+    """
     n, m = len(a), len(b)
-    if n * m > CELLS:
-        blocks = SequenceMatcher(None, [x[0] for x in a], [x[0] for x in b], autojunk=False).get_matching_blocks()
-        return [(x.a + i, x.b + i) for x in blocks for i in range(x.size)]
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    places: dict[str, int] = {}
+    for j, node in enumerate(b):
+        places[node[0]] = places.get(node[0], 0) | 1 << (m - 1 - j)
+    full = (1 << m) - 1
+
+    def above(row: int, i: int) -> int:
+        hit = row & places.get(a[i][0], 0)
+        return ((row + hit) | (row - hit)) & full
+
+    step = isqrt(n) + 1
+    kept, row = {n: full}, full
     for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
+        row = above(row, i)
+        if i % step == 0:
+            kept[i] = row
+
+    def block(i: int) -> dict[int, int]:
+        """Rows from i, a multiple of step, to the next kept one."""
+        last = min(i + step, n)
+        rows = {last: kept[last]}
+        for k in range(last - 1, i - 1, -1):
+            rows[k] = above(rows[k + 1], k)
+        return rows
+
+    out, i, j, rows = [], 0, 0, {}
     while i < n and j < m:
         if a[i][0] == b[j][0]:
             out.append((i, j))
             i, j = i + 1, j + 1
-        elif best[i + 1][j] >= best[i][j + 1]:
+            continue
+        if i not in rows or i + 1 not in rows:
+            rows = block(i - i % step)
+        # best for (a[i + 1:], b[j:]) against (a[i:], b[j + 1:]): steps among the last m - j and m - j - 1 places.
+        down = m - j - (rows[i + 1] & ((1 << m - j) - 1)).bit_count()
+        right = m - j - 1 - (rows[i] & ((1 << m - j - 1) - 1)).bit_count()
+        if down >= right:
             i += 1
         else:
             j += 1
@@ -292,6 +320,7 @@ class Wrapper:
 
     def __init__(self, nodes: list) -> None:
         self.parents: list[int] = []
+        self.tags: list[str] = []
         self._top = self._read(nodes, -1)
 
     def _read(self, nodes: list, parent: int) -> tuple:
@@ -309,6 +338,7 @@ class Wrapper:
                 elif sig != "#":
                     number = len(self.parents)
                     self.parents.append(parent)
+                    self.tags.append(sig.partition(".")[0])
                     at.setdefault(sig, []).append(len(numbers))
                     again.append(len(numbers) if repeated and start is None else start)
                     numbers.append(number)
@@ -339,10 +369,14 @@ class Wrapper:
                 todo.append((child, inside[here]))
 
     def within(self, place: int, element: int) -> bool:
+        """Whether a place is an element or inside it; all are inside -1, the page."""
         while place >= 0 and place != element:
             place = self.parents[place]
         return place == element
 
+    def parent(self, place: int) -> int:
+        return self.parents[place] if place >= 0 else -1
+
 
 def _number(node: _Node | None) -> int:
     """The node's place, below the depth limit its ancestor's."""
@@ -456,10 +490,12 @@ def article_slots(tree: str, slots: list[dict], template_pages: int = TEMPLATE_P
     for s in slots:
         x = texts.setdefault(s["slot"], [0, s["least"], s["most"]])
         x[:] = x[0] + s["contents"], min(x[1], s["least"]), max(x[2], s["most"])
-    template = [n for n, (contents, least, most) in texts.items() if n >= 0 and least == most and contents >= template_pages]
-    out = []
+    fixed = {n for n, (contents, least, most) in texts.items() if n >= 0 and least == most and contents >= template_pages}
+    out, template = [], set(fixed)
     for marked in (True, False):
-        own = [s for s in slots if s["marked"] == marked and s["slot"] not in template]
+        own = [s for s in slots if s["marked"] == marked]
+        labels = _labels(wrapper, fixed, [s["slot"] for s in own], headings_only=not marked)
+        own = [s for s in own if s["slot"] not in fixed or s["slot"] in labels]
         running: Counter = Counter()
         for plain in (True, False):
             for s in own:
@@ -468,21 +504,62 @@ def article_slots(tree: str, slots: list[dict], template_pages: int = TEMPLATE_P
             if running and max(running.values()) > 0:
                 break
         if not marked:
-            # Of pages that mark none: all that is in the element around the main slot.
+            # Of pages that mark none: all that is in the element around the main slot, as far up as most of what joins is article.
             around: Counter = Counter()
             for n, r in running.items():
-                around[wrapper.parents[n] if n >= 0 else -1] += r
+                around[wrapper.parent(n)] += r
             holder = max(sorted(around), key=around.__getitem__) if around else -1
             if not around or around[holder] <= 0:
                 out.append([])
                 continue
-            running = Counter({n: r for n, r in running.items() if (wrapper.parents[n] if n >= 0 else -1) == holder})
+            kin = {n for n in running if wrapper.parent(n) == holder}
+            holder = _widened(wrapper, holder, [s for s in slots if not s["marked"]], fixed - labels)
+            running = Counter({n: running[n] for n in kin})
             own = [s for s in own if holder == -1 or s["slot"] >= 0 and wrapper.within(s["slot"], holder)]
         main = max(sorted(running), key=running.__getitem__) if running else -1
-        out.append([s["slot"] for s in own if s["named"] == NOT_NAMED or s["named"] >= 0 and wrapper.within(main, s["named"])])
+        chosen = [s["slot"] for s in own if s["named"] == NOT_NAMED or s["named"] >= 0 and wrapper.within(main, s["named"])]
+        template -= labels & set(chosen)
+        out.append(chosen)
     return sorted(set(out[0])), sorted(set(out[1])), sorted(template)
 
 
+def _labels(wrapper: Wrapper, fixed: set[int], slots: list[int], headings_only: bool) -> set[int]:
+    """Fixed slots that belong to the text around them: their parent holds varying text itself.
+
+    On pages that mark their article that is enough, as all else in it is
+    article by the page's own word; on others it must be a heading with varying text after it.
+    """
+    varying = sorted({n for n in slots if n not in fixed})
+    out = set()
+    for n in fixed & set(slots):
+        near = [v for v in varying if v >= 0 and wrapper.within(v, wrapper.parent(n))]
+        if headings_only:
+            near = [v for v in near if v > n] if wrapper.tags[n] in HEADINGS else []
+        else:
+            near = [v for v in near if wrapper.parent(v) == wrapper.parent(n) or v > n]
+        if near:
+            out.add(n)
+    return out
+
+
+def _widened(wrapper: Wrapper, holder: int, slots: list[dict], template: set[int]) -> int:
+    """The element around ``holder``, as long as of the text that it adds no more is template, named or mostly links than is not."""
+    while holder >= 0:
+        wider = wrapper.parent(holder)
+        good = bad = 0
+        for s in slots:
+            n = s["slot"]
+            if n >= 0 and wrapper.within(n, wider) and not wrapper.within(n, holder):
+                if n in template or s["named"] != NOT_NAMED or 2 * s["linked"] > s["chars"]:
+                    bad += s["chars"]
+                else:
+                    good += s["chars"]
+        if bad > good:
+            break
+        holder = wider
+    return holder
+
+
 def _host_slots(placed: DataFrame) -> DataFrame:
     """host, found: the sums of every slot of a host. Pages of the same content count once, whatever their number."""
     block = placed.select("host", "content", F.explode(F.arrays_zip("slots", "texts", "linked", "marked", "named")).alias("b"))
