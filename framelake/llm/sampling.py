@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framelake.llm.common import materialise
-
 
 def fraction_of(doc_id: Column) -> Column:
     """A number in [0, 1) that a document keeps in every run."""
@@ -16,17 +14,18 @@ def fraction_of(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
 
 
-def bounded_texts(rows: DataFrame, total: int, most_rows: int, most_chars: int) -> pd.DataFrame:
+def bounded_texts(rows: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
     """About ``most_rows`` rows of (doc_id, text, label) at most, and about ``most_chars`` of text, on the driver.
 
-    Rows are chosen by a hash of doc_id, so reruns agree; texts are whole.
+    Rows are chosen by a hash of doc_id and text, so reruns agree and an id that
+    repeats can't swell the sample; equal rows count once. Texts are whole.
     """
-    part = min(1.0, most_rows / max(1, total))
-    chosen = materialise(rows.withColumn("_f", fraction_of(F.col("doc_id"))).filter(F.col("_f") < part))
-    chars = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
-    part *= min(1.0, most_chars / max(1, chars))
-    kept = chosen.filter(F.col("_f") < part).drop("_f").toPandas()
-    return kept.sort_values(["doc_id", "text"], ignore_index=True)
+    draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))
+    rows = rows.select("doc_id", "text", "label", draw.alias("_draw"))
+    n, chars = rows.select("_draw", F.length("text").alias("chars"), "label").distinct().agg(F.count("*"), F.sum("chars")).first()
+    part = min(1.0, most_rows / max(1, n), most_chars / max(1, chars or 0))
+    kept = rows.filter(fraction_of(F.col("_draw")) < part).select("doc_id", "text", "label").distinct().toPandas()
+    return kept.sort_values(["doc_id", "text", "label"], ignore_index=True)
 
 
 def labelled_texts(rows: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
