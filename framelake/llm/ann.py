@@ -123,21 +123,26 @@ def calibrate(tree: KMeansTree, sample: np.ndarray, k: int = K, recall: float =
     return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) if len(needed) else leaves
 
 
-def best(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, query: np.ndarray, own: int, k: int, rough: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best(vectors: np.ndarray, ids: np.ndarray, uids: np.ndarray, query: np.ndarray, own: int, k: int, rough: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, uids, scores) of the k largest inner products, ties to smaller ids; the query's own row takes no part.
 
-    ``rough`` has the products as a matrix product gives them; those that may
-    count are summed again in one fixed order, so that equal vectors tie.
+    ``rough`` has the products as a matrix product gives them, ``reach`` is the
+    longest vector's length; those that may count are summed again in one fixed order, so that equal
+    vectors tie. A product that is too large for a double is infinite, and not a number where
+    parts of both signs are; these come last, after all numbers, and any that isn't finite may count.
     """
-    rough = np.where(uids == own, -np.inf, rough)
-    if len(rough) > k:
-        edge = np.partition(rough, len(rough) - k)[len(rough) - k]
-        at = np.nonzero(rough >= edge - 1e-9 * max(1.0, abs(edge)))[0]
-    else:
-        at = np.arange(len(rough))
-    at = at[uids[at] != own]
-    score = np.multiply(vectors[at], query[None, :]).sum(axis=1)
-    at = at[order := np.lexsort((uids[at], ids[at], -score))[:k]]
+    other = uids != own
+    finite = np.isfinite(rough) & other
+    near = rough[finite]
+    if len(near) > k:
+        edge = np.partition(near, len(near) - k)[len(near) - k]
+        with np.errstate(over="ignore"):
+            slack = 4 * len(query) * np.finfo(np.float64).eps * float(np.linalg.norm(query)) * reach
+        finite &= ~(rough < edge - slack)
+    at = np.nonzero(finite | other & ~np.isfinite(rough))[0]
+    with np.errstate(over="ignore", invalid="ignore"):
+        score = np.multiply(vectors[at], query[None, :]).sum(axis=1)
+    at = at[order := np.lexsort((uids[at], ids[at], np.where(np.isnan(score), 0.0, -score), np.isnan(score)))[:k]]
     return ids[at], uids[at], score[order]
 
 
@@ -151,6 +156,7 @@ def _search_pieces(dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, vectors = None, [], []
         ready: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+        reach = 0.0
         for batch in batches:
             leaf, piece, kind, own, uid = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             matrix = _matrix(batch.column(5), dim)
@@ -168,13 +174,16 @@ def _search_pieces(dim: int, k: int):
                     continue
                 if ready is None:
                     ready = (*np.concatenate(ids, axis=1), np.concatenate(vectors).astype(np.float64)) if ids else (*np.zeros((2, 0), dtype=np.int64), np.zeros((0, dim)))
+                    with np.errstate(over="ignore"):
+                        reach = float(np.linalg.norm(ready[2], axis=1).max(initial=0.0))
                 if len(ready[0]):
                     queries = matrix[a:b].astype(np.float64)
                     for i in range(0, b - a, 256):
-                        rough = queries[i : i + 256] @ ready[2].T
+                        with np.errstate(over="ignore", invalid="ignore"):
+                            rough = queries[i : i + 256] @ ready[2].T
                         for j, row in enumerate(rough):
                             query = a + i + j
-                            found = best(ready[2], ready[0], ready[1], queries[i + j], uid[query], k, row)
+                            found = best(ready[2], ready[0], ready[1], queries[i + j], uid[query], k, row, reach)
                             out.append((np.full(len(found[0]), uid[query]), np.full(len(found[0]), own[query]), *found))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[i] for x in out])) for i in range(5)], names=["query", "query_id", "vec_id", "uid", "score"])
@@ -194,7 +203,7 @@ def nearest(
     row but the query's own is a candidate, so rows that repeat are found as often
     as they occur, and an id that occurs twice has two queries, each with ranks of
     its own. With fewer than ``k`` candidates all are returned. An empty table
-    gives no rows. Further columns are not read. Components are read as they are,
+    gives no rows. A product beyond the range of doubles is infinite, or not a number and then last. Further columns are not read. Components are read as they are,
     floats as floats, others as doubles. The tree is fitted on about ``fit_rows``
     vectors at most, and a leaf is meant to hold about ``leaf`` rows of the table.
     """
@@ -214,13 +223,16 @@ def nearest(
     if not len(chosen):
         chosen = rows.limit(1).toPandas()
     sample = np.stack(chosen["vector"].to_numpy()).astype(np.float64)
+    # The tree sees all vectors at a scale, a power of two, at which the sample's squares are finite.
+    scale = -int(np.frexp(np.abs(sample).max())[1])
+    sample = np.ldexp(sample, scale)
     tree = KMeansTree(sample, max(LEAST, round(leaf * part)))
     visits = calibrate(tree, sample, k, recall)
     shared = spark.sparkContext.broadcast(tree)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            filed = shared.value.file(_matrix(batch.column(1), dim).astype(np.float64))
+            filed = shared.value.file(np.ldexp(_matrix(batch.column(1), dim).astype(np.float64), scale))
             yield pa.RecordBatch.from_arrays([pa.array(filed), *(batch.column(i) for i in range(3))], names=["leaf", "id", "vector", "uid"])
 
     # The rows' own numbers hold, as they are written with the rows.
@@ -232,7 +244,7 @@ def nearest(
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = _matrix(batch.column(1), dim).astype(np.float64)
+            matrix = np.ldexp(_matrix(batch.column(1), dim).astype(np.float64), scale)
             leaves = [shared.value.visits(q, visits, rows_in, k + 1) for q in matrix]
             yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.list_(pa.int64())), *(batch.column(i) for i in range(3))], names=["leaves", "id", "vector", "uid"])
 
@@ -245,5 +257,7 @@ def nearest(
     )
     met = vectors.unionByName(queries).repartition("leaf", "piece").sortWithinPartitions("leaf", "piece", "kind")
     found = met.mapInArrow(_search_pieces(dim, k), "query long, query_id long, vec_id long, uid long, score double")
-    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id", "uid")
+    # Scores that are not numbers come last.
+    number = F.when(~F.isnan("score"), F.col("score"))
+    order = Window.partitionBy("query").orderBy(number.desc_nulls_last(), "vec_id", "uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
