@@ -4,7 +4,7 @@ Hosts that link to each other are edges, weighted by links. Trust is a
 personalised PageRank from the hosts whose pages rules mostly allow, along the
 links; distrust one from the hosts whose pages rules mostly block, against the
 links: who links to a blocked host is suspect. A page without a rule takes its
-host's verdict: block if distrust exceeds trust.
+host's verdict: block if distrust exceeds trust by more than rounding can.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ RULES = (
 DAMPING, ROUNDS = 0.85, 16
 #: Mass that is left when even equal trust and distrust are taken as they are.
 TOLERANCE = 1e-12
+#: Distrust blocks where it exceeds trust by more than this share of it; sums in another order differ by far less, and equal ones allow.
+MARGIN = 1e-10
 _EVERY = 4
 #: Host of an absolute link, for Java's and RE2's regular expressions alike.
 LINK_PATTERN = r"""(?i)href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
@@ -117,7 +119,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     facts = materialise(hosts.select("host", "pages").join(masses, "host"))
     judged = join_group_facts(rows.drop("links"), facts, "host", "pages", rows.count())
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    own = F.when(distrust > trust, "block").otherwise("allow")
+    own = F.when(distrust > trust * (1 + MARGIN), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))
 
 
@@ -156,6 +158,6 @@ edges AS (SELECT kind, src, dst, n::DOUBLE / sum(n) OVER (PARTITION BY kind, src
 r0 AS (SELECT kind, host, seed AS mass FROM seeds){steps},
 masses AS (
   SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM r{rounds} GROUP BY host)
-SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN coalesce(m.distrust, 0) > coalesce(m.trust, 0) THEN 'block' ELSE 'allow' END) AS verdict
+SELECT j.page_id, j.host, j.path, j.rule, coalesce(j.verdict, CASE WHEN coalesce(m.distrust, 0) > coalesce(m.trust, 0) * (1 + {MARGIN!r}::DOUBLE) THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged j LEFT JOIN masses m ON m.host = j.host
 """
