@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from framelake import functions as fn
 from framelake.operators import evaluation as ev
 from framelake.operators import features as ft
+from framelake.operators import flow as fl
 from framelake.operators import frames as fr
 from framelake.operators import geometry as geo
 from framelake.operators import images as im
 from framelake.operators import losses as ls
+from framelake.operators import marching as mi
 from framelake.operators import resize as rs
 from framelake.operators import temporal as tp
 from framelake.plans import queries as q
@@ -194,6 +196,23 @@ def c01(spark, sf):
     return im.baseline_stereo(v.pixels(spark, sf), H, W, 12).select(*PIXEL, "r", "g", "b")
 
 
+@query("w13_marching_inpaint")
+def w13(spark, sf):
+    return mi.marching_inpaint(fr.with_holes(v.pixels(spark, sf), H, W), H, W).select(*PIXEL, "r", "g", "b")
+
+
+@query("c01_baseline_marched")
+def c01_marched(spark, sf):
+    return mi.baseline_stereo_marched(v.pixels(spark, sf), H, W, 12).select(*PIXEL, "r", "g", "b")
+
+
+@query("r07_flow_smoothed")
+def r07(spark, sf):
+    """Flow of each frame's red channel from the one before, and depth smoothed along it."""
+    frames = tp.as_frames(q.dense_pixels(spark, sf), ("r", "depth")).withColumnRenamed("r", "gray")
+    return tp.as_pixels(tp.smooth_along_flow(fl.optical_flow(frames, H, W), 0.5, H, W), "depth", W)
+
+
 # Cameras
 
 
