@@ -147,7 +147,7 @@ def depth_hypotheses(least: Column, most: Column, jitter: Column, bins: int = 48
 
 
 def perturbed_hypotheses(depth: Column, least: Column, most: Column, share: float, samples: int) -> Column:
-    """Array of depths around one: steps of ``share`` of the inverse range, from -samples / 2 on, kept inside it."""
+    """Array of depths around one: steps of ``share`` of the inverse range, from -samples / 2, rounded down, on, kept inside it."""
     far, near = 1 / most, 1 / least
-    steps = F.sequence(F.lit(-(samples // 2)), F.lit(-(samples // 2) + samples - 1))
+    steps = F.sequence(F.lit((-samples) // 2), F.lit((-samples) // 2 + samples - 1))
     return F.transform(steps, lambda k: 1 / F.least(F.greatest(1 / depth + (near - far) * share * k, far), near))

@@ -120,6 +120,11 @@ def low_width(h: Column, w: Column, low_h: int) -> Column:
     return v - v % 2
 
 
+def low_disparity(disparity: Column | float, w: Column, low_w: Column) -> Column:
+    """A disparity in pixels of the original width, in pixels of the low one."""
+    return low_w * disparity / w
+
+
 def shrunk_input_size(h: Column, w: Column, size: int = 518) -> Column:
     """Input size, less for images of an aspect over 1.78."""
     ratio = F.greatest(h, w) / F.least(h, w)

@@ -241,18 +241,18 @@ def fit_scale_shift(p: np.ndarray, t: np.ndarray) -> tuple[float, float]:
     return ((n * pt - sp * st) / det, (-sp * pt + pp * st) / det) if det else (1.0, 0.0)
 
 
-def alignment_chain(predicted: np.ndarray, length: int | None = None) -> np.ndarray:
+def alignment_chain(predicted: np.ndarray, length: int | None = None, metric: bool = False) -> np.ndarray:
     """Aligned depth of a clip from its windows' predictions, (windows, 32, ...), in the first window's scale.
 
     Every later window is fitted by its slots 0 and 1 to the first window's frame
     0, as it was predicted, and to slot 12 of the window before, aligned; it is
     cut at 0 and faded in over the overlap. ``length`` frames stay: windows pad
-    the tail.
+    the tail. ``metric`` depth has a scale already and is only cut and faded.
     """
     out = [f for f in predicted[0]]
     first, shared = predicted[0][0], predicted[0][12]
     for window in predicted[1:]:
-        scale, shift = fit_scale_shift(window[:2].ravel(), np.concatenate([first.ravel(), shared.ravel()]))
+        scale, shift = (1.0, 0.0) if metric else fit_scale_shift(window[:2].ravel(), np.concatenate([first.ravel(), shared.ravel()]))
         aligned = np.maximum(window * scale + shift, 0)
         for j in range(FADE):
             weight = j / (FADE - 1)
@@ -262,7 +262,7 @@ def alignment_chain(predicted: np.ndarray, length: int | None = None) -> np.ndar
     return np.array(out[:length])
 
 
-def align_windows(rows: DataFrame, key: str = "video") -> DataFrame:
+def align_windows(rows: DataFrame, key: str = "video", metric: bool = False) -> DataFrame:
     """key, frame, value from rows (key, window, slot, frame, value): alignment_chain for each key, a clip of scalars.
 
     One row comes back for each frame. A clip is sequential by nature, so it is
@@ -271,7 +271,7 @@ def align_windows(rows: DataFrame, key: str = "video") -> DataFrame:
 
     def chain(clip: pd.DataFrame) -> pd.DataFrame:
         clip = clip.sort_values(["window", "slot"])
-        values = alignment_chain(clip["value"].to_numpy(dtype=float).reshape(-1, WINDOW, 1), int(clip["frame"].max()) + 1)[:, 0]
+        values = alignment_chain(clip["value"].to_numpy(dtype=float).reshape(-1, WINDOW, 1), int(clip["frame"].max()) + 1, metric)[:, 0]
         return pd.DataFrame({key: clip[key].iloc[0], "frame": np.arange(len(values)), "value": values})
 
     return rows.groupBy(key).applyInPandas(chain, f"{key} {rows.schema[key].dataType.simpleString()}, frame long, value double")
@@ -324,6 +324,6 @@ def next_frames(rows: DataFrame, keys: list[str], item: str, order: str = "frame
 
 
 def sampled_views(rows: DataFrame, keys: list[str], item: str, n: int, seed: str = "views") -> DataFrame:
-    """``n`` views of each sample without replacement, the same ones in every run."""
-    draw = F.md5(F.concat(F.lit(seed + ":"), F.col(item).cast("string")).cast("binary"))
+    """``n`` views of each sample without replacement, drawn by the sample's keys and the item, so the same ones in every run."""
+    draw = F.md5(F.concat_ws(":", F.lit(seed), *keys, item).cast("binary"))
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(draw, item))).filter(F.col("_r") <= n).drop("_r")

@@ -34,7 +34,7 @@ def p01(spark, sf):
 @query("p13_low_width", f"WITH {q._SIZES}, l AS (SELECT *, CAST(round_even(w * 294 / CAST(h AS DOUBLE), 0) AS INTEGER) AS lw FROM sz) SELECT p_partkey, lw - lw % 2 AS low_w, round(24.0::DOUBLE * (lw - lw % 2) / w, 6) AS disparity FROM l")
 def p13(spark, sf):
     low = q.sizes(spark, sf).withColumn("low_w", rs.low_width(F.col("h"), F.col("w"), 294))
-    return low.select("p_partkey", "low_w", r6(F.col("low_w") * 24.0 / F.col("w"), "disparity"))
+    return low.select("p_partkey", "low_w", r6(rs.low_disparity(24.0, F.col("w"), F.col("low_w")), "disparity"))
 
 
 def _anchors(c: int) -> str:
@@ -391,7 +391,7 @@ def o03(spark, sf):
     return v.manifest_rows(spark, sf).select("dataset", "scene", "image", F.row_number().over(order).alias("place"))
 
 
-@query("o08_sampled_views", f"WITH {MAN}, r AS (SELECT dataset, scene, image, row_number() OVER (PARTITION BY dataset, scene ORDER BY md5('views:' || image), image) AS r FROM man) SELECT dataset, scene, image FROM r WHERE r <= 3")
+@query("o08_sampled_views", f"WITH {MAN}, r AS (SELECT dataset, scene, image, row_number() OVER (PARTITION BY dataset, scene ORDER BY md5(concat_ws(':', 'views', dataset, scene, image)), image) AS r FROM man) SELECT dataset, scene, image FROM r WHERE r <= 3")
 def o08(spark, sf):
     return tp.sampled_views(v.manifest_rows(spark, sf), ["dataset", "scene"], "image", 3).select("dataset", "scene", "image")
 

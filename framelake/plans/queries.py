@@ -5,6 +5,8 @@ Derived doubles are rounded to six places on both sides.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,10 @@ from framelake.operators import resize as rs
 from framelake.operators import temporal as tp
 from framelake.plans import views as v
 from framelake.plans.registry import FOCAL, MAX_DISPARITY, MOVE, ORACLES, PIXEL, QUERIES, nudged, nudged_sql, query, r6, r6s
+from framelake.plans.streams import stream_folder
 from framelake.plans.views import DENSE, FR, GRID, H, MAN, PG, PX, W
 from framelake.sources import manifest as mf
-from framelake.sources.listing import view_table, with_names
+from framelake.sources.listing import split_list, view_table, with_names
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -81,7 +84,11 @@ def s13(spark, sf):
 
 @query("s17_split_list", "SELECT DISTINCT source, lang FROM documents WHERE source <> '' AND lang IS NOT NULL")
 def s17(spark, sf):
-    return v.table(spark, sf, "documents").select("source", "lang").filter("source <> '' AND lang IS NOT NULL").distinct()
+    """List files, a folder for each source and in it a line for each language, read again."""
+    folder = f"{stream_folder(spark)}/{uuid.uuid4()}"
+    lines = v.table(spark, sf, "documents").select("source", F.concat(F.lit(" "), "lang").alias("value")).filter("source <> '' AND lang IS NOT NULL").distinct()
+    lines.repartition("source").write.partitionBy("source").text(folder)
+    return split_list(spark, [f"{folder}/source=*"]).select(F.regexp_extract("folder", "source=(.*)$", 1).alias("source"), F.col("line").alias("lang"))
 
 
 @query("j01_positional_zip", "WITH a AS (SELECT s_nationkey AS nation, s_name AS image, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_name) AS place FROM supplier), b AS (SELECT c_nationkey AS nation, c_name AS depth, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS place FROM customer) SELECT nation, CAST(place AS INTEGER) AS place, image, depth FROM a JOIN b USING (nation, place)")
@@ -318,10 +325,11 @@ def p21(spark, sf):
     return z_pixels(spark, sf).select(*PIXEL, r6(u, "u"), r6(w, "v"))
 
 
-@query("p22_view_change", f"WITH {PX}, {_CAM}, n AS (SELECT *, greatest(sqrt(cx * cx + cy * cy + z * z), 1e-6) AS la, greatest(sqrt((cx - 1) * (cx - 1) + cy * cy + z * z), 1e-6) AS lb FROM c) SELECT video, frame, y, x, round((cx / la) * ((cx - 1) / lb) + (cy / la) * (cy / lb) + (z / la) * (z / lb), 6) AS cosine FROM n")
+@query("p22_view_change", f"WITH {PX}, {_CAM}, n AS (SELECT *, greatest(sqrt(cx * cx + cy * cy + z * z), 1e-6) AS la, greatest(sqrt((cx - 1) * (cx - 1) + cy * cy + z * z), 1e-6) AS lb FROM c) SELECT video, frame, y, x, round((cx / la) * ((cx - 1) / lb) + (cy / la) * (cy / lb) + (z / la) * (z / lb), 6) AS cosine, round(dx / ld, 6) AS dx, round(dy / ld, 6) AS dy, round(dz / ld, 6) AS dz FROM (SELECT *, greatest(sqrt(dx * dx + dy * dy + dz * dz), 1e-6) AS ld FROM (SELECT *, cx / la - (cx - 1) / lb AS dx, cy / la - cy / lb AS dy, z / la - z / lb AS dz FROM n))")
 def p22(spark, sf):
     c = list(geo.unproject(F.col("x"), F.col("y"), F.col("z"), W, H, FOCAL))
-    return z_pixels(spark, sf).select(*PIXEL, r6(geo.view_direction_change(c, [c[0] - 1, c[1], c[2]])[3], "cosine"))
+    found = geo.view_direction_change(c, [c[0] - 1, c[1], c[2]])
+    return z_pixels(spark, sf).select(*PIXEL, *[r6(f, n) for f, n in zip(found, ("dx", "dy", "dz", "cosine"), strict=True)])
 
 
 _POSED = f"""{PX}, fr AS (SELECT DISTINCT video, frame, 0.03::DOUBLE * frame + 0.2::DOUBLE * (ascii(video) % 3) AS angle FROM px)"""

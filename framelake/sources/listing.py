@@ -37,8 +37,9 @@ def _files(spark: SparkSession, path: str | list[str], pattern: str, recursive:
 
 
 def split_list(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """source, line: non-empty lines of list files, one sample each."""
-    return spark.read.text(paths).select(stem(F.input_file_name()).alias("source"), F.trim("value").alias("line")).filter("line <> ''")
+    """source, folder, line: non-empty lines of list files, one sample each; the file's stem and the name of its folder."""
+    folder = basename(F.regexp_replace(F.input_file_name(), r"/[^/]*$", ""))
+    return spark.read.text(paths).select(stem(F.input_file_name()).alias("source"), folder.alias("folder"), F.trim("value").alias("line")).filter("line <> ''")
 
 
 def category_objects(spark: SparkSession, root: str, stage: str, prefix: str = "softras_") -> DataFrame:
