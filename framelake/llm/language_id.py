@@ -45,17 +45,17 @@ def _read(texts: list[bytes]):
 
 
 def _letters(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the words, each between edge marks, and the word of each place."""
-    joined = " " + " ".join(words) + " "
+    """Code points of the words, each after an edge mark, and the word of each place."""
+    joined = "".join(f" {w}" for w in words)
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
     return points, np.cumsum(points == _EDGE) - 1
 
 
 def _ngram_hashes(points: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n letters from each place on; edge marks count as letters."""
+    """Hash of the n letters from each place on; edge marks count as letters. None where there are fewer than n."""
     out = np.full(max(0, len(points) - n + 1), n, dtype=np.uint64)
     for i in range(n):
-        out = mix(out * _M + points[i : len(points) - n + 1 + i])
+        out = mix(out * _M + points[i : i + len(out)])
     return out
 
 
@@ -109,16 +109,14 @@ class LanguageModel:
         self.words = _Table(join(names, np.uint64)[often], languages_of[often], weights[often], n, words)
         self.ngrams = []
         points, word = _letters(spelled)
-        word = np.minimum(word, max(0, len(spelled) - 1))
         for size in range(ngram, 0, -1):
             hashes = _ngram_hashes(points, size)
-            at = np.nonzero(word[: len(hashes)] == word[size - 1 : size - 1 + len(hashes)])[0] if size > 1 and len(spelled) else np.arange(len(hashes) if len(spelled) else 0)
+            at = np.nonzero(word[: len(hashes)] == word[size - 1 : size - 1 + len(hashes)])[0]
             self.ngrams.append((size, _Table(hashes[at], np.array(spelled_of, dtype=np.int64)[word[at]], np.log1p(weights)[word[at]], n, ngrams)))
 
     def _spelled_scores(self, words: list[str]) -> np.ndarray:
         """Mean log frequency over each word's places, by the longest n-gram known at each."""
         points, word = _letters(words)
-        word = np.minimum(word, len(words) - 1)
         place_scores = np.zeros((len(points), len(self.languages)), dtype=np.float32)
         open_ = np.ones(len(points), dtype=bool)
         for size, table in self.ngrams:
