@@ -98,6 +98,18 @@ def known_depth(values: Column, unknown: float = -1.0) -> Column:
     return F.transform(values, lambda v: F.nullif(v, F.lit(float(unknown)).cast("float")))
 
 
+def cropped(rasters: DataFrame, crop: Crop) -> DataFrame:
+    """RASTERS rows cut to ``crop``, which is kept within each one; the folder sink then writes the copies."""
+    top, left = F.lit(crop[0]), F.lit(crop[2])
+    h = F.greatest(F.least(F.lit(crop[1]), "h") - top, F.lit(0))
+    w = F.greatest(F.least(F.lit(crop[3]), "w") - left, F.lit(0))
+    row = lambda y: F.slice("values", (y * F.col("w") + left) * F.col("channels") + 1, F.col("_w") * F.col("channels"))
+    rows = F.flatten(F.transform(F.sequence(top, top + F.col("_h") - 1), row))
+    others = [c for c in rasters.columns if c not in ("h", "w", "values")]
+    cut = rasters.withColumn("_h", h).withColumn("_w", w).filter("_h > 0 AND _w > 0").withColumn("values", rows)
+    return cut.select(*others, F.col("_h").alias("h"), F.col("_w").alias("w"), "values").select(*rasters.columns)
+
+
 def png_images(frames: DataFrame, bits: int = 8) -> DataFrame:
     """Add content: each frame's values (h, w, channels, values) as a PNG.
 

@@ -1,4 +1,4 @@
-"""Binary raster formats to frame rows: .dpt, .pfm, .npy, .png."""
+"""Binary raster formats to frame rows: .dpt, .pfm, .npy, .png, .exr."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framelake.schemas import RASTERS
+from framelake.sources.exr import read_depth_exr
 from framelake.sources.png import read_png
 
 #: First four bytes of a .dpt file, as a float.
@@ -45,7 +46,7 @@ def read_npy(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False).astype(np.float32)
 
 
-READERS = {"dpt": read_dpt, "pfm": read_pfm, "npy": read_npy, "png": read_png}
+READERS = {"dpt": read_dpt, "pfm": read_pfm, "npy": read_npy, "png": read_png, "exr": read_depth_exr}
 
 
 def decode(data: bytes, path: str) -> tuple[int, int, int, np.ndarray]:
@@ -54,7 +55,7 @@ def decode(data: bytes, path: str) -> tuple[int, int, int, np.ndarray]:
     return h, w, image.size // (h * w), np.ascontiguousarray(image, dtype=np.float32).ravel()
 
 
-def read_rasters(spark: SparkSession, path: str, pattern: str = "*.{dpt,pfm,npy,png}") -> DataFrame:
+def read_rasters(spark: SparkSession, path: str, pattern: str = "*.{dpt,pfm,npy,png,exr}") -> DataFrame:
     """path, h, w, channels, values of each raster file below a folder. A malformed file raises."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
 

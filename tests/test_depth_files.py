@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from framelake.sources import depth_maps, folders, png, rasters
+from framelake.sources import depth_maps, exr, folders, png, rasters
 from pyspark.sql import functions as F
 
 
@@ -176,3 +176,64 @@ def test_frames_as_a_stream_lose_and_repeat_none_across_restarts(spark, tmp_path
     got = sorted(r.v for r in spark.read.parquet(out).collect())
     done = len(got)
     assert max(sizes) <= 5 and got == [float(i) for i in range(done)] and done >= 15
+
+
+def exr_file(channels, compression, window=(0, 0)):
+    """An EXR written from the format's description; ZIP blocks are split into halves and differences."""
+    names = sorted(channels)
+    h, w = channels[names[0]].shape
+    kinds = {np.dtype("<u4"): 0, np.dtype("<f2"): 1, np.dtype("<f4"): 2}
+    chlist = b"".join(n.encode() + b"\0" + struct.pack("<iiii", kinds[channels[n].dtype], 0, 1, 1) for n in names) + b"\0"
+    x0, y0 = window
+    box = struct.pack("<iiii", x0, y0, x0 + w - 1, y0 + h - 1)
+    head = struct.pack("<ii", 20000630, 2)
+    for name, kind, value in (("channels", "chlist", chlist), ("compression", "compression", bytes([compression])), ("dataWindow", "box2i", box), ("lineOrder", "lineOrder", b"\0")):
+        head += name.encode() + b"\0" + kind.encode() + b"\0" + struct.pack("<i", len(value)) + value
+    head += b"\0"
+    lines, blocks = {0: 1, 2: 1, 3: 16}[compression], []
+    for y in range(0, h, lines):
+        raw = b"".join(channels[n][r].tobytes() for r in range(y, min(h, y + lines)) for n in names)
+        if compression:
+            split = raw[::2] + raw[1::2]
+            packed = zlib.compress(bytes([split[0], *((split[i] - split[i - 1] + 128) & 255 for i in range(1, len(split)))]))
+            raw = packed if len(packed) < len(raw) else raw
+        blocks.append(struct.pack("<ii", y0 + y, len(raw)) + raw)
+    at = len(head) + 8 * len(blocks)
+    table = b""
+    for b in blocks:
+        table, at = table + struct.pack("<Q", at), at + len(b)
+    return head + table + b"".join(blocks)
+
+
+@pytest.mark.parametrize("compression", [0, 2, 3])
+def test_exr_images(spark, tmp_path, compression):
+    rng = np.random.default_rng(compression)
+    smooth = np.add.outer(np.arange(37), np.arange(21)).astype("<f4")
+    channels = {"R": rng.normal(size=(37, 21)).astype("<f4"), "G": smooth.astype("<f2"), "B": smooth, "id": rng.integers(0, 9, (37, 21)).astype("<u4")}
+    channels["B"][3, 4] = np.inf
+    data = exr_file(channels, compression, (5, -7))
+    got = exr.read_exr(data)
+    assert got.keys() == channels.keys() and all(np.array_equal(got[n], channels[n]) and got[n].dtype == channels[n].dtype for n in channels)
+    depth = exr.read_depth_exr(data)
+    assert depth[3, 4] == 0 and np.array_equal(np.delete(depth.ravel(), 3 * 21 + 4), np.delete(smooth.ravel(), 3 * 21 + 4))
+    (tmp_path / "a.exr").write_bytes(data)
+    (tmp_path / "one.exr").write_bytes(exr_file({"Z": smooth[:2]}, compression))
+    rows = {r.path.rsplit("/", 1)[-1]: r for r in rasters.read_rasters(spark, str(tmp_path)).collect()}
+    assert np.array_equal(rows["a.exr"]["values"], depth.ravel()) and (rows["one.exr"].h, rows["one.exr"].w) == (2, 21)
+    for bad in (b"x" * 20, data[:4] + struct.pack("<i", 0x202) + data[8:], exr_file({"Z": smooth}, 0).replace(b"compression\0\x01\0\0\0\0", b"compression\0\x01\0\0\0\x04")):
+        with pytest.raises(ValueError, match="EXR"):
+            exr.read_exr(bad)
+
+
+def test_cropped_copies(spark, tmp_path):
+    spark.dataSource.register(folders.RasterFolder)
+    rng = np.random.default_rng(9)
+    gray, colour = rng.integers(0, 256, (6, 9)), rng.integers(0, 256, (5, 8, 3))
+    rows = [("g.png", 6, 9, 1, [float(v) for v in gray.ravel()]), ("c/c.png", 5, 8, 3, [float(v) for v in colour.ravel()]), ("small.png", 1, 1, 1, [0.0])]
+    out = str(tmp_path / "out")
+    depth_maps.cropped(spark.createDataFrame(rows, SCHEMA), (1, 6, 2, 7)).write.format("raster_folder").option("kind", "png").mode("append").save(out)
+    assert [os.path.relpath(p, out) for p in folders.rasters_below(out)] == ["c/c.png", "g.png"]
+    with open(f"{out}/g.png", "rb") as f:
+        assert np.array_equal(png.read_png(f.read()), gray[1:6, 2:7])
+    with open(f"{out}/c/c.png", "rb") as f:
+        assert np.array_equal(png.read_png(f.read()), colour[1:5, 2:7])
