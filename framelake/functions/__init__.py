@@ -29,10 +29,6 @@ def balanced(c: Column) -> Column:
     return (c - 0.5) / 0.5
 
 
-def unbalanced(c: Column) -> Column:
-    return c * 0.5 + 0.5
-
-
 def standardise(c: Column, mean: float, std: float) -> Column:
     return (c - mean) / std
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framelake.schemas import RASTERS
+from framelake.sources.manifest import DATASETS, FACTORS
 from framelake.sources.png import read_png, write_png
 from framelake.sources.rasters import READERS
 
@@ -93,6 +94,17 @@ def true_depth(files: DataFrame, unknown: float | None = -1.0, factor: str = "fa
     return _each(files, read)
 
 
+def dataset_factor(dataset: Column) -> Column:
+    """What divides raw depth of a benchmark dataset, by its name without what follows an underscore; null for others."""
+    table = F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])
+    return table[F.substring_index(dataset, "_", 1)]
+
+
+def dataset_crop(dataset: str) -> Crop:
+    """The part of a benchmark dataset's depth maps that is evaluated; negative ends count from the far edge."""
+    return DATASETS[dataset][3:]
+
+
 def known_depth(values: Column, unknown: float = -1.0) -> Column:
     """An array of depth with null in place of unknown values."""
     return F.transform(values, lambda v: F.nullif(v, F.lit(float(unknown)).cast("float")))

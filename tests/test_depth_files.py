@@ -106,6 +106,16 @@ def test_true_depth_and_its_sentinels(spark):
     assert [v is None for v in known] == [True, False, False, False, True, False]
 
 
+def test_factors_and_crops_of_datasets(spark):
+    rows = spark.createDataFrame([("kitti_500",), ("bonn",), ("mine",)], "d string")
+    assert [r.f for r in rows.select(depth_maps.dataset_factor(F.col("d")).alias("f")).collect()] == [256.0, 5000.0, None]
+    raw = np.arange(400 * 1300, dtype=np.float32).reshape(400, 1300)
+    kept = depth_maps.predicted_depth(files(spark, [("a.npy", folders.as_bytes(raw, "npy"))]), crop=depth_maps.dataset_crop("kitti")).first()
+    assert (kept.h, kept.w) == (374, 1242) and kept["values"][1242] == 1300.0
+    kept = depth_maps.predicted_depth(files(spark, [("a.npy", folders.as_bytes(raw, "npy"))]), crop=depth_maps.dataset_crop("scannet")).first()
+    assert (kept.h, kept.w) == (384, 1278) and kept["values"][0] == 8 * 1300.0 + 11
+
+
 def test_images_of_depth(spark):
     rows = [("a", 1, 4, 1, [-3.0, 1.9, 255.5, 300.0]), ("b", 1, 4, 1, [65536.0, 65537.9, float("nan"), None])]
     frames = spark.createDataFrame(rows, "path string, h int, w int, channels int, values array<double>")

@@ -146,5 +146,8 @@ def test_library_stands_without_the_text_package(tmp_path):
     done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; assert 'a18_aligned_eval' in e.queries() and not any(n.startswith('op') for n in e.queries() if n[2:3].isdigit())"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     shutil.copytree(f"{root}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    # Every test of the rest can be collected there; some run.
+    done = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "-p", "no:cacheprovider", "tests"], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout
     done = subprocess.run([sys.executable, "-m", "pytest", "-q", "-p", "no:cacheprovider", "tests", "-k", "manifest_with_cameras or entry_and_names or general_inverse"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0 and "3 passed" in done.stdout, done.stdout
