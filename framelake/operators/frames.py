@@ -201,6 +201,11 @@ def compose_stereo(left: DataFrame, right: DataFrame, layout: str, h: int, w: in
     raise ValueError(f"unknown layout {layout}")
 
 
+def mask_sets(px: DataFrame, first: Column, second: Column) -> DataFrame:
+    """video, frame, either, both: pixels of the union and of the intersection of two masks; null is outside."""
+    return px.groupBy(*FRAME).agg(F.count(F.when(first | second, 1)).alias("either"), F.count(F.when(first & second, 1)).alias("both"))
+
+
 def mask_iou(px: DataFrame, first: Column, second: Column) -> DataFrame:
     """Intersection over union of two masks by frame, null for two empty masks."""
     a, b = first.cast("int"), second.cast("int")

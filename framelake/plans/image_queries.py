@@ -119,7 +119,7 @@ def f06(spark, sf):
 @query("u04_mask_sets", f"WITH {PX} SELECT video, frame, CAST(count(*) FILTER (r > 25 OR g > 0.05) AS BIGINT) AS either, CAST(count(*) FILTER (r > 25 AND g > 0.05) AS BIGINT) AS both FROM px GROUP BY 1, 2")
 def u04(spark, sf):
     a, b = F.col("r") > 25, F.col("g") > 0.05
-    return v.pixels(spark, sf).groupBy("video", "frame").agg(F.count(F.when(a | b, 1)).alias("either"), F.count(F.when(a & b, 1)).alias("both"))
+    return fr.mask_sets(v.pixels(spark, sf), a, b)
 
 
 @query("s09_ground_truth", f"WITH {PX}, {DENSE} SELECT video, frame, y, x, {nudged_sql('nullif(depth / 256.0::DOUBLE, 0)', 'gt')} FROM dense")
@@ -318,10 +318,10 @@ def a28(spark, sf):
     return ls.video_depth_loss(q.rated(spark, sf)).select("video", *r6s("spatial", "stable", "total"))
 
 
-@query("a31_split_psnr", f"WITH {q._NORM}, {q._RIGHT}, p AS (SELECT video, frame, 10.0 * log10(1 / avg((px.g - rp.g) * (px.g - rp.g) + (px.b - rp.b) * (px.b - rp.b))) AS psnr FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2) SELECT video, round(avg(psnr), 6) AS psnr_all, round(avg(psnr) FILTER (frame % 3 <> 1), 6) AS psnr_rest FROM p GROUP BY 1")
+@query("a31_split_psnr", f"WITH {q._NORM}, {q._RIGHT}, p AS (SELECT video, frame, 10.0 * log10(1 / avg((px.r - rp.r) * (px.r - rp.r) + (px.g - rp.g) * (px.g - rp.g) + (px.b - rp.b) * (px.b - rp.b))) AS psnr FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2) SELECT video, round(avg(psnr), 6) AS psnr_all, round(avg(psnr) FILTER (frame % 3 <> 1), 6) AS psnr_rest FROM p GROUP BY 1")
 def a31(spark, sf):
-    right = q.right_view(spark, sf).select(*PIXEL, F.col("g").alias("g2"), F.col("b").alias("b2"))
-    each = ev.psnr(v.pixels(spark, sf).join(right, PIXEL), ("g", "b"))
+    right = q.right_view(spark, sf).select(*PIXEL, *[F.col(c).alias(f"{c}2") for c in "rgb"])
+    each = ev.psnr(v.pixels(spark, sf).join(right, PIXEL))
     return ls.split_means(each, ("psnr",), F.col("frame") % 3 == 1, ("video",)).select("video", *r6s("psnr_all", "psnr_rest"))
 
 
@@ -396,9 +396,9 @@ def o08(spark, sf):
     return tp.sampled_views(v.manifest_rows(spark, sf), ["dataset", "scene"], "image", 3).select("dataset", "scene", "image")
 
 
-@query("f11_suffix_filter", "SELECT page_id, url FROM pages WHERE url LIKE '%.html'")
+@query("f11_suffix_filter", "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%.html'")
 def f11(spark, sf):
-    return v.table(spark, sf, "pages").filter(F.endswith("url", F.lit(".html"))).select("page_id", "url")
+    return v.table(spark, sf, "pages").filter(fn.suffix(F.col("url")) == ".html").select("page_id", "url")
 
 
 @query("u01_bag_union", f"WITH {MAN} SELECT scene, image AS path FROM man UNION ALL SELECT scene, gt_depth FROM man UNION ALL SELECT scene, image FROM man WHERE frame % 2 = 0")

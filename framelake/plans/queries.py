@@ -535,10 +535,10 @@ def a29r(spark, sf):
     return ev.stereo_mae(v.pixels(spark, sf), right_view(spark, sf)).select("video", "frame", r6(F.avg("mae").over(upto), "mean"))
 
 
-@query("a30_psnr", f"WITH {_NORM}, {_RIGHT} SELECT video, frame, round(10.0 * log10(1 / avg((px.g - rp.g) * (px.g - rp.g) + (px.b - rp.b) * (px.b - rp.b))), 6) AS psnr FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2")
+@query("a30_psnr", f"WITH {_NORM}, {_RIGHT} SELECT video, frame, round(10.0 * log10(1 / avg((px.r - rp.r) * (px.r - rp.r) + (px.g - rp.g) * (px.g - rp.g) + (px.b - rp.b) * (px.b - rp.b))), 6) AS psnr FROM px JOIN rp USING (video, frame, y, x) GROUP BY 1, 2")
 def a30(spark, sf):
-    right = right_view(spark, sf).select(*PIXEL, F.col("g").alias("g2"), F.col("b").alias("b2"))
-    return ev.psnr(v.pixels(spark, sf).join(right, PIXEL), ("g", "b")).select("video", "frame", r6("psnr", "psnr"))
+    right = right_view(spark, sf).select(*PIXEL, *[F.col(c).alias(f"{c}2") for c in "rgb"])
+    return ev.psnr(v.pixels(spark, sf).join(right, PIXEL)).select("video", "frame", r6("psnr", "psnr"))
 
 
 def _ssim_sql(masked: bool = False) -> str:
@@ -650,10 +650,10 @@ def a49(spark, sf):
     return soft.select("vec_id", r6(ft.photometric_confidence(F.col("p")), "confidence"))
 
 
-@query("o05_sorted_hypotheses", f"WITH {_VEC} SELECT vec_id, round(list_sort(v[1:16])[1], 6) AS least, round(list_sort(v[1:16])[8], 6) AS middle FROM e")
+@query("o05_sorted_hypotheses", f"WITH {_VEC} SELECT vec_id, round(list_sort(v)[1], 6) AS least, round(list_sort(v)[32], 6) AS middle FROM e")
 def o05(spark, sf):
-    ordered = F.array_sort(F.slice("v", 1, 16))
-    return vectors(spark, sf).select("vec_id", r6(F.get(ordered, F.lit(0)), "least"), r6(F.get(ordered, F.lit(7)), "middle"))
+    ordered = F.array_sort("v")
+    return vectors(spark, sf).select("vec_id", r6(F.get(ordered, F.lit(0)), "least"), r6(F.get(ordered, F.lit(31)), "middle"))
 
 
 # Time
