@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from framelake import functions as fn
@@ -20,7 +22,7 @@ from framelake.plans import views as v
 from framelake.plans.registry import FOCAL, MOVE, PIXEL, nudged, nudged_sql, query, r6, r6s
 from framelake.plans.views import DENSE, FR, GRID, MAN, PG, PX, H, W
 from framelake.sources import manifest as mf
-from framelake.sources import depth_maps, rasters, sinks
+from framelake.sources import depth_maps, folders, rasters, sinks
 
 # Channels and levels
 
@@ -459,6 +461,57 @@ def k06(spark, sf):
     return _pixel_rows(depth_maps.true_depth(_as_files(images).withColumn("factor", F.lit(256.0))), "gt")
 
 
+# Levels of the dense raster as files of a kind, and back.
+
+_LEVELS = f"WITH {PX}, {DENSE} SELECT video, frame, y, x, CAST(r AS DOUBLE) AS level FROM dense"
+
+
+def _round_trip(name, kind):
+    @query(name, _LEVELS)
+    def run(spark, sf):
+        content = folders.file_bytes(_frame_rows(spark, sf, "r"), kind)
+        return _pixel_rows(rasters.decode_files(content.select(F.concat("path", F.lit(f".{kind}")).alias("path"), "content")), "level")
+
+
+_round_trip("s10_dpt_frames", "dpt")
+_round_trip("s11_pfm_frames", "pfm")
+_round_trip("s14_npy_frames", "npy")
+
+
+def _written(spark, sf):
+    """A folder that the sink has written the frames to, a file each; the shared folder must be mounted."""
+    from framelake.plans.streams import stream_folder
+
+    spark.dataSource.register(folders.RasterFolder)
+    folder = f"{folders.local(stream_folder(spark))}/{uuid.uuid4()}"
+    frames = _frame_rows(spark, sf, "r").withColumn("path", F.concat("path", F.lit(".npy")))
+    frames.withColumn("values", F.col("values").cast("array<float>")).write.format("raster_folder").option("kind", "npy").mode("append").save(f"{folder}/frames")
+    return folder
+
+
+def _named(found):
+    """The path below the folder again."""
+    return found.withColumn("path", F.concat_ws("/", F.slice(F.split("path", "/"), -2, 2)))
+
+
+@query("k04_written_frames", _LEVELS)
+def k04(spark, sf):
+    return _pixel_rows(_named(spark.read.format("raster_folder").load(f"{_written(spark, sf)}/frames")), "level")
+
+
+@query("s04_streamed_frames", _LEVELS)
+def s04(spark, sf):
+    """The same files as a stream, at most eight to a batch."""
+    folder = _written(spark, sf)
+    stream = spark.readStream.format("raster_folder").option("files_per_batch", 8).option("progress", f"{folder}/progress.json").load(f"{folder}/frames")
+    query_ = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").start()
+    try:
+        query_.processAllAvailable()
+    finally:
+        query_.stop()
+    return _pixel_rows(_named(spark.read.parquet(f"{folder}/out")), "level")
+
+
 def _frame_rows(spark, sf, value):
     """path, h, w, channels, values of each frame; the path says which."""
     frames = tp.as_frames(q.dense_pixels(spark, sf), (value,))
@@ -470,6 +523,6 @@ def _as_files(images):
 
 
 def _pixel_rows(rasters_, name):
-    at = F.split(F.regexp_replace("path", "[.]png$", ""), "/")
+    at = F.split(F.regexp_replace("path", "[.][a-z]+$", ""), "/")
     named = rasters_.select(at[0].alias("video"), at[1].cast("int").alias("frame"), "h", "w", "channels", "values")
     return rasters.to_pixels(named, out=name).select(*PIXEL, name)

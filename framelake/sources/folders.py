@@ -11,8 +11,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from framelake.schemas import RASTERS
@@ -151,6 +153,19 @@ def as_bytes(image: np.ndarray, kind: str) -> bytes:
     raise ValueError(f"no {kind} of {image.shape}")
 
 
+def file_bytes(frames: DataFrame, kind: str) -> DataFrame:
+    """path, content of rows (path, h, w, channels, values), each as a raster file of a kind; what the folder sink writes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            content = []
+            for h, w, channels, values in zip(batch["h"], batch["w"], batch["channels"], batch["values"], strict=True):
+                content.append(as_bytes(np.asarray(values, dtype=np.float32).reshape((h, w) if channels == 1 else (h, w, channels)), kind))
+            yield pd.DataFrame({"path": batch["path"], "content": content})
+
+    return frames.select("path", "h", "w", "channels", "values").mapInPandas(run, "path string, content binary")
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """The files of one task, by their name below the folder, and where they lie until the commit."""

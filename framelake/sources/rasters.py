@@ -57,14 +57,18 @@ def decode(data: bytes, path: str) -> tuple[int, int, int, np.ndarray]:
 
 def read_rasters(spark: SparkSession, path: str, pattern: str = "*.{dpt,pfm,npy,png,exr}") -> DataFrame:
     """path, h, w, channels, values of each raster file below a folder. A malformed file raises."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path", "content")
+    return decode_files(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path))
+
+
+def decode_files(files: DataFrame) -> DataFrame:
+    """path, h, w, channels, values of rows (path, content), by the path's suffix; one raster is held at a time."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(p, *decode(c, p)) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=RASTERS.names)
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                yield pd.DataFrame([(path, *decode(bytes(content), path))], columns=RASTERS.names)
 
-    return files.mapInPandas(run, RASTERS)
+    return files.select("path", "content").mapInPandas(run, RASTERS)
 
 
 def to_pixels(frames: DataFrame, value: str = "values", out: str = "depth") -> DataFrame:
