@@ -100,11 +100,22 @@ def mean_over(rows: DataFrame, names: tuple[str, ...], keys: tuple[str, ...] = (
 
 def robust_bounds(px: DataFrame, value: str = "v", mask: str = "mask", keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
     """keys, middle (lower median, masked-out pixels entering as 0), spread (masked mean absolute deviation, 1e-6 at least; 1 if all is masked out)."""
-    entered = px.withColumn("_e", F.when(F.col(mask), F.col(value)).otherwise(0.0))
-    middle = entered.groupBy(*keys).agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _e)").alias("middle"))
-    off = F.sum(F.when(F.col(mask), F.abs(F.col(value) - F.col("middle"))))
+    found = robust_bounds_of(px, (value,), mask, keys)
+    return found.select(*keys, F.col(f"middle_{value}").alias("middle"), F.col(f"spread_{value}").alias("spread"))
+
+
+def robust_bounds_of(px: DataFrame, values: tuple[str, ...], mask: str = "mask", keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
+    """keys, and middle_<value> and spread_<value> of each value: all middles in one pass, then all spreads."""
+    given = px.select(*keys, mask, *values)
+    entered = given.select(*keys, *[F.when(F.col(mask), F.col(v)).otherwise(0.0).alias(f"_e{i}") for i, v in enumerate(values)])
+    middles = entered.groupBy(*keys).agg(*[F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY _e{i})").alias(f"middle_{v}") for i, v in enumerate(values)])
     known = F.count(F.when(F.col(mask), 1))
-    return px.join(middle, list(keys)).groupBy(*keys, "middle").agg(F.when(known == 0, 1.0).otherwise(F.greatest(F.try_divide(off, known), F.lit(1e-6))).alias("spread"))
+
+    def spread(v: str) -> Column:
+        off = F.sum(F.when(F.col(mask), F.abs(F.col(v) - F.col(f"middle_{v}"))))
+        return F.when(known == 0, 1.0).otherwise(F.greatest(F.try_divide(off, known), F.lit(1e-6))).alias(f"spread_{v}")
+
+    return given.join(middles, list(keys)).groupBy(*keys, *[f"middle_{v}" for v in values]).agg(*[spread(v) for v in values])
 
 
 def trimmed_mae(px: DataFrame, trim: float = 0.2, keys: tuple[str, ...] = SCENE, per_octave: int = 64) -> DataFrame:

@@ -18,10 +18,9 @@ def silog_loss(px: DataFrame, balance: float = 0.5, keys: tuple[str, ...] = ev.S
 
 def robustly_normalised(px: DataFrame, values: tuple[str, ...], mask: str = "mask", keys: tuple[str, ...] = CLIP_FRAME) -> DataFrame:
     """Each of ``values`` less the frame's middle, over its spread, as robust_bounds has them."""
-    for value in values:
-        bounds = ev.robust_bounds(px, value, mask, keys)
-        px = px.join(bounds, list(keys)).withColumn(value, (F.col(value) - F.col("middle")) / F.col("spread")).drop("middle", "spread")
-    return px
+    bounded = px.join(ev.robust_bounds_of(px, values, mask, keys), list(keys))
+    scaled = {v: (F.col(v) - F.col(f"middle_{v}")) / F.col(f"spread_{v}") for v in values}
+    return bounded.withColumns(scaled).select(*px.columns)
 
 
 def trimmed_procrustes(px: DataFrame, alpha: float = 0.5, trim: float = 0.2, keys: tuple[str, ...] = CLIP_FRAME, image: tuple[str, ...] = CLIP_FRAME, normalise: bool = True, frame_h: int | None = None) -> DataFrame:
