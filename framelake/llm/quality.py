@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("doc_id").agg(F.min("label").alias("label"))
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sample = bounded_texts(known.join(texts, "doc_id"), rows, chars)
+    sample = bounded_texts(known, texts, rows, chars)
     return QualityModel(sample["text"].tolist(), sample["label"].tolist())
 
 

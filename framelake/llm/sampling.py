@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framelake.llm.common import materialise
+
 
 def fraction_of(doc_id: Column) -> Column:
     """A number in [0, 1) that a document keeps in every run."""
@@ -14,17 +16,21 @@ def fraction_of(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
 
 
-def bounded_texts(rows: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
+def bounded_texts(known: DataFrame, texts: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
     """About ``most_rows`` rows of (doc_id, text, label) at most, and about ``most_chars`` of text, on the driver.
 
-    Rows are chosen by a hash of doc_id and text, so reruns agree and an id that
-    repeats can't swell the sample; equal rows count once. Texts are whole.
+    ``known`` has doc_id and label, ``texts`` doc_id and text. Rows are chosen by
+    a hash of doc_id and text, so reruns agree and an id that repeats can't swell
+    the sample; equal rows count once. Texts are whole. Only hashes meet labels by
+    shuffle; the chosen ones, bounded by ``most_rows``, then fetch their texts.
     """
-    draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"))
-    rows = rows.select("doc_id", "text", "label", draw.alias("_draw"))
-    n, chars = rows.select("_draw", F.length("text").alias("chars"), "label").distinct().agg(F.count("*"), F.sum("chars")).first()
+    hashed = texts.select("doc_id", F.xxhash64("text").alias("_text"), F.length("text").alias("_chars"))
+    narrow = materialise(hashed.join(known, "doc_id").distinct())
+    n, chars = narrow.agg(F.count("*"), F.sum("_chars")).first()
     part = min(1.0, most_rows / max(1, n), most_chars / max(1, chars or 0))
-    kept = rows.filter(fraction_of(F.col("_draw")) < part).select("doc_id", "text", "label").distinct().toPandas()
+    draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_text")
+    chosen = narrow.filter(fraction_of(draw) < part).select("doc_id", "_text", "label")
+    kept = texts.withColumn("_text", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "_text"]).select("doc_id", "text", "label").distinct().toPandas()
     return kept.sort_values(["doc_id", "text", "label"], ignore_index=True)
 
 

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 
 def test_one_id_cannot_swell_a_sample(spark):
-    many = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.lit(1).alias("label"))
-    sample = bounded_texts(many, 6_000, 10**9)
+    many = spark.range(30_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    known = spark.createDataFrame([(7, 1), (8, 0)], "doc_id long, label int")
+    sample = bounded_texts(known, many, 6_000, 10**9)
     assert 5_500 < len(sample) < 6_500
-    few = bounded_texts(many, 10**9, 5_000)
+    few = bounded_texts(known, many, 10**9, 5_000)
     assert 0 < few.text.str.len().sum() < 6_500
-    same = bounded_texts(many.withColumn("text", F.lit("same")), 6_000, 10**9)
+    same = bounded_texts(known, many.withColumn("text", F.lit("same")), 6_000, 10**9)
     assert same.values.tolist() == [[7, "same", 1]]
 
 
