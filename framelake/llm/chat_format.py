@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,7 +68,7 @@ class Template:
         at = np.nonzero(learned)[0]
         np.add.at(steps, edge[at], 1)
         np.add.at(steps, edge[at + 1], -1)
-        ids = np.fromiter((i for s in segments for i in s), dtype=np.int32, count=edge[-1])
+        ids = np.array(list(chain.from_iterable(segments)), dtype=np.int32)
         return ids, np.cumsum(steps, dtype=np.int8)[:-1]
 
     def spell(self, ids: np.ndarray) -> str:
@@ -87,6 +88,11 @@ class Template:
         return [unescape(self.spell(ids[a:b])) for a, b in zip(np.nonzero(steps == 1)[0], np.nonzero(steps == -1)[0], strict=True)]
 
 
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """Each row's list, as a part of one array."""
+    return np.split(column.flatten().to_numpy(zero_copy_only=False), np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+
+
 def _rows(batch: pa.RecordBatch, columns: dict[str, tuple[pa.DataType, list]]) -> pa.RecordBatch:
     kept = ("conv_id", "part", "piece", "whole")
     schema = pa.schema([*(batch.schema.field(c) for c in kept), *((n, t) for n, (t, _) in columns.items())])
@@ -136,8 +142,7 @@ def read_back(formatted: DataFrame, vocabulary: str = BYTE_LEVEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         template = Template(vocabulary)
         for batch in batches:
-            ids = [np.array(x, dtype=np.int32) for x in batch.column("token_ids").to_pylist()]
-            masks = [np.array(x, dtype=np.int8) for x in batch.column("loss_mask").to_pylist()]
+            ids, masks = (_arrays(batch.column(batch.schema.get_field_index(c))) for c in ("token_ids", "loss_mask"))
             turns = [template.read(x) for x in ids]
             yield _rows(
                 batch,
