@@ -229,9 +229,10 @@ def stereo_mae(left: DataFrame, right: DataFrame, keys: tuple[str, ...] = ("vide
 
 
 def psnr(both: DataFrame, channels: tuple[str, ...] = ("r", "g", "b"), keys: tuple[str, ...] = ("video", "frame")) -> DataFrame:
-    """Squared errors sum over channels and average over pixels."""
+    """Squared errors sum over channels and average over pixels; of equal images the ratio is infinite."""
     square = sum(((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in channels), F.lit(0.0))
-    return both.groupBy(*keys).agg(F.avg(square).alias("mse")).withColumn("psnr", F.lit(10.0) * F.log10(F.try_divide(F.lit(1.0), F.col("mse"))))
+    ratio = F.when(F.col("mse") == 0, F.lit(float("inf"))).otherwise(F.lit(10.0) * F.log10(F.try_divide(F.lit(1.0), F.col("mse"))))
+    return both.groupBy(*keys).agg(F.avg(square).alias("mse")).withColumn("psnr", ratio)
 
 
 def gaussian(size: int = 11, sigma: float = 1.5) -> list[float]:

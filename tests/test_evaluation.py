@@ -206,3 +206,14 @@ def test_strides(spark):
 
 def test_chunks_drop_the_tail(spark):
     assert tp.whole_chunks(stream(spark, range(10)), 4).count() == 8
+
+
+def _images(spark, errors):
+    """Images of two pixels, which differ by the frame's error in each channel of the first."""
+    rows = [("a", frame, x, 0.5, 0.25, 0.0, *[c + (e if x == 0 else 0.0) for c in (0.5, 0.25, 0.0)]) for frame, e in enumerate(errors) for x in range(2)]
+    return spark.createDataFrame(rows, "video string, frame int, x int, r double, g double, b double, r2 double, g2 double, b2 double")
+
+
+def test_psnr_of_equal_images_is_infinite(spark):
+    got = {r.frame: r.psnr for r in ev.psnr(_images(spark, [0.0, 0.5])).collect()}
+    assert got[0] == math.inf and math.isclose(got[1], 10 * math.log10(1 / (3 * 0.25 / 2)))
