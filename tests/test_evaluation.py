@@ -217,3 +217,11 @@ def _images(spark, errors):
 def test_psnr_of_equal_images_is_infinite(spark):
     got = {r.frame: r.psnr for r in ev.psnr(_images(spark, [0.0, 0.5])).collect()}
     assert got[0] == math.inf and math.isclose(got[1], 10 * math.log10(1 / (3 * 0.25 / 2)))
+
+
+def test_split_means_keep_infinite_ratios(spark):
+    from framelake.operators import losses as ls
+
+    each = ev.psnr(_images(spark, [0.5, 0.0, 0.5]))
+    [split] = ls.split_means(each, ("psnr",), F.col("frame") == 1, ("video",)).collect()
+    assert split.psnr_all == math.inf and math.isclose(split.psnr_rest, 10 * math.log10(1 / (3 * 0.25 / 2)))
