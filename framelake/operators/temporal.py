@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,14 +27,43 @@ def with_index(rows: DataFrame, key: str, *order: str) -> DataFrame:
 BLOCK = 4096
 
 
-def _entering(blocks: pd.DataFrame) -> pd.DataFrame:
-    """The smoothed value that enters each block of a key."""
-    blocks = blocks.sort_values("block", ignore_index=True)
-    out, x = [], blocks["first"][0] if len(blocks) else 0.0
-    for factor, offset in zip(blocks["factor"], blocks["offset"], strict=True):
-        out.append(x)
-        x = factor * x + offset
-    return pd.DataFrame({"_key": blocks["_key"], "_block": blocks["block"], "enters": out})
+def _entering(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The smoothed value that enters each block, of blocks in the order of their keys."""
+    last, x = NO_KEY, 0.0
+    for batch in batches:
+        out = []
+        for k, first, factor, offset in zip(_keys(batch["_key"]), batch["first"], batch["factor"], batch["offset"], strict=True):
+            x, last = first if k != last else x, k
+            out.append(x)
+            x = factor * x + offset
+        yield pd.DataFrame({"_of": batch["_key"], "_block": batch["block"], "enters": out})
+
+
+#: Frames that are smoothed together.
+_FRAMES = 1 << 18
+
+
+def _finished(a: float, names: list[str]):
+    """The smoothed frames of blocks (key, idx, v, enters), a step for all blocks of a batch at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy())
+            cuts = np.unique([0, *np.searchsorted(ends, np.arange(_FRAMES, ends[-1] if len(ends) else 0, _FRAMES)), len(ends)])
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                key, idx, v, enters = batch.slice(low, high - low).columns
+                n = pc.list_value_length(v).to_numpy()
+                values, x = v.flatten().to_numpy(zero_copy_only=False), enters.to_numpy(zero_copy_only=False).astype(float)
+                # Longest first, so that the blocks that go on are those up to some place.
+                order = np.argsort(-n, kind="stable")
+                at, x, live = (np.cumsum(n) - n)[order], x[order], np.searchsorted(-n[order], -np.arange(n.max(initial=0)))
+                out = np.empty(len(values))
+                for step, count in enumerate(live):
+                    x = a * values[at[:count] + step] + (1 - a) * x[:count]
+                    out[at[:count] + step] = x
+                yield pa.RecordBatch.from_arrays([key.take(pa.array(np.repeat(np.arange(len(n)), n))), idx.flatten(), pa.array(out, from_pandas=True)], names=names)
+
+    return run
 
 
 def ema(rows: DataFrame, a: float, key: str = "video", value: str = "value", block: int = BLOCK) -> DataFrame:
@@ -52,20 +83,11 @@ def ema(rows: DataFrame, a: float, key: str = "video", value: str = "value", blo
     blocks = given.groupBy("_key", F.floor(F.col("idx") / block).alias("block")).agg(F.sort_array(F.collect_list(F.struct("idx", "v"))).alias("row"))
     fold = F.aggregate("row", F.lit(0.0), lambda acc, r: acc * (1 - a) + r["v"] * a)
     facts = blocks.select("_key", "block", F.pow(F.lit(1.0 - a), F.size("row")).alias("factor"), fold.alias("offset"), F.col("row")[0]["v"].alias("first"))
-    entering = facts.groupBy("_key").applyInPandas(_entering, f"_key {name}, _block long, enters double").withColumnRenamed("_key", "_of")
+    ordered = facts.repartition("_key").sortWithinPartitions("_key", "block")
+    entering = ordered.mapInPandas(_entering, f"_of {name}, _block long, enters double")
     met = blocks.join(entering, F.col("_key").eqNullSafe(F.col("_of")) & (F.col("block") == F.col("_block")))
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, idx, v, x in zip(batch["_key"], batch["idx"], batch["v"], batch["enters"], strict=True):
-                out = []
-                for each in v.tolist():
-                    x = a * each + (1 - a) * x
-                    out.append(x)
-                yield pd.DataFrame({key: pd.Series([k] * len(out), dtype=batch["_key"].dtype), "idx": idx, "smoothed": out})
-
     each = met.select("_key", F.col("row.idx").alias("idx"), F.col("row.v").alias("v"), "enters")
-    return each.mapInPandas(finish, f"{key} {name}, idx long, smoothed double")
+    return each.mapInArrow(_finished(a, [key, "idx", "smoothed"]), f"{key} {name}, idx long, smoothed double")
 
 
 def _in_order(rows: DataFrame, key: str, *columns: str) -> DataFrame:

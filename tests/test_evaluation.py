@@ -225,3 +225,18 @@ def test_split_means_keep_infinite_ratios(spark):
     each = ev.psnr(_images(spark, [0.5, 0.0, 0.5]))
     [split] = ls.split_means(each, ("psnr",), F.col("frame") == 1, ("video",)).collect()
     assert split.psnr_all == math.inf and math.isclose(split.psnr_rest, 10 * math.log10(1 / (3 * 0.25 / 2)))
+
+
+def test_smoothing_takes_no_group_of_its_own_for_each_video(spark):
+    """Many short videos and a long one, of many blocks, without a group in Python for each."""
+    rng = np.random.default_rng(6)
+    values = {**{k: rng.normal(size=1 + k % 7) for k in range(40)}, None: rng.normal(size=90)}
+    rows = spark.createDataFrame([(k, i, float(x)) for k, v in values.items() for i, x in enumerate(v)], "video long, idx long, value double").repartition(3)
+    out = tp.ema(rows, 0.75, block=4)
+    got = {(r.video, r.idx): r.smoothed for r in out.collect()}
+    for k, v in values.items():
+        x = v[0]
+        for i, each in enumerate(v):
+            x = 0.75 * each + 0.25 * x
+            assert math.isclose(got.pop((k, i)), x, rel_tol=1e-12)
+    assert not got and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
