@@ -23,40 +23,54 @@ SECOND_BACK = 41
 Step = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
+#: Values of idx whose waiting frames are one value of the state, so that a call reads or writes them together.
+EARLY = 256
+
+
 class InOrder(StatefulProcessor):
     """Hands over a video's frames in order; what came early is held in state until its turn."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next = handle.getValueState("next", "idx long, early long")
-        self.early = handle.getMapState("early", "idx long", "vector array<double>, at long")
+        self.early = handle.getMapState("early", "block long", "idx array<long>, vector array<array<double>>, at array<long>")
 
     def due(self, rows: Iterator[pd.DataFrame]) -> list[tuple[int, np.ndarray, int]]:
         """(idx, vector, time in ms) of the frames whose turn has come."""
-        idx, waiting = self.next.get() if self.next.exists() else (0, 0)
+        idx, waiting = self.next.get() or (0, 0)
         came = {}
         for batch in rows:
-            at = batch["at"] if "at" in batch else np.zeros(len(batch), dtype=np.int64)
-            for i, v, t in zip(batch["idx"], batch["vector"], at, strict=True):
+            at = batch["at"].tolist() if "at" in batch else [0] * len(batch)
+            for i, v, t in zip(batch["idx"].tolist(), batch["vector"], at, strict=True):
                 if i >= idx:
-                    came.setdefault(int(i), (np.asarray(v, dtype=float), int(t)))
-        out = []
-        while True:
-            if idx in came:
-                vector, at = came.pop(idx)
-            elif waiting and self.early.containsKey((idx,)):
-                value, at = self.early.getValue((idx,))
-                vector = np.asarray(value, dtype=float)
-            else:
-                break
-            if waiting and self.early.containsKey((idx,)):
-                self.early.removeKey((idx,))
+                    came.setdefault(i, (np.asarray(v, dtype=float), t))
+        blocks, changed = {}, set()
+
+        def block_of(i: int) -> dict[int, tuple]:
+            if (block := i // EARLY) not in blocks:
+                kept = self.early.getValue((block,)) if any_waits else None
+                blocks[block] = {k: (v, t) for k, v, t in zip(*kept, strict=True)} if kept else {}
+            return blocks[block]
+
+        # A frame whose turn it is never waits, so that nothing is due unless the next one came.
+        any_waits, out = waiting > 0, []
+        while idx in came or (out and waiting and idx in block_of(idx)):
+            early = block_of(idx).pop(idx, None) if waiting else None
+            if early:
                 waiting -= 1
-            out.append((idx, vector, at))
+                changed.add(idx // EARLY)
+            vector, at = came.pop(idx) if idx in came else early
+            out.append((idx, np.asarray(vector, dtype=float), at))
             idx += 1
         for i, (vector, at) in came.items():
-            waiting += not (waiting and self.early.containsKey((i,)))
-            self.early.updateValue((i,), (vector.tolist(), at))
+            waiting += i not in block_of(i)
+            block_of(i)[i] = (vector.tolist(), at)
+            changed.add(i // EARLY)
+        for block in changed:
+            if kept := blocks[block]:
+                self.early.updateValue((block,), (list(kept), [v for v, _ in kept.values()], [t for _, t in kept.values()]))
+            elif any_waits:
+                self.early.removeKey((block,))
         self.next.update((idx, waiting))
         return out
 
@@ -75,7 +89,7 @@ class Smoothing(InOrder):
         self.last = handle.getValueState("last", "value double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        previous = self.last.get()[0] if self.last.exists() else None
+        previous = (self.last.get() or (None,))[0]
         out = []
         for idx, vector, _ in self.due(rows):
             v = float(vector[0])
@@ -83,7 +97,7 @@ class Smoothing(InOrder):
             out.append((key[0], idx, previous))
         if out:
             self.last.update((previous,))
-        yield pd.DataFrame(out, columns=["video", "idx", "smoothed"])
+            yield pd.DataFrame(out, columns=["video", "idx", "smoothed"])
 
 
 def smooth_stream(frames: DataFrame, a: float) -> DataFrame:
@@ -108,12 +122,15 @@ class HiddenStates(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.ring = handle.getListState("ring", "idx long, state array<double>")
+        self.ring = handle.getValueState("ring", "idx array<long>, state array<array<double>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ring = [(int(i), np.asarray(s, dtype=float)) for i, s in self.ring.get()] if self.ring.exists() else []
+        frames = self.due(rows)
+        if not frames:
+            return
+        ring = [(i, np.asarray(s, dtype=float)) for i, s in zip(*(self.ring.get() or ((), ())), strict=True)]
         out = []
-        for idx, vector, _ in self.due(rows):
+        for idx, vector, _ in frames:
             attended = [*ring[:2], *ring[-(CACHE - 2) :]] if ring else []
             cache = np.array([s for _, s in attended]) if attended else np.empty((0, 0))
             result, state = self.step(vector, cache)
@@ -124,8 +141,7 @@ class HiddenStates(InOrder):
             if len(ring) > self.KEPT:
                 del ring[1]
             out.append((key[0], idx, [i for i, _ in attended], np.asarray(result, dtype=float).tolist()))
-        if out:
-            self.ring.put([(i, s.tolist()) for i, s in ring])
+        self.ring.update(([i for i, _ in ring], [s.tolist() for _, s in ring]))
         yield pd.DataFrame(out, columns=["video", "idx", "attended", "out"])
 
 
@@ -160,53 +176,60 @@ class CountWindows(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.held = handle.getListState("held", "idx long, vector array<double>")
+        self.held = handle.getValueState("held", "idx array<long>, vector array<array<double>>")
         self.place = handle.getValueState("place", "window long, latest long")
 
+    def _frames(self) -> dict[int, list[float]]:
+        return dict(zip(*(self.held.get() or ((), ())), strict=True))
+
     def _slots(self, window: int, last: int) -> list[int]:
         """The frames of a window's slots; frames after ``last`` repeat it."""
         start = window * STEP
         taken = [0, start - OVERLAP] if window else [0, min(1, last)]
         return [*taken, *(min(start + j, last) for j in range(2, WINDOW))]
 
-    def _rows(self, key, window: int, frames: dict[int, np.ndarray], last: int) -> list[tuple]:
-        return [(key[0], window, slot, f, frames[f].tolist()) for slot, f in enumerate(self._slots(window, last))]
+    def _rows(self, key, window: int, frames: dict[int, list[float]], last: int) -> list[tuple]:
+        return [(key[0], window, slot, f, frames[f]) for slot, f in enumerate(self._slots(window, last))]
 
     _COLUMNS = ["video", "window", "slot", "frame", "vector"]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frames = {int(i): np.asarray(v, dtype=float) for i, v in self.held.get()} if self.held.exists() else {}
-        window, latest = self.place.get() if self.place.exists() else (0, None)
-        out, before = [], latest
-        rows = list(rows)
-        for batch in rows:
-            latest = max([*batch["at"], *([] if latest is None else [latest])])
-        for idx, vector, _ in self.due(iter(rows)):
-            frames[idx] = vector
+        window, latest = self.place.get() or (0, None)
+        rows, out, before = list(rows), [], latest
+        latest = max([*(int(batch["at"].max()) for batch in rows), *([] if latest is None else [latest])])
+        due = self.due(iter(rows))
+        frames = self._frames() if due else {}
+        for idx, vector, _ in due:
+            frames[idx] = vector.tolist()
             if idx == window * STEP + WINDOW - 1:
                 out += self._rows(key, window, frames, idx)
                 window += 1
                 frames = {i: v for i, v in frames.items() if i == 0 or i >= window * STEP - OVERLAP}
-        if frames:
-            self.held.put([(i, v.tolist()) for i, v in frames.items()])
-        self.place.update((window, int(latest)))
-        if latest != before:
-            if before is not None:
-                self.handle.deleteTimer(before + self.gap_ms)
-            self.handle.registerTimer(int(latest) + self.gap_ms)
-        yield pd.DataFrame(out, columns=self._COLUMNS)
+        if due:
+            self.held.update((list(frames), list(frames.values())))
+        if out or latest != before:
+            self.place.update((window, latest))
+        if before is None:
+            self.handle.registerTimer(latest + self.gap_ms)
+        if out:
+            yield pd.DataFrame(out, columns=self._COLUMNS)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        frames = {int(i): np.asarray(v, dtype=float) for i, v in self.held.get()} if self.held.exists() else {}
-        window, _ = self.place.get()
-        n = self.next.get()[0]
+        window, latest = self.place.get()
+        # The timer is of the video's first batch; where later frames have put the end off, it is set again.
+        if latest + self.gap_ms > max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
+            self.handle.registerTimer(latest + self.gap_ms)
+            return
+        frames = self._frames()
+        n, waiting = self.next.get()
         out = []
         while window * STEP < n:
             out += self._rows(key, window, frames, n - 1)
             window += 1
-        for state in (self.held, self.place, self.next, self.early):
+        for state in (self.held, self.place, self.next, *([self.early] if waiting else [])):
             state.clear()
-        yield pd.DataFrame(out, columns=self._COLUMNS)
+        if out:
+            yield pd.DataFrame(out, columns=self._COLUMNS)
 
 
 def window_stream(frames: DataFrame, gap: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:

@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from framelake.operators import temporal as tp
@@ -113,3 +114,62 @@ def test_blocks_of_smoothing_meet(spark, a):
     for block in (1, 16, 4096):
         got = {(r.video, r.idx): r.smoothed for r in tp.ema(df, a, block=block).collect()}
         assert got == pytest.approx(want, rel=1e-12)
+
+
+class Kept:
+    """State of one video that counts the calls to it."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, {}
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls.append(name)
+            if name in ("get", "getValue"):
+                return self.held.get(given)
+            if name in ("exists", "containsKey"):
+                return given in self.held
+            if name in ("removeKey", "clear"):
+                self.held.pop(given, None)
+            else:
+                self.held[given[:-1]] = given[-1]
+
+        return call
+
+
+class Handle:
+    def __init__(self):
+        self.calls, self.timers = [], []
+        self.getValueState = self.getMapState = self.getListState = lambda *_: Kept(self.calls)
+        self.registerTimer = self.timers.append
+
+
+def test_state_is_read_and_written_in_blocks_of_frames():
+    """Frames of 600 in three shuffled batches: a few calls a block and batch, none for each frame."""
+    from framelake.streaming.ordered import Smoothing
+
+    handle, order = Handle(), np.random.default_rng(3).permutation(600)
+    processor = Smoothing(0.5)
+    processor.init(handle)
+    out = []
+    for part in np.array_split(np.concatenate([order, order[:50]]), 3):
+        rows = pd.DataFrame({"idx": part, "vector": [[float(i)] for i in part], "at": part * 10})
+        out += [(i, v.tolist(), at) for i, v, at in processor.due(iter([rows]))]
+    assert out == [(i, [float(i)], i * 10) for i in range(600)]
+    assert len(handle.calls) <= 3 * (2 + 2 * 3)
+
+
+def test_a_window_timer_is_moved_only_where_it_expires():
+    from types import SimpleNamespace
+
+    from framelake.streaming.ordered import CountWindows
+
+    handle, processor = Handle(), CountWindows(1000)
+    processor.init(handle)
+    for i in (0, 1, 2):
+        assert not list(processor.handleInputRows((5,), iter([pd.DataFrame({"idx": [i], "vector": [[float(i)]], "at": [i * 500]})]), None))
+    assert handle.timers == [1000]
+    expire = lambda at, mark: list(processor.handleExpiredTimer((5,), SimpleNamespace(getCurrentWatermarkInMs=lambda: mark), SimpleNamespace(getExpiryTimeInMs=lambda: at)))
+    assert expire(1000, 1500) == [] and handle.timers == [1000, 2000]
+    [padded] = expire(2000, 2100)
+    assert len(padded) == 32 and padded["frame"].max() == 2
