@@ -12,6 +12,7 @@ documents left out of training makes it a probability.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from framelake.llm.common import held_out
 from framelake.llm.recompression import Words, mix, read_words
-from framelake.llm.sampling import bounded_texts
+from framelake.llm.sampling import bounded_rows
 
 #: Training sample and model at most: documents, characters, words with a context.
 FIT_ROWS, FIT_CHARS, WORDS = 6_000, 24_000_000, 30_000
@@ -206,6 +207,13 @@ def _chunked(data: Iterable[bytes]) -> Iterator[list[bytes]]:
         yield own
 
 
+def _fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The model of a bounded sample (doc_id, text, label), fitted in a task, so that the driver holds neither texts nor features."""
+    if parts := [batch for batch in batches if len(batch)]:
+        sample = pd.concat(parts).sort_values(["doc_id", "text", "label"])
+        yield pd.DataFrame({"model": [pickle.dumps(QualityModel(sample["text"].tolist(), sample["label"].tolist()))]})
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> QualityModel:
     """A model of labelled documents that are not held out: about ``rows`` documents and ``chars`` of text at most.
 
@@ -217,8 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         .groupBy("doc_id").agg(F.min("label").alias("label"))
     )
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
-    sample = bounded_texts(known, texts, rows, chars)
-    return QualityModel(sample["text"].tolist(), sample["label"].tolist())
+    fitted = bounded_rows(known, texts, rows, chars).repartition(1).mapInPandas(_fitted, "model binary").first()
+    return pickle.loads(fitted["model"]) if fitted else QualityModel([], [])
 
 
 def score_column(docs: DataFrame, model: QualityModel, text_col: str = "text"):

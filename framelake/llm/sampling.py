@@ -16,8 +16,8 @@ def fraction_of(doc_id: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / (1 << 32)
 
 
-def bounded_texts(known: DataFrame, texts: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
-    """About ``most_rows`` rows of (doc_id, text, label) at most, and about ``most_chars`` of text, on the driver.
+def bounded_rows(known: DataFrame, texts: DataFrame, most_rows: int, most_chars: int) -> DataFrame:
+    """About ``most_rows`` rows of (doc_id, text, label) at most, and about ``most_chars`` of text.
 
     ``known`` has doc_id and label, ``texts`` doc_id and text. Rows are chosen by
     a hash of doc_id and text, so reruns agree and an id that repeats can't swell
@@ -30,7 +30,12 @@ def bounded_texts(known: DataFrame, texts: DataFrame, most_rows: int, most_chars
     part = min(1.0, most_rows / max(1, n), most_chars / max(1, chars or 0))
     draw = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "_text")
     chosen = narrow.filter(fraction_of(draw) < part).select("doc_id", "_text", "label")
-    kept = texts.withColumn("_text", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "_text"]).select("doc_id", "text", "label").distinct().toPandas()
+    return texts.withColumn("_text", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "_text"]).select("doc_id", "text", "label").distinct()
+
+
+def bounded_texts(known: DataFrame, texts: DataFrame, most_rows: int, most_chars: int) -> pd.DataFrame:
+    """The rows of bounded_rows() in order, on the driver."""
+    kept = bounded_rows(known, texts, most_rows, most_chars).toPandas()
     return kept.sort_values(["doc_id", "text", "label"], ignore_index=True)
 
 

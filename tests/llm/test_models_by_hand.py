@@ -111,3 +111,22 @@ def test_quality_features_and_network_by_hand():
     assert model.score([None])[0] == model.score([""])[0]
     # The temperature is the one of its grid with the least loss on what training left out.
     assert 0.5 <= model.temperature <= 8
+
+
+def test_quality_is_fitted_in_a_task(spark, monkeypatch):
+    """The driver gets the model, not the sample; the model is the one that the sample gives."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from framelake.llm import quality, sampling
+    from framelake.llm.common import held_out
+
+    docs = spark.createDataFrame([(i, f"good plain words number {i % 7} here") if i % 2 else (i, f"BUY!!! now {i % 5} $$$") for i in range(120)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS quality")
+    known = labels.filter(~held_out(F.col("doc_id"))).withColumnRenamed("quality", "label")
+    sample = sampling.bounded_texts(known, docs, 1000, 10**6)
+    by_hand = quality.QualityModel(sample["text"].tolist(), sample["label"].tolist())
+    monkeypatch.delattr(quality.QualityModel, "__init__")
+    model = quality.fit(docs, labels)
+    texts = ["good words", "BUY $$$", "", None]
+    assert np.allclose(model.score(texts), by_hand.score(texts), atol=1e-9)
