@@ -240,3 +240,20 @@ def test_smoothing_takes_no_group_of_its_own_for_each_video(spark):
             x = 0.75 * each + 0.25 * x
             assert math.isclose(got.pop((k, i)), x, rel_tol=1e-12)
     assert not got and "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_split_psnr_of_equal_images_is_as_in_its_sql(spark, tmp_path):
+    """Colours are even in the frames named here, so that both views are equal; in others they grow along x."""
+    import duckdb
+
+    from framelake.plans.queries import ORACLES, QUERIES
+
+    even = {"A": (1,), "N": (2,), "R": ()}
+    rows = [(video, f, y, x, 100.0 * x + y, 50.0 if f in frames else float(x), 0.1, 0.08) for video, frames in even.items() for f in (1, 2, 3) for y in range(4) for x in range(64)]
+    lines = "l_returnflag string, l_linenumber int, l_orderkey long, l_partkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame(rows, lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in QUERIES["a31_split_psnr"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.sql(ORACLES["a31_split_psnr"]).fetchall())
+    assert [(math.isinf(a), math.isinf(rest)) for _, a, rest in got] == [(True, False), (True, True), (False, False)]
